@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
+from .decontam import OP6_SQL, op6_decontamination
+from .gbt import op3_quality_classifier
+from .linededup import OP5_SQL, op5_line_dedup
+from .packing import op10_best_fit_packing
+from .rans import op2_rans_blocks
 from .rules import OP1_SQL, op1_quality_rules
+from .wordpiece import op9_token_counts
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
-ORACLES = {"op1_quality_rules": OP1_SQL}
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_rans_blocks": op2_rans_blocks,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op9_token_counts": op9_token_counts,
+    "op10_best_fit_packing": op10_best_fit_packing,
+}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_decontamination": OP6_SQL}
