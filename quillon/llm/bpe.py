@@ -40,7 +40,6 @@ class CachedBpe:
         self.max_pieces = max_pieces
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
         self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
         self.lengths = self._byte_lengths()
         # the same merges over words already cut and spelled in the byte alphabet, one on a line
         self.merges = Tokenizer(self.tokenizer.model)
@@ -81,13 +80,11 @@ class CachedBpe:
             ends = np.searchsorted(np.cumsum(self.lengths[ids]), breaks - np.arange(len(breaks)), side="left") + 1
             packed, start = ids.astype(self.dtype).tobytes(), 0
             for word, end in zip(part, (ends * self.dtype.itemsize).tolist(), strict=True):
-                self.words[word] = packed[start:end]
+                self.pieces[word] = packed[start:end]
                 start = end
 
     def _learn(self, missing: set[str]) -> None:
-        if len(self.words) > self.max_pieces:
-            self.words.clear()
-        known = self.words
+        known = self.pieces  # words are pieces too: their ids don't depend on what stands beside them
         simple, ended, cut = [], [], []
         for p in missing:
             if p[1:].isalpha() and p[0] == " ":
@@ -98,18 +95,16 @@ class CachedBpe:
                 cut.append((p, self._cut(p)))
         words = {*simple, *(p[:-1] for p in ended), *(w for _, ws in cut if ws for w in ws), ".", ","}
         words.discard("\n")
-        self._learn_words([w for w in words if w not in known])
-        pieces, known["\n"] = self.pieces, self.line
-        for p in simple:
-            pieces[p] = known[p]
+        self._learn_words(list(words.difference(known)))
+        known["\n"] = self.line
         for p in ended:
-            pieces[p] = known[p[:-1]] + known[p[-1]]
+            known[p] = known[p[:-1]] + known[p[-1]]
         for p, ws in cut:
             if ws:
-                pieces[p] = b"".join([known[w] for w in ws])
+                known[p] = b"".join([known[w] for w in ws])
         if odd := [p for p, ws in cut if not ws]:
             for p, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-                pieces[p] = np.array(e.ids, dtype=np.int64).astype(self.dtype).tobytes()
+                known[p] = np.array(e.ids, dtype=np.int64).astype(self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of ``dtype``."""
@@ -127,22 +122,29 @@ class CachedBpe:
     def _encode_some(self, texts: list[str]) -> list[bytes]:
         if len(self.pieces) > self.max_pieces:
             self.pieces.clear()
-        split: list[list[str] | None] = []
+        known = self.pieces
+        known.setdefault("", b"")
+        get = known.get
+        split: list[tuple[list[str], list, list[int]] | None] = []
+        missing: set[str] = set()
         for text in texts:
-            if not text or _UNSAFE.search(text):
+            if not text or "\x00" in text or _UNSAFE.search(text):
                 split.append(None)
                 continue
-            split.append(text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else None)
-        known = self.pieces
-        missing = {p for pieces in split if pieces for p in pieces if p not in known}
-        missing.discard("")
+            pieces = text.replace(" ", "\x00 ").split("\x00")
+            got = list(map(get, pieces))
+            gaps = [i for i, v in enumerate(got) if v is None]
+            missing.update([pieces[i] for i in gaps])
+            split.append((pieces, got, gaps))
         if missing:
             self._learn(missing)
-        known.setdefault("", b"")
         out = []
-        for text, pieces in zip(texts, split, strict=True):
-            if pieces is not None:
-                out.append(b"".join(map(known.__getitem__, pieces)))
+        for text, parts in zip(texts, split, strict=True):
+            if parts is not None:
+                pieces, got, gaps = parts
+                for i in gaps:
+                    got[i] = known[pieces[i]]
+                out.append(b"".join(got))
             elif not text:
                 out.append(b"")
             else:

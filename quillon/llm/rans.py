@@ -31,6 +31,8 @@ LOW = np.uint64(1 << 31)
 LANES = 4096
 STRIDE = 64
 BLOCK_IDS = 1 << 19
+#: The starts of up to so many blocks (16 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_BLOCKS = 500_000
 END_ID = 2
 _HEADER = struct.Struct("<4sHHIIIII")  # magic, version, bits, lanes, stride, ids, documents, words of the stream
 
@@ -231,6 +233,7 @@ def read(spark: SparkSession, blocks: DataFrame, table: Table) -> DataFrame:
             raw, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(documents)
             yield pa.RecordBatch.from_arrays([batch.column(1)[0].values, pa.array(start), pa.array([raw[b - 4 * n : b] for b, n in zip(ends.tolist(), documents.tolist())], pa.binary())], names=["doc_id", "start", "ids"])
 
+    starts = F.broadcast(starts) if blocks.count() <= BROADCAST_BLOCKS else starts
     return blocks.join(starts, ["part", "nth"]).select("start", "doc_ids", "block").mapInArrow(run, f"doc_id {kind.simpleString()}, start bigint, ids binary")
 
 
