@@ -1 +1 @@
-"""Spark-native portfolio analytics."""
+"""Spark-native, point-in-time portfolio analytics."""

@@ -1 +1 @@
-"""."""
+"""Numerical kernels; pure NumPy, no Spark."""

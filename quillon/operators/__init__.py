@@ -1 +1 @@
-"""."""
+"""Relational and time-series operators over long panels."""

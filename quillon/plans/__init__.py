@@ -1 +1 @@
-"""."""
+"""Walk-forward plans and reports."""
