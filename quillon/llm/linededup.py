@@ -32,31 +32,31 @@ def chunks_of(text: str = "text") -> str:
 def dedup_lines(spark: SparkSession, docs: DataFrame, name: str = "lines") -> DataFrame:
     """The documents with removed chunks taken out of ``text``, and _n_lines, _n_removed_lines, _n_removed_chunks."""
     stage = Stage(spark, name)
-    slim = has_columns(docs, ["doc_id", "text"]).where("text is not null").withColumn("_text_hash", F.xxhash64("text"))
-    exploded = slim.select("doc_id", "_text_hash", F.posexplode(F.expr(chunks_of())).alias("k", "c"))
-    multi = exploded.where("c.n > 1").select("doc_id", "_text_hash", "k", F.xxhash64("c.body").alias("h1"), F.xxhash64(F.lit(1), "c.body").alias("h2"), F.octet_length("c.body").alias("size"))
-    place = F.struct("doc_id", "_text_hash", "k")
+    slim = has_columns(docs, ["doc_id", "text"]).where("text is not null").withColumn("__ld_text_hash", F.xxhash64("text"))
+    exploded = slim.select("doc_id", "__ld_text_hash", F.posexplode(F.expr(chunks_of())).alias("k", "c"))
+    multi = exploded.where("c.n > 1").select("doc_id", "__ld_text_hash", "k", F.xxhash64("c.body").alias("h1"), F.xxhash64(F.lit(1), "c.body").alias("h2"), F.octet_length("c.body").alias("size"))
+    place = F.struct("doc_id", "__ld_text_hash", "k")
     spots = stage.table(multi.distinct(), "spots")
     firsts = spots.groupBy("h1", "h2", "size").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     firsts = stage.table(firsts, "firsts")
-    later = spots.join(firsts, ["h1", "h2", "size"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "_text_hash", "k", "h1", "h2", "size")
+    later = spots.join(firsts, ["h1", "h2", "size"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "__ld_text_hash", "k", "h1", "h2", "size")
     # the bytes of the first occurrences, then a comparison with each later one
-    heads = firsts.select("h1", "h2", "size", F.col("first.doc_id").alias("_id"), F.col("first._text_hash").alias("_hash"), F.col("first.k").alias("_k"))
+    heads = firsts.select("h1", "h2", "size", F.col("first.doc_id").alias("__ld_id"), F.col("first.__ld_text_hash").alias("__ld_hash"), F.col("first.k").alias("_k"))
     heads = F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads
-    owners = slim.join(heads, F.expr("doc_id <=> _id AND _text_hash = _hash"))
+    owners = slim.join(heads, F.expr("doc_id <=> __ld_id AND __ld_text_hash = __ld_hash"))
     bodies = owners.dropDuplicates(["h1", "h2", "size"])
     bodies = bodies.select("h1", "h2", "size", F.expr(f"{chunks_of()}[_k].body").alias("body"))
     bodies = stage.table(bodies, "bodies")
-    doomed = later.join(bodies, ["h1", "h2", "size"]).groupBy("doc_id", "_text_hash").agg(F.collect_list(F.struct("k", "body")).alias("_same"))
-    doomed = doomed.select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash"), "_same")
-    out = docs.withColumn("_text_hash", F.xxhash64("text")).join(doomed, F.expr("doc_id <=> _id AND _text_hash = _hash"), "left").drop("_id", "_hash", "_text_hash")
-    gone = "array_compact(transform(_same, s -> IF(cs[s.k].body = s.body, s.k, NULL)))"
+    doomed = later.join(bodies, ["h1", "h2", "size"]).groupBy("doc_id", "__ld_text_hash").agg(F.collect_list(F.struct("k", "body")).alias("__ld_same"))
+    doomed = doomed.select(F.col("doc_id").alias("__ld_id"), F.col("__ld_text_hash").alias("__ld_hash"), "__ld_same")
+    out = docs.withColumn("__ld_text_hash", F.xxhash64("text")).join(doomed, F.expr("doc_id <=> __ld_id AND __ld_text_hash = __ld_hash"), "left").drop("__ld_id", "__ld_hash", "__ld_text_hash")
+    gone = "array_compact(transform(__ld_same, s -> IF(cs[s.k].body = s.body, s.k, NULL)))"
     rest = "transform(array_except(sequence(0, size(cs) - 1), gs), k -> cs[k].body)"
     facts = f"named_struct('chunks', size(gs), 'lines', aggregate(gs, 0, (a, k) -> a + cs[k].n), 'text', array_join({rest}, '\\n'))"
-    out = out.withColumn("_facts", F.expr(f"IF(_same IS NULL, NULL, {once(chunks_of(), 'cs', once(gone, 'gs', facts))})"))
+    out = out.withColumn("__ld_facts", F.expr(f"IF(__ld_same IS NULL, NULL, {once(chunks_of(), 'cs', once(gone, 'gs', facts))})"))
     out = out.withColumn("_n_lines", F.coalesce(F.size(F.split("text", "\n", -1)).cast("long") * F.when(F.col("text").isNull(), 0).otherwise(1), F.lit(0).cast("long")))
-    out = out.withColumn("_n_removed_chunks", F.coalesce("_facts.chunks", F.lit(0)).cast("long")).withColumn("_n_removed_lines", F.coalesce("_facts.lines", F.lit(0)).cast("long"))
-    return out.withColumn("text", F.when(F.col("_n_removed_chunks") == 0, F.col("text")).otherwise(F.col("_facts.text"))).drop("_same", "_facts")
+    out = out.withColumn("_n_removed_chunks", F.coalesce("__ld_facts.chunks", F.lit(0)).cast("long")).withColumn("_n_removed_lines", F.coalesce("__ld_facts.lines", F.lit(0)).cast("long"))
+    return out.withColumn("text", F.when(F.col("_n_removed_chunks") == 0, F.col("text")).otherwise(F.col("__ld_facts.text"))).drop("__ld_same", "__ld_facts")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
