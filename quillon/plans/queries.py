@@ -56,6 +56,11 @@ def _returns(spark: SparkSession, d: str) -> DataFrame:
     return ts.log_returns(_panel(spark, d))
 
 
+def _prices(panel: DataFrame) -> DataFrame:
+    """Prices are about 100, so they are compared to 6 decimals."""
+    return panel.withColumn("close", F.round("close", 6)).withColumn("open", F.round("open", 6))
+
+
 def _rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     return df.select(*(F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
@@ -70,19 +75,19 @@ def query(name: str, sql: str | None = None, walk: bool = False, pairs: bool = F
     return add
 
 
-@query("panel_ohlc", "SELECT date, asset, round(r, 9) AS r, round(co, 9) AS co, round(oc, 9) AS oc, round(close, 9) AS close, round(open, 9) AS open FROM panel")
+@query("panel_ohlc", "SELECT date, asset, round(r, 9) AS r, round(co, 9) AS co, round(oc, 9) AS oc, round(close, 6) AS close, round(open, 6) AS open FROM panel")
 def panel_ohlc(spark, d):
-    return _panel(spark, d)
+    return _prices(_panel(spark, d))
 
 
-@query("panel_as_of", "SELECT date, asset, round(close, 9) AS close FROM panel WHERE date <= DATE '1996-06-30'")
+@query("panel_as_of", "SELECT date, asset, round(close, 6) AS close FROM panel WHERE date <= DATE '1996-06-30'")
 def panel_as_of(spark, d):
-    return pn.as_of(_panel(spark, d), "1996-06-30").select("date", "asset", "close")
+    return pn.as_of(_prices(_panel(spark, d)), "1996-06-30").select("date", "asset", "close")
 
 
-@query("panel_wide", "SELECT date, " + ", ".join(f"round(max(CASE WHEN asset = '{a}' THEN close END), 9) AS \"{a}\"" for a in ASSETS) + " FROM panel GROUP BY date")
+@query("panel_wide", "SELECT date, " + ", ".join(f"round(max(CASE WHEN asset = '{a}' THEN close END), 6) AS \"{a}\"" for a in ASSETS) + " FROM panel GROUP BY date")
 def panel_wide(spark, d):
-    return pn.wide(_panel(spark, d), ASSETS)
+    return pn.wide(_prices(_panel(spark, d)), ASSETS)
 
 
 @query("initial_window", "SELECT count(*) AS n FROM days WHERE date <= DATE '1997-12-31'")
