@@ -56,7 +56,7 @@ def correlation_distance(cov: DataFrame) -> DataFrame:
     """i, j, distance: sqrt(max((1 - correlation) / 2, 0)), 0 on the diagonal."""
     d = cov.where("i = j").select("i", F.sqrt("cov").alias("s"))
     out = cov.join(F.broadcast(d), "i").join(F.broadcast(d.withColumnsRenamed({"i": "j", "s": "t"})), "j")  # one row an asset
-    dist = F.sqrt(F.greatest(F.lit(0.0), 0.5 * (1 - F.col("cov") / (F.col("s") * F.col("t")))))
+    dist = F.sqrt(F.greatest(F.lit(0.0), 0.5 * (1 - F.try_divide(F.col("cov"), F.col("s") * F.col("t")))))
     return out.select("i", "j", F.when(F.col("i") == F.col("j"), 0.0).otherwise(dist).alias("distance"))
 
 

@@ -20,9 +20,12 @@ def cagr(value: F.Column, periods: int = YEAR) -> F.Column:
 
 
 def sortino(value: F.Column, periods: int = YEAR) -> F.Column:
-    """By the sample deviation of the negative returns; null with fewer than two of them."""
-    negative = F.when(value < 0, value)
-    return F.when(F.count(negative) >= 2, F.avg(value) / F.stddev_samp(negative) * F.sqrt(F.lit(float(periods))))
+    """By the sample deviation of the negative returns; null with fewer than two of them.
+
+    Returns within 1e-12 of 0 are 0: days on which nothing moved differ from 0 by rounding alone, in either direction.
+    """
+    negative = F.when(value < -1e-12, value)
+    return F.when(F.count(negative) >= 2, F.try_divide(F.avg(value), F.stddev_samp(negative)) * F.sqrt(F.lit(float(periods))))
 
 
 def moments(value: F.Column) -> list[F.Column]:
@@ -81,7 +84,7 @@ def paired_t(table: DataFrame, keys: list[str], unit: str, by: str, value: str,
     """keys, n, mean_diff, se, t of the paired differences of two groups over units."""
     each = table.groupBy(*keys, unit).agg((F.max(F.when(F.col(by) == pair[0], F.col(value))) - F.max(F.when(F.col(by) == pair[1], F.col(value)))).alias("d"))
     se = F.stddev_samp("d") / F.sqrt(F.count("d"))
-    aggs = [F.count("d").alias("n"), F.avg("d").alias("mean_diff"), se.alias("se"), (F.avg("d") / se).alias("t")]
+    aggs = [F.count("d").alias("n"), F.avg("d").alias("mean_diff"), se.alias("se"), F.try_divide(F.avg("d"), se).alias("t")]
     return each.groupBy(*keys).agg(*aggs) if keys else each.agg(*aggs)
 
 

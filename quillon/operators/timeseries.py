@@ -45,7 +45,8 @@ def pairs(returns: DataFrame) -> DataFrame:
 def rolling_correlation(returns: DataFrame, window: int = 63) -> DataFrame:
     """date, avg_corr: mean over all pairs of their correlation in a full window; pairs without a value are left out."""
     w = Window.partitionBy("a", "b").orderBy("date").rowsBetween(1 - window, 0)
-    each = pairs(returns).withColumn("c", F.when(F.count("*").over(w) == window, F.corr("x", "y").over(w)))
+    corr = F.try_divide(F.covar_pop("x", "y").over(w), F.stddev_pop("x").over(w) * F.stddev_pop("y").over(w))  # null where a series doesn't move
+    each = pairs(returns).withColumn("c", F.when(F.count("*").over(w) == window, corr))
     return each.groupBy("date").agg(F.avg("c").alias("avg_corr"))
 
 

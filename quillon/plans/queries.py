@@ -120,7 +120,7 @@ def rolling_trend(spark, d):
     return ts.rolling_trend(_returns(spark, d)).select("date", "asset", "trend")
 
 
-CORR = "corrs AS (SELECT date, avg(c) AS avg_corr FROM (SELECT date, CASE WHEN count(*) OVER w = 63 THEN corr(x, y) OVER w END AS c FROM pairs WHERE a < b WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)) GROUP BY date)"
+CORR = "corrs AS (SELECT date, avg(c) AS avg_corr FROM (SELECT date, CASE WHEN count(*) OVER w = 63 THEN covar_pop(x, y) OVER w / nullif(stddev_pop(x) OVER w * stddev_pop(y) OVER w, 0) END AS c FROM pairs WHERE a < b WINDOW w AS (PARTITION BY a, b ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)) GROUP BY date)"
 SPREAD = "spreads AS (SELECT date, CASE WHEN count(v) OVER l = 63 THEN sum(v) OVER l - sum(v) OVER s END AS spread FROM (SELECT date, max(CASE WHEN asset = 'AFRICA' THEN ret END) - max(CASE WHEN asset = 'MIDDLE EAST' THEN ret END) AS v FROM rets GROUP BY date) WINDOW l AS (ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW), s AS (ORDER BY date ROWS BETWEEN 20 PRECEDING AND CURRENT ROW))"
 
 
@@ -390,7 +390,7 @@ def max_drawdown(spark, d):
     return ts.drawdown(_net(spark, d), ["stage"], "net")
 
 
-@query("performance_by_stage", NET + DRAWDOWN + """, p AS (SELECT stage, count(*) AS n_days, avg(net) / stddev_samp(net) * sqrt(252) AS sharpe, exp(sum(ln(1 + net)) * 252 / count(*)) - 1 AS cagr, CASE WHEN count(*) FILTER (net < 0) >= 2 THEN avg(net) / stddev_samp(net) FILTER (net < 0) * sqrt(252) END AS sortino FROM net GROUP BY stage)
+@query("performance_by_stage", NET + DRAWDOWN + """, p AS (SELECT stage, count(*) AS n_days, avg(net) / stddev_samp(net) * sqrt(252) AS sharpe, exp(sum(ln(1 + net)) * 252 / count(*)) - 1 AS cagr, CASE WHEN count(*) FILTER (net < -1e-12) >= 2 THEN avg(net) / stddev_samp(net) FILTER (net < -1e-12) * sqrt(252) END AS sortino FROM net GROUP BY stage)
 SELECT stage, n_days, round(sharpe, 9) AS sharpe, round(cagr, 9) AS cagr, round(sortino, 9) AS sortino, round(max_drawdown, 9) AS max_drawdown, round(CASE WHEN max_drawdown <> 0 THEN cagr / abs(max_drawdown) END, 9) AS calmar FROM p JOIN dd USING (stage)""", walk=True)
 def performance_by_stage(spark, d):
     return ev.performance(_net(spark, d), ["stage"], "net")
