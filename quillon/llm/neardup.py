@@ -5,10 +5,11 @@ orders of its signature; those that share the first ``DEPTH`` values of an order
 ``REGION`` rows is cut where neighbours share the shortest prefix, so its depth adapts, and rows with long common prefixes stay
 together. Regions are dealt out by ranges of (region, order): no group has to fit a task.
 
-First every row meets the neighbour in its region whose signature agrees best; these few pairs are confirmed on the full sets
-and joined into components. Then regions that still hold several components give all their pairs between different components
-whose signatures leave the threshold possible (4.75 standard errors), which are confirmed too. Copies and near copies in
-thousands therefore cost one confirmation each, and links between different texts are searched in full.
+First every row meets the row of its region whose signature agrees best and the two that agree best with all rows (the likely
+originals of near copies); these few pairs are confirmed on the full sets and joined into components. Twice, rows outside their
+region's largest component then meet the three best rows of other components. At last they meet all rows of other components
+whose signatures, now much longer ones, leave the threshold possible (4.75 standard errors). Near copies in thousands therefore cost a few
+confirmations each, and no possible link between different components stays untested.
 
 With Jaccard similarity s the prefix is shared in at least one of 20 orders with probability 1 - (1 - s^4)^20: 0.9999996 at 0.85.
 
@@ -30,7 +31,9 @@ from .common import Stage, WordHashes, has_columns, raw_texts, shingle_hashes, s
 TREES, DEPTH = 20, 4
 VALUES = TREES * DEPTH
 REGION = 2048
-_MULTIPLIERS = np.random.default_rng(20_240_501).integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: More values, for rows whose regions stay mixed: they tell apart similarities just below the threshold.
+FINE = 1024
+_MULTIPLIERS = np.random.default_rng(20_240_501).integers(1, 2**63, VALUES + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _HASHES: list[WordHashes] = []
 #: Up to so many ids are broadcast as a filter; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -44,12 +47,13 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(np.fromiter(map(_HASHES[0].__getitem__, words), np.uint64, len(words)), width))
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """MinHash values (rows of ``VALUES``) of sets that aren't empty."""
+def signatures(sets: list[np.ndarray], fine: bool = False) -> np.ndarray:
+    """MinHash values (rows of ``VALUES``, or of ``FINE`` others) of sets that aren't empty."""
     data = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), VALUES), np.uint64)
-    for k, m in enumerate(_MULTIPLIERS):
+    multipliers = _MULTIPLIERS[VALUES:] if fine else _MULTIPLIERS[:VALUES]
+    out = np.empty((len(sets), len(multipliers)), np.uint64)
+    for k, m in enumerate(multipliers):
         out[:, k] = np.minimum.reduceat(data * m, starts)
     return out
 
@@ -99,7 +103,7 @@ def _regions(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np
 
     def flush(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         part = held[:n]
-        return np.array([x[1] for x in part]), np.frombuffer(b"".join(x[2] for x in part), np.uint8).reshape(n, VALUES), np.array([x[4] for x in part])
+        return np.array([x[1] for x in part]), np.frombuffer(b"".join(x[2] for x in part), np.uint8).reshape(n, -1), np.array([x[4] for x in part])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -119,35 +123,54 @@ def _regions(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np
         yield flush(len(held))
 
 
-def _pairs(rows: DataFrame, least: int, cross: bool) -> DataFrame:
-    """Candidate pairs (a < b): of each row with its best neighbour, or with ``cross`` of all rows in different components."""
+#: How many partners a search takes for each row.
+FIRST, CLOSEST, ALL = "first", "closest", "all"
+
+
+def _partners(sig: np.ndarray, comp: np.ndarray, least: int, mode: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y) of candidate pairs in one region.
+
+    ``first``: every row with the earlier row that agrees best, and with the two rows that agree best with all others (the
+    likely originals of near copies). ``closest``: rows outside the largest component with the three best rows of
+    other components. ``all``: rows outside the largest component with all rows of other components.
+    """
+    n = len(sig)
+    agree = _agreement(sig, sig)
+    np.fill_diagonal(agree, -1)
+    rows = np.arange(n)
+    if mode == FIRST:
+        hubs = np.argsort(-np.where(agree >= least, agree, 0).sum(axis=1, dtype=np.int64), kind="stable")[: 2 if n > 4 else 1]
+        earlier = np.where(rows[None, :] < rows[:, None], agree, -1).argmax(axis=1)
+        x = np.concatenate([rows, *([rows] * len(hubs))])
+        y = np.concatenate([earlier, *(np.full(n, h) for h in hubs)])
+        ok = agree[x, y] >= least
+        return x[ok], y[ok]
+    names, counts = np.unique(comp, return_counts=True)
+    few = np.flatnonzero(comp != names[counts.argmax()])
+    agree = agree[few]
+    agree[comp[few][:, None] == comp[None, :]] = -1
+    if mode == ALL:
+        x, y = np.nonzero(agree >= least)
+        return few[x], y
+    best = np.argpartition(-agree, min(3, n - 1) - 1, axis=1)[:, :3]
+    x = np.repeat(np.arange(len(few)), best.shape[1])
+    y = best.ravel()
+    ok = agree[x, y] >= least
+    return few[x[ok]], y[ok]
+
+
+def _pairs(rows: DataFrame, least: int, mode: str) -> DataFrame:
+    """Different candidate pairs (a < b) of all regions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sig, comp in _regions(batches, REGION):
-            if cross and (comp == comp[0]).all():
+            if mode != FIRST and (comp == comp[0]).all():
                 continue
-            a, b = [], []
-            step = 256
-            for at in range(0, len(ids), step):
-                # neighbours in the sorted order for the first search, the whole region for the second
-                lo, hi = (0, len(ids)) if cross else (max(0, at - step // 2), min(len(ids), at + step))
-                n = _agreement(sig[at : at + step], sig[lo:hi])
-                i = np.arange(at, min(len(ids), at + step))
-                if cross:
-                    n[comp[i][:, None] == comp[None, lo:hi]] = -1
-                    x, y = np.nonzero(n >= least)
-                    x, y = i[x], y + lo
-                else:
-                    n[np.arange(lo, hi)[None, :] >= i[:, None]] = -1
-                    y = n.argmax(axis=1)
-                    ok = n[np.arange(len(i)), y] >= least
-                    x, y = i[ok], y[ok] + lo
-                a.append(np.minimum(ids[x], ids[y]))
-                b.append(np.maximum(ids[x], ids[y]))
-            a, b = np.concatenate(a), np.concatenate(b)
-            different = np.unique(np.stack([a, b])[:, a != b], axis=1)
-            if different.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(different[0]), pa.array(different[1])], names=["a", "b"])
+            x, y = _partners(sig, comp, least, mode)
+            pair = np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])])
+            pair = np.unique(pair[:, pair[0] != pair[1]], axis=1)
+            if pair.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
     ordered = rows.select("region", "doc", "bytes", "order", "comp").repartitionByRange("region", "order").sortWithinPartitions("region", "order", "doc")
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
@@ -157,10 +180,35 @@ def _near(spark: SparkSession, df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
+def least_agreement(values: int, percent: int) -> int:
+    """Equal values below which a pair can't plausibly reach the threshold: 4.75 standard errors."""
+    share = percent / 100
+    return int(np.floor(values * (share - 4.75 * np.sqrt(share * (1 - share) / values))))
+
+
+def _texts_of(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc, text of the rows with the given ids."""
+    return has_columns(docs, ["doc_id", "text"]).join(_near(spark, ids), F.col("doc_id").cast("long") == F.col("doc"), "left_semi").select(F.col("doc_id").cast("long").alias("doc"), "text")
+
+
+def _fine(spark: SparkSession, docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc, bytes: the finer signatures of some documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 128):
+            sets = [shingle_set(t, width) for t in raw_texts(batch)]
+            full = [k for k, s in enumerate(sets) if len(s)]
+            if full:
+                low = ((signatures([sets[k] for k in full], True) >> np.uint64(24)) & np.uint64(255)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array([x.tobytes() for x in low], pa.binary())], names=["doc", "bytes"])
+
+    return _texts_of(spark, docs, ids).mapInArrow(run, "doc bigint, bytes binary").dropDuplicates(["doc"])
+
+
 def confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, percent: int, stage: Stage, name: str) -> DataFrame:
     """The pairs whose full sets reach 100 * intersection >= percent * union."""
     ids = stage.table(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), f"{name}_ids")
-    some = has_columns(docs, ["doc_id", "text"]).join(_near(spark, ids), F.col("doc_id").cast("long") == F.col("doc"), "left_semi").select(F.col("doc_id").cast("long").alias("doc"), "text")
+    some = _texts_of(spark, docs, ids)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 256):
@@ -220,17 +268,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     # a row's order: the bytes after its tree's prefix, then those before
     order = F.expr(f"concat(substring(bytes, {DEPTH} * (tree + 1) + 1, {VALUES}), substring(bytes, 1, {DEPTH} * (tree + 1)))")
     rows = rows.join(reps.select("doc", "bytes"), "doc").withColumn("order", order)
-    share = percent / 100
-    least = int(np.floor(VALUES * (share - 4.75 * np.sqrt(share * (1 - share) / VALUES))))
-    pairs = stage.table(_pairs(rows.withColumn("comp", F.lit(0).cast("long")), least, False), "pairs")
-    links = confirmed(spark, docs, pairs, width, percent, stage, "first")
+    least = least_agreement(VALUES, percent)
+    tried = stage.table(_pairs(rows.withColumn("comp", F.lit(0).cast("long")), least, FIRST), "first")
+    links = confirmed(spark, docs, tried, width, percent, stage, "first")
     comps = components(links, stage, "first")
-    again = rows.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    mixed = again.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("region")
-    rest = _pairs(again.join(mixed, "region"), least, True)
-    rest = stage.table(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(confirmed(spark, docs, rest, width, percent, stage, "second"))
-    comps = components(links, stage, "all")
+    for k, mode in enumerate((CLOSEST, CLOSEST, ALL)):
+        again = rows.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+        mixed = again.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("region")
+        again = again.join(mixed, "region")
+        if mode == ALL:
+            fine = stage.table(_fine(spark, docs, again.select("doc").distinct(), width), "fine", "uncompressed")
+            again, least = again.drop("bytes").join(fine, "doc"), least_agreement(FINE, percent)
+        more = stage.table(_pairs(again, least, mode).join(tried, ["a", "b"], "left_anti"), f"{mode}_{k}")
+        links = links.unionByName(confirmed(spark, docs, more, width, percent, stage, f"{mode}{k}"))
+        comps = components(links, stage, f"{mode}{k}")
+        tried = tried.unionByName(more)
     found = sketches.select("doc_id", "n_shingles", "set_key").join(heads_of, "set_key", "left").join(comps, "doc", "left")
     kind = docs.schema["doc_id"].dataType
     return found.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc")).cast(kind), "doc_id").alias("component_id"))
