@@ -28,7 +28,8 @@ from .induced import common_prefix_reaches, suffix_order
 
 WIDTH, GRAM = 400, 128
 SHARD_BYTES = 2_000_000
-SPLIT = 2000
+#: An anchor with more contents (about 4 MB of them, twice a shard; sorting takes some 40 bytes for each) is dealt over several shards.
+SPLIT = 7000
 BROADCAST_ROWS = 500_000
 _P = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_P, -1, 2**64)
