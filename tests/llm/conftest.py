@@ -3,7 +3,7 @@ import pytest
 HARD = [
     (1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, "two words"), (6, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"),
     (7, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (7, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"),
-    (None, "no id at all in this row"), (8, "x" * 30_000), (9, "w%d " * 10 % tuple(range(10)) + "é ü　日本   <|endoftext|> \x00"), (10, "long " * 20_000), (11, "a\nb\nc\na\nb\nc\n" * 40),
+    (None, "no id at all in this row"), (8, "x" * 30_000), (9, "w%d " * 10 % tuple(range(10)) + "é ü　日本   <|endoftext|> \x00"), (10, "long " * 20_000), (11, "".join(f"line {chr(97 + k)}\n" for k in range(20)) * 12),
 ]
 
 
