@@ -82,7 +82,7 @@ def _configuration(sizes: list[int], left: list[int], size: int, first: int) ->
     return counts
 
 
-def plan(counts: np.ndarray, size: int = SIZE, large: float = 1 / 8, groups: int = 48) -> list[tuple[int, list[tuple[int, int]]]]:
+def plan(counts: np.ndarray, size: int = SIZE, large: float = 1 / 4, groups: int = 256) -> list[tuple[int, list[tuple[int, int]]]]:
     """Runs of (number of sequences, [(length, how many in each)]) for ``counts[length]`` pieces of each length.
 
     Work depends on ``size`` and ``groups`` alone, not on the number of pieces.
