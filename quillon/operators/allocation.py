@@ -17,8 +17,8 @@ def products(day: DataFrame, keep: list[str]) -> DataFrame:
     return day.select(*keep, F.explode(both).alias("p")).select(*keep, "p.*")
 
 
-def covariance(returns: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """keys, i, j, cov (divisor n - 1)."""
+def covariance(returns: DataFrame) -> DataFrame:
+    """i, j, cov (divisor n - 1)."""
     return products(vectors(returns), ["date"]).groupBy("i", "j").agg(F.covar_samp("x", "y").alias("cov"))
 
 

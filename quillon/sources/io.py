@@ -54,8 +54,9 @@ def write_new(df: DataFrame, path: str, by: list[str] | None = None, form: str =
     (writer.partitionBy(*by) if by else writer).format(form).save(path)
 
 
-def fixed_text(column: str, form: str = "%.12g") -> F.Column:
-    return F.format_string(form.replace("g", "f") if form.endswith("g") else form, F.col(column))
+def fixed_text(column: str, form: str = "%.12f") -> F.Column:
+    """A number as text of fixed precision, for exports alone."""
+    return F.format_string(form, F.col(column))
 
 
 def verified_cache(spark: SparkSession, path: str, build, check) -> DataFrame:
