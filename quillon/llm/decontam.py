@@ -60,7 +60,8 @@ def _keyed(kind: int) -> str:
 
 def _found(kind: int, wanted: list[int]) -> str:
     """The same for the places where a wanted shingle begins."""
-    return f"filter({_keyed(kind)}, x -> x.shingle IN ({', '.join(f'{s}L' if s > -(2**63) else '(-9223372036854775807L - 1L)' for s in wanted)}))"
+    listed = ", ".join(f"{s}L" if s > -(2**63) else "(-9223372036854775807L - 1L)" for s in wanted) or "NULL"
+    return f"filter({_keyed(kind)}, x -> x.shingle IN ({listed}))"
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = 10, literals: int = LITERALS, name: str = "decontam") -> DataFrame:

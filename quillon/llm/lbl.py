@@ -256,7 +256,7 @@ def score(spark: SparkSession, docs: DataFrame, counts: DataFrame, head, model:
         if len(words) < UNITS - 1:
             rest[-1] = 0
         row = TaskContext.get().partitionId() << 33
-        names = ["row", *keep, "n_tokens", "n_known", "base", "score", "word", "times"]
+        names = ["_row", *keep, "_n_tokens", "_n_known", "_base", "_score", "_word", "_times"]
         for batch in small_batches(batches, 256):
             each, found, first = _lookup(batch, ranks)
             units = _units(found)
@@ -276,17 +276,17 @@ def score(spark: SparkSession, docs: DataFrame, counts: DataFrame, head, model:
                 columns = [pa.array(rows[[d for d, _ in times]]), *(pa.nulls(k, batch.schema.field(x).type) for x in keep), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array([w for _, w in times], pa.binary()), pa.array(list(times.values()), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    both = stage.table(docs.mapInArrow(run, f"row bigint, {fields}, n_tokens bigint, n_known bigint, base double, score double, word binary, times bigint"), "scored")
+    both = stage.table(docs.mapInArrow(run, f"_row bigint, {fields}, _n_tokens bigint, _n_known bigint, _base double, _score double, _word binary, _times bigint"), "scored")
     c = F.coalesce("c", F.lit(0))
-    tail = both.where("word is not null").select("row", "word", "times").join(counts, "word", "left")
-    tail = tail.groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(totals["N"] + 0.5 * (totals["V"] + 1)))).alias("more"),
-        F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(totals["rest_n"] + 0.5 * (totals["rest_v"] + 1)))).alias("rest"),
+    tail = both.where("_word is not null").select("_row", F.col("_word").alias("word"), F.col("_times").alias("times")).join(counts, "word", "left")
+    tail = tail.groupBy("_row").agg(
+        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("_known"),
+        F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(totals["N"] + 0.5 * (totals["V"] + 1)))).alias("_more"),
+        F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(totals["rest_n"] + 0.5 * (totals["rest_v"] + 1)))).alias("_rest"),
     )
     zero = F.lit(0.0)
-    out = both.where("word is null").join(tail, "row", "left")
-    return out.select(*keep, "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base") + F.coalesce("more", zero)).alias("base_score"), (F.col("score") + F.coalesce("rest", zero)).alias("score"))
+    out = both.where("_word is null").join(tail, "_row", "left")
+    return out.select(*keep, F.col("_n_tokens").alias("n_tokens"), (F.col("_n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), (F.col("_base") + F.coalesce("_more", zero)).alias("base_score"), (F.col("_score") + F.coalesce("_rest", zero)).alias("score"))
 
 
 def language_model_scores(spark: SparkSession, docs: DataFrame, learn: F.Column, keep: list[str], name: str = "lm") -> tuple[DataFrame, dict]:
