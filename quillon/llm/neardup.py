@@ -280,6 +280,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
             fine = stage.table(_fine(spark, docs, again.select("doc").distinct(), width), "fine", "uncompressed")
             again, least = again.drop("bytes").join(fine, "doc"), least_agreement(FINE, percent)
         more = stage.table(_pairs(again, least, mode).join(tried, ["a", "b"], "left_anti"), f"{mode}_{k}")
+        if more.isEmpty():
+            continue
         links = links.unionByName(confirmed(spark, docs, more, width, percent, stage, f"{mode}{k}"))
         comps = components(links, stage, f"{mode}{k}")
         tried = tried.unionByName(more)
