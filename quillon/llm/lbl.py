@@ -295,8 +295,13 @@ def language_model_scores(spark: SparkSession, docs: DataFrame, learn: F.Column,
     lessons = docs.where(learn)
     counts = stage.table(word_counts(lessons), "counts")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
-    short = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(HEAD)
-    top = short.collect()  # at most HEAD short words
+    short = counts.where(F.octet_length("word") <= LONGEST).withColumn("size", F.floor(64 * F.log2("c")))
+    room, least = HEAD, None
+    for row in sorted(short.groupBy("size").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["size"]):  # some thousand sizes at most
+        if row["n"] > room:
+            break
+        room, least = room - row["n"], row["size"]
+    top = short.where(F.col("size") >= least).select("word", "c").collect() if least is not None else []  # at most HEAD short words
     top.sort(key=lambda r: (-r["c"], bytes(r["word"])))
     words, c = [bytes(r["word"]) for r in top], np.array([r["c"] for r in top], np.float64)
     head = spark.sparkContext.broadcast((words, c))
