@@ -282,9 +282,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
         more = stage.table(_pairs(again, least, mode).join(tried, ["a", "b"], "left_anti"), f"{mode}_{k}")
         if more.isEmpty():
             continue
-        links = links.unionByName(confirmed(spark, docs, more, width, percent, stage, f"{mode}{k}"))
-        comps = components(links, stage, f"{mode}{k}")
+        new = confirmed(spark, docs, more, width, percent, stage, f"{mode}{k}")
         tried = tried.unionByName(more)
+        if not new.isEmpty():  # the stars so far stand for all links found before
+            comps = components(comps.select(F.col("doc").alias("a"), F.col("comp").alias("b")).unionByName(new), stage, f"{mode}{k}")
     found = sketches.select("doc_id", "n_shingles", "set_key").join(heads_of, "set_key", "left").join(comps, "doc", "left")
     kind = docs.schema["doc_id"].dataType
     return found.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc")).cast(kind), "doc_id").alias("component_id"))
