@@ -1,11 +1,12 @@
 """A log-bilinear language model, trained by noise-contrastive estimation.
 
-The next token is predicted from a sum of context vectors, weighted by place. Frequent words have output vectors of their
-own; all others share one unit, whose mass is dealt out by counts. Units are put into classes by frequency, and
+The next token is predicted from a sum of context vectors, weighted by place. Every short word that occurs ``LEAST`` times in
+training has vectors of its own, up to ``HEAD`` words; all others share one unit, whose mass is dealt out by counts. Units are put
+into classes by frequency, each about the root of their number, and
 P(unit) = P(class) P(unit in class), both softmaxes of batched matrix products, so probabilities are normalised.
 
 Training is spread: every task runs noise-contrastive steps over all its training tokens from one common start; the results are
-averaged row by row, weighted by how often a task met the row. What moves is one row a unit and task. Word counts cover
+averaged row by row, weighted by how often a task met the row. What moves is one row a task and unit that it met. Word counts cover
 all training documents; the most frequent ``HEAD`` short words are broadcast, any other word's count is joined by a shuffle.
 
 Null text counts as empty: its end token alone. Repeated ids are scored once for each row. Without any training token the model
@@ -28,8 +29,10 @@ from .common import Stage, crc32_mod, has_columns, raw_texts, small_batches
 
 #: Words with counts at hand in every task; their bytes are at most HEAD * LONGEST.
 HEAD, LONGEST = 300_000, 48
-UNITS, CLASSES, DIM, CONTEXT = 4096, 64, 16, 3
-PER_CLASS = UNITS // CLASSES
+#: UNITS is the least number of units; they grow with the words that occur LEAST times.
+UNITS, LEAST, DIM, CONTEXT = 4096, 32, 16, 3
+#: Tokens whose outputs are computed at once.
+BLOCK = 8192
 END = b""
 HELD_OUT = (5, 1)
 
@@ -82,20 +85,32 @@ class Model:
         """Natural log of P(unit | past) of all tokens."""
         h = self.hidden(units, first, pad)
         out = np.empty(len(units), np.float64)
-        kinds = units // PER_CLASS
-        top = h @ self.Q[UNITS:].T + self.b[UNITS:]
-        out[:] = top[np.arange(len(units)), kinds] - _log_sum(top)
+        n, per_class = len(self.R), per_class_of(len(self.R))
+        kinds = units // per_class
+        for at in range(0, len(units), BLOCK):
+            top = h[at : at + BLOCK] @ self.Q[n:].T + self.b[n:]
+            out[at : at + BLOCK] = top[np.arange(len(top)), kinds[at : at + BLOCK]] - _log_sum(top)
         order = np.argsort(kinds, kind="stable")
-        cuts = np.searchsorted(kinds[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[cuts[c] : cuts[c + 1]]
-            if len(own):
-                rows = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
+        cuts = np.searchsorted(kinds[order], np.arange(n // per_class + 1))
+        for c in range(n // per_class):
+            rows = slice(c * per_class, (c + 1) * per_class)
+            for at in range(cuts[c], cuts[c + 1], BLOCK):
+                own = order[at : min(at + BLOCK, cuts[c + 1])]
                 inner = h[own] @ self.Q[rows].T + self.b[rows]
-                out[own] += inner[np.arange(len(own)), units[own] - c * PER_CLASS] - _log_sum(inner)
+                out[own] += inner[np.arange(len(own)), units[own] - c * per_class] - _log_sum(inner)
         return out
 
 
+def unit_sizes(c: np.ndarray) -> tuple[int, int]:
+    """(words with a unit of their own, units) for falling counts of the head's words; the units fill whole classes, a square of them."""
+    own = max(int((c >= LEAST).sum()), min(len(c), UNITS - 1))
+    return own, int(np.ceil(np.sqrt(max(own + 1, UNITS)))) ** 2
+
+
+def per_class_of(units: int) -> int:
+    return int(round(np.sqrt(units)))
+
+
 def _log_sum(x: np.ndarray) -> np.ndarray:
     top = x.max(axis=1)
     return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
@@ -114,12 +129,13 @@ def contexts(units: np.ndarray, first: np.ndarray, pad: int) -> list[np.ndarray]
 def start(shares: np.ndarray) -> Model:
     """The common start: small random vectors and the logs of the shares, so the first model is the unigram one."""
     r = np.random.default_rng(11)
-    by_class = shares.reshape(CLASSES, PER_CLASS).sum(axis=1)
+    n = len(shares)
+    by_class = shares.reshape(-1, per_class_of(n)).sum(axis=1)
     bias = np.log(np.maximum(np.concatenate([shares, by_class]), 1e-12))
-    return Model((0.3 * r.standard_normal((UNITS, DIM))).astype(np.float32), np.full((CONTEXT, DIM), 0.6, np.float32), (0.05 * r.standard_normal((UNITS + CLASSES, DIM))).astype(np.float32), bias.astype(np.float32))
+    return Model(r.standard_normal((n, DIM), np.float32) * np.float32(0.3), np.full((CONTEXT, DIM), 0.6, np.float32), r.standard_normal((n + len(by_class), DIM), np.float32) * np.float32(0.05), bias.astype(np.float32))
 
 
-def _scatter(n: int, rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(different rows, sums of their values)."""
     order = np.argsort(rows, kind="stable")
     sorted_rows = rows[order]
@@ -134,14 +150,15 @@ class Trainer:
         self.m = Model(*(x.copy() for x in (model.R, model.A, model.Q, model.b)))
         self.r = np.random.default_rng(seed)
         self.k, self.rate = noise, rate
-        by_class = shares.reshape(CLASSES, PER_CLASS).sum(axis=1)
+        self.per_class = per_class_of(len(shares))
+        by_class = shares.reshape(-1, self.per_class).sum(axis=1)
         self.sets = []
-        for p, offset, k in ((shares, 0, noise), (by_class, UNITS, noise // 3)):
+        for p, offset, k in ((shares, 0, noise), (by_class, len(shares), noise // 3)):
             p = np.maximum(p, 1e-9)
             p = p / p.sum()
             self.sets.append((np.cumsum(p), np.log(k * p).astype(np.float32), offset, k))
         self.gR, self.gA, self.gQ, self.gb = (np.full(x.shape, 1e-3, np.float32) for x in (model.R, model.A, model.Q, model.b))
-        self.met = np.zeros(UNITS + CLASSES)
+        self.met = np.zeros(len(model.Q))
 
     def _apply(self, x: np.ndarray, g2: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
         g2[rows] += grad * grad
@@ -152,7 +169,7 @@ class Trainer:
         vectors = [m.R[p] for p in past]
         h = sum(v * a for v, a in zip(vectors, m.A))
         dh = np.zeros_like(h)
-        for (cumulative, log_noise, offset, k), y in zip(self.sets, (units, units // PER_CLASS)):
+        for (cumulative, log_noise, offset, k), y in zip(self.sets, (units, units // self.per_class)):
             drawn = np.minimum(np.searchsorted(cumulative, self.r.random(k)), len(cumulative) - 1)
             own, other = m.Q[y + offset], m.Q[drawn + offset]
             real = (h * own).sum(axis=1) + m.b[y + offset] - log_noise[y]
@@ -160,12 +177,12 @@ class Trainer:
             g_real = -1 / (1 + np.exp(np.clip(real, -30, 30)))
             g_fake = 1 / (1 + np.exp(-np.clip(fake, -30, 30)))
             dh += g_real[:, None] * own + g_fake @ other
-            rows, sums = _scatter(UNITS, np.concatenate([y, drawn]), np.concatenate([np.concatenate([g_real[:, None] * h, g_real[:, None]], axis=1), np.concatenate([g_fake.T @ h, g_fake.sum(axis=0)[:, None]], axis=1)]))
+            rows, sums = _scatter(np.concatenate([y, drawn]), np.concatenate([np.concatenate([g_real[:, None] * h, g_real[:, None]], axis=1), np.concatenate([g_fake.T @ h, g_fake.sum(axis=0)[:, None]], axis=1)]))
             self._apply(m.Q, self.gQ, rows + offset, sums[:, :DIM] / n * 64)
             self._apply(m.b, self.gb, rows + offset, sums[:, DIM] / n * 64)
-            self.met[offset : offset + len(cumulative)] += np.bincount(y, minlength=len(cumulative))
+            np.add.at(self.met, y + offset, 1)
         places = np.concatenate(past)
-        rows, sums = _scatter(UNITS, places, np.concatenate([dh * a for a in m.A]))
+        rows, sums = _scatter(places, np.concatenate([dh * a for a in m.A]))
         dA = np.stack([(dh * v).mean(axis=0) for v in vectors])
         self._apply(m.R, self.gR, rows, sums / n * 64)
         self._apply(m.A, self.gA, np.arange(CONTEXT), dA * 0.1)
@@ -181,64 +198,71 @@ def _lookup(batch: pa.RecordBatch, ranks: dict[bytes, int]) -> tuple[list[list[b
     return each, found, first
 
 
-def _units(found: np.ndarray) -> np.ndarray:
+def _units(found: np.ndarray, own: int) -> np.ndarray:
     """Unit 0 is for all words without a vector of their own; the others follow the ranks."""
-    return np.where((found >= 0) & (found < UNITS - 1), found + 1, 0)
+    return np.where((found >= 0) & (found < own), found + 1, 0)
 
 
-def train(spark: SparkSession, docs: DataFrame, head, shares: np.ndarray) -> Model:
+def train(spark: SparkSession, docs: DataFrame, head, own: int, shares: np.ndarray) -> Model:
     """One spread run over all tokens of ``docs``."""
-    begin = spark.sparkContext.broadcast((start(shares), shares))
-    outputs = UNITS + CLASSES
+    begin = spark.sparkContext.broadcast(shares)  # the start follows from them
+    n, width = len(shares), 2 * DIM + 2
+    outputs = n + n // per_class_of(n)
+
+    def batch_of(units: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["unit", "sums"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ranks = {w: k for k, w in enumerate(head.value[0][: UNITS - 1])}
-        pad = _units(np.array([ranks.get(END, -1)]))[0]
-        model, p = begin.value
-        trainer = Trainer(model, p, TaskContext.get().partitionId())
+        ranks = {w: k for k, w in enumerate(head.value[0][:own])}
+        pad = _units(np.array([ranks.get(END, -1)]), own)[0]
+        trainer = Trainer(start(begin.value), begin.value, TaskContext.get().partitionId())
         for batch in small_batches(batches, 256):
             _, found, first = _lookup(batch, ranks)
-            units = _units(found)
+            units = _units(found, own)
             past = contexts(units, first, pad)
             order = trainer.r.permutation(len(units))
             for at in range(0, len(order), 4096):
                 some = order[at : at + 4096]
                 trainer.step(units[some], [x[some] for x in past])
-        if not trainer.met.any():
-            return
         m, met = trainer.m, trainer.met
-        rows = np.zeros((outputs, 2 * DIM + 2))
-        rows[:outputs, :DIM], rows[:outputs, DIM], rows[:UNITS, DIM + 1 : 2 * DIM + 1] = m.Q, m.b, m.R
-        rows[:outputs, -1] = met + 1e-3
-        rows[:, :-1] *= rows[:, -1:]
-        extra = np.concatenate([m.A.ravel() * met.sum() / 2, [met.sum() / 2]])
-        yield pa.RecordBatch.from_arrays([pa.array(range(outputs + 1), pa.int32()), pa.array([*(r.tobytes() for r in rows), extra.tobytes()], pa.binary())], names=["unit", "sums"])
+        some = np.flatnonzero(met)
+        if not len(some):
+            return
+        for at in range(0, len(some), BLOCK):
+            part = some[at : at + BLOCK]
+            rows = np.zeros((len(part), width))
+            words = part < n
+            rows[:, :DIM], rows[:, DIM], rows[words, DIM + 1 : 2 * DIM + 1] = m.Q[part], m.b[part], m.R[part[words]]
+            rows[:, -1] = met[part]
+            rows[:, :-1] *= rows[:, -1:]
+            yield batch_of(part, rows)
+        rows = np.zeros((CONTEXT, width))
+        rows[:, :DIM], rows[:, -1] = m.A * met.sum() / 2, met.sum() / 2
+        yield batch_of(outputs + np.arange(CONTEXT), rows)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        units, sums = np.zeros(0, np.int64), np.zeros((0, width))
         for batch in batches:
-            for unit, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(raw)
-                total[unit] = total[unit] + x if unit in total else x.copy()
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["unit", "sums"])
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, width)
+            units, sums = _scatter(np.concatenate([units, batch.column(0).to_numpy()]), np.concatenate([sums, x]))
+        for at in range(0, len(units), BLOCK):
+            x = sums[at : at + BLOCK]
+            yield pa.RecordBatch.from_arrays([pa.array([units[at : at + BLOCK].astype(np.int32).tobytes()]), pa.array([(x[:, :-1] / x[:, -1:]).astype(np.float32).tobytes()])], names=["units", "means"])
 
-    sums = docs.select("text").mapInArrow(run, "unit int, sums binary").repartition("unit").mapInArrow(add, "unit int, sums binary")
+    sums = docs.select("text").mapInArrow(run, "unit int, sums binary").repartition("unit").mapInArrow(add, "units binary, means binary")
     model = start(shares)
-    for row in sums.collect():  # one row a unit
-        x = np.frombuffer(row["sums"])
-        if row["unit"] == outputs:
-            model.A = (x[:-1] / x[-1]).reshape(CONTEXT, DIM).astype(np.float32)
-            continue
-        x = x[:-1] / x[-1]
-        model.Q[row["unit"]], model.b[row["unit"]] = x[:DIM], x[DIM]
-        if row["unit"] < UNITS:
-            model.R[row["unit"]] = x[DIM + 1 : 2 * DIM + 1]
+    for row in sums.collect():  # packed: one vector a unit
+        units, x = np.frombuffer(row["units"], np.int32), np.frombuffer(row["means"], np.float32).reshape(-1, width - 1)
+        words, places = units < n, units >= outputs
+        model.A[units[places] - outputs] = x[places, :DIM]
+        model.Q[units[~places]], model.b[units[~places]] = x[~places, :DIM], x[~places, DIM]
+        model.R[units[words]] = x[words, DIM + 1 :]
     return model
 
 
-def score(spark: SparkSession, docs: DataFrame, counts: DataFrame, head, model: Model, totals: dict, stage: Stage, keep: list[str]) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, counts: DataFrame, head, own: int, model: Model, totals: dict, stage: Stage, keep: list[str]) -> DataFrame:
     """``keep``, n_tokens, n_known, base_score, score of every row of ``docs`` (columns ``keep`` and text)."""
     shared = spark.sparkContext.broadcast((model, totals))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -249,17 +273,16 @@ def score(spark: SparkSession, docs: DataFrame, counts: DataFrame, head, model:
         words, c = head.value
         ranks = {w: k for k, w in enumerate(words)}
         model, totals = shared.value
-        pad = _units(np.array([ranks.get(END, -1)]))[0]
+        pad = _units(np.array([ranks.get(END, -1)]), own)[0]
         base = np.append(np.log10((c + 0.5) / (totals["N"] + 0.5 * (totals["V"] + 1))), 0.0)
         rest = np.append(np.log10((c + 0.5) / (totals["rest_n"] + 0.5 * (totals["rest_v"] + 1))), 0.0)
-        rest[: UNITS - 1] = 0
-        if len(words) < UNITS - 1:
-            rest[-1] = 0
+        rest[:own] = 0
+        rest[-1] = 0
         row = TaskContext.get().partitionId() << 33
         names = ["_row", *keep, "_n_tokens", "_n_known", "_base", "_score", "_word", "_times"]
         for batch in small_batches(batches, 256):
             each, found, first = _lookup(batch, ranks)
-            units = _units(found)
+            units = _units(found, own)
             logs = model.log_probabilities(units, first, pad) / np.log(10) + rest[found]
             starts = np.flatnonzero(first == 0)
             n = batch.num_rows
@@ -305,15 +328,15 @@ def language_model_scores(spark: SparkSession, docs: DataFrame, learn: F.Column,
     top.sort(key=lambda r: (-r["c"], bytes(r["word"])))
     words, c = [bytes(r["word"]) for r in top], np.array([r["c"] for r in top], np.float64)
     head = spark.sparkContext.broadcast((words, c))
-    own = c[: UNITS - 1]
+    own, n_units = unit_sizes(c)
     totals = {"N": int(sums["N"]), "V": int(sums["V"])}
-    totals |= {"rest_n": totals["N"] - int(own.sum()), "rest_v": totals["V"] - len(own)}
-    shares = np.full(UNITS, 1e-9)
+    totals |= {"rest_n": totals["N"] - int(c[:own].sum()), "rest_v": totals["V"] - own}
+    shares = np.full(n_units, 1e-9)
     shares[0] = totals["rest_n"] + 0.5
-    shares[1 : 1 + len(own)] = own
+    shares[1 : 1 + own] = c[:own]
     shares /= shares.sum()
-    model = train(spark, lessons, head, shares)
-    return score(spark, docs.select(*keep, "text"), counts, head, model, totals, stage, keep), totals
+    model = train(spark, lessons, head, own, shares)
+    return score(spark, docs.select(*keep, "text"), counts, head, own, model, totals, stage, keep), totals
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,6 +171,24 @@ def test_model_is_normalised():
     assert abs(total - 1) < 1e-4
 
 
+def test_frequent_words_have_vectors(spark):
+    """5,000 words of the same count: their order counts beyond rank 4,095 too, and the larger model is normalised."""
+    words = [f"w{k:05}" for k in range(5000)]
+    r = np.random.default_rng(5)
+    rows = [(k, " ".join(r.permutation(words)), True) for k in range(lbl.LEAST)]
+    rows += [(100, "w04990 w04995 w04998", False), (101, "w04998 w04990 w04995", False)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, learn boolean")
+    scores, totals = lbl.language_model_scores(spark, docs, docs["learn"], ["doc_id"])
+    got = {x.doc_id: x for x in scores.where("doc_id >= 100").collect()}
+    assert got[100].base_score == pytest.approx(got[101].base_score) and abs(got[100].score - got[101].score) > 1e-6
+    assert totals["rest_n"] == totals["rest_v"] == 0
+    own, n = lbl.unit_sizes(np.full(5000, float(lbl.LEAST)))
+    assert own == 5000 and n == 71**2
+    m = lbl.start(r.dirichlet(np.ones(n)))
+    logs = m.log_probabilities(np.stack([np.full(n, 9), np.arange(n)], axis=1).ravel(), np.tile([0, 1], n), 0)[1::2]
+    assert abs(np.exp(logs).sum() - 1) < 1e-4
+
+
 def test_base_scores(spark):
     got = QUERIES["op7_language_model"](spark, SF).toPandas().set_index("doc_id")
     rows = {r.doc_id: lbl.tokens_of((r.text or "").encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
