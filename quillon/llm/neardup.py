@@ -8,8 +8,10 @@ together. Regions are dealt out by ranges of (region, order): no group has to fi
 First every row meets the row of its region whose signature agrees best and the two that agree best with all rows (the likely
 originals of near copies); these few pairs are confirmed on the full sets and joined into components. Twice, rows outside their
 region's largest component then meet the three best rows of other components. At last they meet all rows of other components
-whose signatures, now much longer ones, leave the threshold possible (4.75 standard errors). Near copies in thousands therefore cost a few
-confirmations each, and no possible link between different components stays untested.
+whose signatures, now much longer ones, leave the threshold possible (4.75 standard errors), whether or not a cut lies between them: a
+region's rows are dealt into blocks, and every block of such rows meets every block of the region. Near copies in thousands
+therefore cost a few confirmations each, and no possible link between different components stays untested; thousands of rows that
+resemble each other without a link cost the square of their number.
 
 With Jaccard similarity s the prefix is shared in at least one of 20 orders with probability 1 - (1 - s^4)^20: 0.9999996 at 0.85.
 
@@ -123,7 +125,7 @@ def _regions(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np
         yield flush(len(held))
 
 
-#: How many partners a search takes for each row.
+#: How many partners a search takes for each row; ``all`` is the search across cuts.
 FIRST, CLOSEST, ALL = "first", "closest", "all"
 
 
@@ -132,7 +134,7 @@ def _partners(sig: np.ndarray, comp: np.ndarray, least: int, mode: str) -> tuple
 
     ``first``: every row with the earlier row that agrees best, and with the two rows that agree best with all others (the
     likely originals of near copies). ``closest``: rows outside the largest component with the three best rows of
-    other components. ``all``: rows outside the largest component with all rows of other components.
+    other components.
     """
     n = len(sig)
     agree = _agreement(sig, sig)
@@ -149,9 +151,6 @@ def _partners(sig: np.ndarray, comp: np.ndarray, least: int, mode: str) -> tuple
     few = np.flatnonzero(comp != names[counts.argmax()])
     agree = agree[few]
     agree[comp[few][:, None] == comp[None, :]] = -1
-    if mode == ALL:
-        x, y = np.nonzero(agree >= least)
-        return few[x], y
     best = np.argpartition(-agree, min(3, n - 1) - 1, axis=1)[:, :3]
     x = np.repeat(np.arange(len(few)), best.shape[1])
     y = best.ravel()
@@ -176,6 +175,43 @@ def _pairs(rows: DataFrame, least: int, mode: str) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _all_pairs(rows: DataFrame, least: int) -> DataFrame:
+    """Different candidate pairs (a < b) of each region's rows outside its largest component with all rows of other components.
+
+    Both sides are dealt into blocks of about ``REGION`` rows, and each pair of blocks is one group, so a region of any size spreads.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+        at = None
+
+        def met() -> Iterator[pa.RecordBatch]:
+            if not held[0] or not held[1]:
+                return
+            (few, sig, comp), (docs, others, comps) = ((np.array([x[0] for x in side]), np.frombuffer(b"".join(x[1] for x in side), np.uint8).reshape(len(side), -1), np.array([x[2] for x in side])) for side in held)
+            x, y = np.nonzero((_agreement(sig, others) >= least) & (comp[:, None] != comps[None, :]))
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(few[x], docs[y])), pa.array(np.maximum(few[x], docs[y]))], names=["a", "b"])
+
+        for batch in batches:
+            for region, piece, block, outside, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (region, piece, block) != at:
+                    yield from met()
+                    held, at = ([], []), (region, piece, block)
+                held[0 if outside else 1].append(row)
+        yield from met()
+
+    sizes = rows.groupBy("region", "comp").agg(F.count("*").alias("n")).groupBy("region")
+    sizes = sizes.agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n")).select("region", F.col("m.comp").alias("main"), F.ceil(F.col("n") / REGION).alias("pieces"), F.ceil((F.col("n") - F.col("m.n")) / REGION).alias("blocks"))
+    both = rows.join(sizes.where("blocks > 0"), "region")
+    piece, block = F.pmod(F.xxhash64("doc"), F.col("pieces")), F.pmod(F.xxhash64(F.lit(1), "doc"), F.col("blocks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    members = both.select("region", piece.alias("piece"), every("blocks").alias("block"), F.lit(False).alias("outside"), "doc", "bytes", "comp")
+    few = both.where("comp <> main").select("region", every("pieces").alias("piece"), block.alias("block"), F.lit(True).alias("outside"), "doc", "bytes", "comp")
+    keys = "region", "piece", "block"
+    return few.unionByName(members).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def _near(spark: SparkSession, df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
@@ -279,7 +315,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
         if mode == ALL:
             fine = stage.table(_fine(spark, docs, again.select("doc").distinct(), width), "fine", "uncompressed")
             again, least = again.drop("bytes").join(fine, "doc"), least_agreement(FINE, percent)
-        more = stage.table(_pairs(again, least, mode).join(tried, ["a", "b"], "left_anti"), f"{mode}_{k}")
+        pairs = _all_pairs(again, least) if mode == ALL else _pairs(again, least, mode)
+        more = stage.table(pairs.join(tried, ["a", "b"], "left_anti"), f"{mode}_{k}")
         if more.isEmpty():
             continue
         new = confirmed(spark, docs, more, width, percent, stage, f"{mode}{k}")

@@ -112,7 +112,7 @@ def test_near_duplicates(spark):
     words = np.array([f"w{k}" for k in range(5000)])
     rows, i = [], 0
     for _ in range(25):
-        base = r.choice(words, 120)
+        base = r.choice(words, 112)
         for _ in range(int(r.integers(1, 9))):
             own = base.copy()
             at = r.integers(0, 120, int(r.integers(0, 6)))
@@ -133,6 +133,32 @@ def test_near_duplicates(spark):
     assert {x.doc_id: x.component_id for x in got} == best and all(x.n_shingles == len(sets[x.doc_id]) for x in got)
 
 
+def test_links_across_cuts(spark, monkeypatch):
+    """A family just below the threshold that is many times a region's size, with planted copies in it: none is lost."""
+    monkeypatch.setattr(neardup, "REGION", 4)
+    r = np.random.default_rng(4)
+    words = np.array([f"w{k}" for k in range(5000)])
+    base = r.choice(words, 112)
+
+    def changed(text, n):
+        own = text.copy()
+        own[3 * r.choice(np.arange(1, 37), n, replace=False)] = r.choice(words, n)
+        return own
+
+    family = [changed(base, 2) for _ in range(150)]
+    family += [changed(x, 2) for x in family[:60]]
+    sets = [set(zip(w, w[1:], w[2:])) for w in map(list, family)]
+    best = list(range(len(sets)))
+    for b in range(len(sets)):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and best[a] != best[b]:
+                low, high = sorted((best[a], best[b]))
+                best = [low if x == high else x for x in best]
+    rows = [(k, " ".join(w)) for k, w in enumerate(family)]
+    got = neardup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()
+    assert len(set(best)) > 60 and {x.doc_id: x.component_id for x in got} == dict(enumerate(best))
+
+
 def test_large_region_is_cut(monkeypatch):
     import pyarrow as pa
 
