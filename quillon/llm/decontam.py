@@ -86,7 +86,8 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
                 found = some.select(*keep, F.explode(hits).alias("x")).select(*keep, "x.i", "x.shingle")
             else:
                 places = some.select("doc_id", "_text_hash", F.explode(F.expr(_keyed(kind))).alias("x")).select("doc_id", "_text_hash", "x.i", "x.shingle").join(own, "shingle")
-                found = places.join(some.dropDuplicates(["doc_id", "_text_hash"]), ["doc_id", "_text_hash"]) if "w" in keep else places
+                owners = some.dropDuplicates(["doc_id", "_text_hash"]).select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash"), "w")
+                found = places.join(owners, F.expr("doc_id <=> _id AND _text_hash = _hash")) if "w" in keep else places
                 found = found.select(*keep, "i", "shingle")
             found = found.withColumn("kind", F.lit(kind))
             out = found if out is None else out.unionByName(found)
@@ -109,8 +110,9 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     covered = exact.groupBy("doc_id", "_text_hash").agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(start, start + size - 1)"))))).cast("long").alias("n_hit"))
     held = exact.select("doc_id", "_text_hash", "window").distinct().join(near(items), "window").select("doc_id", "_text_hash", F.col("item_id").cast("string").alias("item")).distinct()
     held = held.groupBy("doc_id", "_text_hash").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item")), ","), 256).alias("items_sha256"))
-    result = covered.join(held, ["doc_id", "_text_hash"])
-    out = sizes.join(result.withColumnRenamed("doc_id", "_id").withColumnRenamed("_text_hash", "_hash"), F.expr("doc_id <=> _id AND _text_hash = _hash"), "left")
+    covered = covered.withColumnRenamed("doc_id", "_id").withColumnRenamed("_text_hash", "_hash")
+    result = covered.join(held, F.expr("doc_id <=> _id AND _text_hash = _hash")).drop("doc_id", "_text_hash")
+    out = sizes.join(result, F.expr("doc_id <=> _id AND _text_hash = _hash"), "left")
     return out.select("doc_id", "_text_hash", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 

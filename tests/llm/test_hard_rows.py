@@ -85,6 +85,13 @@ def test_decontamination(spark, sf, hard, empty, literals):
     assert decontam.contamination(spark, empty, bench, literals=literals).count() == 0
 
 
+@pytest.mark.parametrize("literals", [decontam.LITERALS, 0])
+def test_decontamination_without_id(spark, sf, literals):
+    docs = spark.createDataFrame([(None, HARD[5][1]), (None, "no id and clean"), (1, "clean")], "doc_id bigint, text string")
+    got = decontam.contamination(spark, docs, spark.read.parquet(f"{sf}/benchmark.parquet"), literals=literals).collect()
+    assert sorted((str(r.doc_id), r.n_hit, r.n_items, r.contaminated) for r in got) == [("1", 0, 0, False), ("None", 0, 0, False), ("None", 10, 1, True)]
+
+
 def test_language_model(spark, empty, hard):
     scores, totals = lbl.language_model_scores(spark, empty, F.lit(True), ["doc_id"])
     assert scores.count() == 0 and totals["N"] == 0
