@@ -3,8 +3,8 @@
 A text is cut before every single space that stands between two visible characters. The vocabulary's
 split pattern never joins characters across such a place, so the pieces' ids, joined, are the ids of
 the text. A piece's ids are kept in a bounded per-process cache; only unseen pieces reach the library.
-Texts with other runs of white space (double spaces, a space beside a line break, Unicode spaces) are
-encoded whole by the library.
+Texts with other runs of white space (double spaces, a space beside a line break, Unicode spaces) or
+with an added token such as <|endoftext|> are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ class CachedBpe:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.max_pieces = max_pieces
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
         self.pieces: dict[str, bytes] = {}
@@ -128,7 +129,7 @@ class CachedBpe:
         split: list[tuple[list[str], list, list[int]] | None] = []
         missing: set[str] = set()
         for text in texts:
-            if not text or "\x00" in text or _UNSAFE.search(text):
+            if not text or "\x00" in text or _UNSAFE.search(text) or (self.added and self.added.search(text)):
                 split.append(None)
                 continue
             pieces = text.replace(" ", "\x00 ").split("\x00")

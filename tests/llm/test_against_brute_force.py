@@ -33,6 +33,14 @@ def test_bpe_is_the_library():
         assert np.frombuffer(got, c.dtype).tolist() == c.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_are_the_library():
+    from tokenizers import Tokenizer
+
+    c, library = bpe.cached_bpe(bpe.default_vocabulary()), Tokenizer.from_file(bpe.default_vocabulary())
+    for t in ("<|endoftext|>", "a word <|endoftext|> and more", "x<|endoftext|>y", "plain words only"):
+        assert np.frombuffer(c.encode([t])[0], c.dtype).tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [0, 1, 4095, 4096, 4097, 300_000])
 def test_rans_kernel(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 40_000).astype(np.int64)
