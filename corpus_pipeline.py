@@ -37,13 +37,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates (five words, similarity 0.8)."""
     docs = has_columns(docs, COLUMNS)
-    found = neardup.near_duplicates(spark, docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
-    ids = left.where("doc_id is not null").select("doc_id")
-    if ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():  # rows that repeat an id are one document
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
-    return left
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    if not ids.where("n > 1").limit(1).count():
+        found = neardup.near_duplicates(spark, docs)
+        gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    # rows that repeat an id are one document only if their texts are equal or linked: numbers by (id, text) stand for the ids
+    stage = Stage(spark, "near_numbers")
+    known = docs.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r")).select("doc_id", "text", "r.*")
+    key = F.xxhash64("text")
+    ordered = known.repartitionByRange("doc_id", key, "text").sortWithinPartitions("doc_id", key, "text")
+    known = stage.table(ordered.withColumn("_number", F.monotonically_increasing_id()), "numbers")
+    found = neardup.near_duplicates(spark, known.select(F.col("_number").alias("doc_id"), "text"))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_number")).distinct()
+    return known.join(gone, "_number", "left_anti").select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,3 +141,11 @@ def test_pipeline_stages(spark, sf, hard, empty):
     assert 6 not in left["benchmark_decontamination"] and 5 not in left["benchmark_decontamination"] and {1, 2, 3, 4, None, 10} <= left["benchmark_decontamination"]
     assert left["line_dedup"] == {i for i, _ in HARD}
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_repeated_ids_keep_other_texts(spark):
+    texts = ["red green blue black white grey", "one two three four five six seven", "one two three four five six seven", ""]
+    rows = [(5, t, "en", "s", len(t)) for t in texts] + [(6, texts[1], "en", "s", 3), (None, "x", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == [("5", ""), ("5", texts[1]), ("5", texts[0]), ("None", "x")]
