@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import cached_bpe, default_vocabulary
-from .common import Stage, has_columns, small_batches, texts
+from .common import Stage, has_columns
 
 END_ID = 2
 SIZE = 1024
@@ -38,19 +38,19 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = END
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = cached_bpe(vocabulary)
-        for batch in small_batches(batches):
-            rows, columns = [], ([], [], [], [])
-            for k, raw in enumerate(bpe.encode(texts(batch))):
-                ids = np.append(np.frombuffer(raw, bpe.dtype), bpe.dtype.type(end_id)).astype("<u4")
-                n, at = len(ids), 0
-                first = (n - 1) % size + 1
-                for piece in range((n - 1) // size + 1):
-                    length = size if piece else first
-                    rows.append(k)
-                    for c, v in zip(columns, (piece, at, length, zlib.crc32(ids[at : at + length]))):
-                        c.append(v)
-                    at += length
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for batch in batches:
+            for at, data, bounds in bpe.encode_column(batch.column(1), end_id):
+                sizes = np.diff(bounds)
+                many = -(-sizes // size)
+                rows = np.repeat(np.arange(len(sizes)), many)
+                nth = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
+                first = (sizes - 1) % size + 1
+                start = np.where(nth > 0, first[rows] + (nth - 1) * size, 0)
+                length = np.where(nth > 0, size, first[rows])
+                raw = memoryview(data.astype("<u4")).cast("B")
+                begin = 4 * (bounds[rows] + start)
+                crcs = [zlib.crc32(raw[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * length).tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + rows)), pa.array(nth, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crcs))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.mapInArrow(run, schema)
 

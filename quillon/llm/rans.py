@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import cached_bpe, default_vocabulary
-from .common import Stage, has_columns, small_batches, texts
+from .bpe import binary_rows, cached_bpe, default_vocabulary
+from .common import Stage, has_columns, small_batches
 
 MAGIC, VERSION = b"QRNS", 1
 BITS = 20
@@ -149,9 +149,9 @@ def _tokens(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = cached_bpe(vocabulary)
-        end = np.array([end_id], bpe.dtype).tobytes()
-        for batch in small_batches(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x + end for x in bpe.encode(texts(batch))], pa.binary())], names=["doc_id", "ids"])
+        for batch in batches:
+            for at, data, bounds in bpe.encode_column(batch.column(1), end_id):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(bounds) - 1), binary_rows(data, bounds)], names=["doc_id", "ids"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary")
 
