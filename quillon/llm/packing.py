@@ -5,7 +5,8 @@ sequences of their own. The rest is bin packing over at most ``size - 1`` differ
 each length says all: it is counted on the cluster and the plan is made from these counts alone, at any corpus size.
 
 1. Large lengths are put into groups of (nearly) equal cardinality and rounded up to their group's longest.
-2. The few rounded sizes are packed by configurations (multisets that fit a sequence), chosen as whole batches.
+2. The few rounded sizes are packed by configurations (multisets that fit a sequence); a linear programme says how often each
+   is used, and its columns come from a knapsack.
 3. Actual pieces take the places of rounded ones, longest first, which leaves slack.
 4. Small pieces go by best fit, longest first, into the slack, then into new sequences.
 
@@ -82,6 +83,48 @@ def _configuration(sizes: list[int], left: list[int], size: int, first: int) ->
     return counts
 
 
+def optimised(sizes: list[int], demand: list[int], size: int) -> list[tuple[list[int], int]]:
+    """Configurations and how often each is used: the linear programme of fewest sequences, rounded down.
+
+    A revised simplex method over columns that a knapsack finds: a configuration enters while the sizes' prices say that it
+    is worth more than one sequence. Work depends on the number of sizes alone.
+    """
+    m = len(sizes)
+    if not m:
+        return []
+    s, each = np.array(sizes), np.array([size // n for n in sizes])
+    columns, inverse, x = np.diag(each).astype(float), np.diag(1.0 / each), np.array(demand) / each
+    most = size // int(s.min())
+    room = np.arange(size + 1)[None, :] - s[:, None]
+    for _ in range(60 * m):
+        price = inverse.sum(axis=0)
+        best, chosen = np.zeros(size + 1), []
+        for _ in range(most):  # one item more in each round
+            gain = np.where(room >= 0, price[:, None] + best[np.maximum(room, 0)], 0.0)
+            pick = gain.argmax(axis=0)
+            more = gain[pick, np.arange(size + 1)]
+            chosen.append(np.where(more > best, pick, -1))
+            best = np.maximum(more, best)
+        if best[size] <= 1 + 1e-9:
+            break
+        column, left = np.zeros(m), size
+        for picks in reversed(chosen):
+            if picks[left] >= 0:
+                column[picks[left]] += 1
+                left -= s[picks[left]]
+        step = inverse @ column
+        ok = step > 1e-9
+        ratio = np.where(ok, x / np.where(ok, step, 1), np.inf)
+        out = int(ratio.argmin())
+        x = np.maximum(x - ratio[out] * step, 0)
+        x[out] = ratio[out]
+        columns[:, out] = column
+        row = inverse[out] / step[out]
+        inverse -= np.outer(step, row)
+        inverse[out] = row
+    return [(columns[:, k].astype(int).tolist(), int(x[k] + 1e-6)) for k in range(m) if x[k] >= 1 - 1e-6]
+
+
 def plan(counts: np.ndarray, size: int = SIZE, large: float = 1 / 4, groups: int = 256) -> list[tuple[int, list[tuple[int, int]]]]:
     """Runs of (number of sequences, [(length, how many in each)]) for ``counts[length]`` pieces of each length.
 
@@ -103,35 +146,42 @@ def plan(counts: np.ndarray, size: int = SIZE, large: float = 1 / 4, groups: int
     left = [sum(c for _, c in q) for q in queues]
     open_runs: list[list] = []  # [number, contents, room]
     # 2. and 3. whole batches of one configuration; actual lengths are drawn from their groups, longest first
-    for i in range(len(sizes)):
+
+    def use(config: list[int], times: int) -> None:
+        times = min([times, *(left[j] // c for j, c in enumerate(config) if c)])
+        if not times:
+            return
+        for j, c in enumerate(config):
+            left[j] -= c * times
+        slots = [j for j, c in enumerate(config) for _ in range(c)]
+        drawn = []  # a list of (length, number) runs for each place in the configuration
+        for j in slots:
+            need, got = times, []
+            while need:
+                n, have = queues[j][0]
+                take = min(need, have)
+                got.append((n, take))
+                queues[j][0][1] -= take
+                need -= take
+                if not queues[j][0][1]:
+                    queues[j].pop(0)
+            drawn.append(got)
+        bounds = sorted({0, *(int(x) for got in drawn for x in np.cumsum([c for _, c in got]))})
+        for a, b in zip(bounds, bounds[1:]):
+            contents = []
+            for got in drawn:
+                at = 0
+                for n, c in got:
+                    if at <= a < at + c:
+                        contents.append(n)
+                    at += c
+            open_runs.append([b - a, contents, size - sum(contents)])
+
+    for config, times in optimised(sizes, left, size):
+        use(config, times)
+    for i in range(len(sizes)):  # what rounding down has left, a few sequences for each size
         while left[i]:
-            config = _configuration(sizes, left, size, i)
-            times = min(left[j] // c for j, c in enumerate(config) if c)
-            for j, c in enumerate(config):
-                left[j] -= c * times
-            slots = [j for j, c in enumerate(config) for _ in range(c)]
-            drawn = []  # a list of (length, number) runs for each place in the configuration
-            for j in slots:
-                need, got = times, []
-                while need:
-                    n, have = queues[j][0]
-                    take = min(need, have)
-                    got.append((n, take))
-                    queues[j][0][1] -= take
-                    need -= take
-                    if not queues[j][0][1]:
-                        queues[j].pop(0)
-                drawn.append(got)
-            bounds = sorted({0, *(int(x) for got in drawn for x in np.cumsum([c for _, c in got]))})
-            for a, b in zip(bounds, bounds[1:]):
-                contents = []
-                for got in drawn:
-                    at = 0
-                    for n, c in got:
-                        if at <= a < at + c:
-                            contents.append(n)
-                        at += c
-                open_runs.append([b - a, contents, size - sum(contents)])
+            use(_configuration(sizes, left, size, i), total)
     # 4. best fit of the small ones, longest first: the least room that takes the piece
     by_room: dict[int, list[list]] = defaultdict(list)
     for r in open_runs:
