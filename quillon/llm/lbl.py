@@ -1,70 +1,137 @@
 """A log-bilinear language model, trained by noise-contrastive estimation.
 
-The next token is predicted from a sum of context vectors, weighted by place. Every short word that occurs ``LEAST`` times in
-training has vectors of its own, up to ``HEAD`` words; all others share one unit, whose mass is dealt out by counts. Units are put
-into classes by frequency, each about the root of their number, and
-P(unit) = P(class) P(unit in class), both softmaxes of batched matrix products, so probabilities are normalised.
-
-Training is spread: every task runs noise-contrastive steps over all its training tokens from one common start; the results are
-averaged row by row, weighted by how often a task met the row. What moves is one row a task and unit that it met. Word counts cover
-all training documents; the most frequent ``HEAD`` short words are broadcast, any other word's count is joined by a shuffle.
-
-Null text counts as empty: its end token alone. Repeated ids are scored once for each row. Without any training token the model
-gives every token of a text the same share of the one unseen slot, as the base does.
+The next token is predicted from a sum of context vectors, weighted by place. Every word has a vector: the most frequent ones a
+unit of their own, all others (unknown words too) the unit of their last ``SUFFIX`` bytes, within which counts tell them apart.
+Units grow with the vocabulary: as many as the square of its cube root, so a token's cost grows with the cube root. They stand in
+classes of equal size by frequency, and P(word) = P(class) P(unit in class) P(word in unit); the first two are softmaxes of batched
+matrix products, so probabilities are normalised over the known words and one unseen slot for each suffix unit.
+
+Training takes ``ROUNDS`` rounds. A row's hash says its round and shard, and a shard's rows are sorted, so the input's partitions
+make no difference but for rounding (the sums of a unit's rows are taken in their shards' order). In a round every shard runs noise-contrastive steps over its rows from the
+last round's model; the results are averaged unit by unit, weighted by how often a shard met the unit. A shard has some
+``SHARE`` tokens for each unit, so what moves, one row a shard and unit, stays below the corpus.
+
+Word counts cover all training documents; the most frequent ``HEAD`` short words are broadcast, any other word's count is joined by a
+shuffle. Null text counts as empty: its end token alone. Repeated ids are scored once for each row. Without any training token the
+model gives a token the share of its unseen slot.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, crc32_mod, has_columns, raw_texts, small_batches
+from .common import Stage, crc32_mod, has_columns
 
 #: Words with counts at hand in every task; their bytes are at most HEAD * LONGEST.
 HEAD, LONGEST = 300_000, 48
-#: UNITS is the least number of units; they grow with the words that occur LEAST times.
-UNITS, LEAST, DIM, CONTEXT = 4096, 32, 16, 3
-#: Tokens whose outputs are computed at once.
-BLOCK = 8192
+#: The least and largest side of the square of units; the share of units for suffixes; the least count of a word with its own unit.
+SIDES, SUFFIXES, LEAST = (32, 512), 1 / 4, 8
+DIM, CONTEXT, SUFFIX = 16, 3, 3
+ROUNDS, SHARE, LESSON = 3, 128, 1_000_000
+#: Tokens whose outputs and whose predictions are computed at once, and bytes of text that are split at once.
+BLOCK, CHUNK, SLICE_BYTES = 2048, 1 << 17, 4 << 20
 END = b""
 HELD_OUT = (5, 1)
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    """Lower-cased (A-Z) words and one end token."""
-    words = text.lower().split()
-    words.append(END)
-    return words
-
-
-def word_counts(docs: DataFrame, limit: int = 400_000) -> DataFrame:
-    """word (binary), c: partial counts a task, never more than ``limit`` words at once, then a sum."""
+def tokens(column: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """Slices of a column of texts: (first row, its different tokens, the place of each token among them, tokens of each row).
+
+    Tokens are words in lower case (A-Z) and one end, the last of the different ones, after each row.
+    """
+    column = pc.fill_null(column.cast(pa.string()), "")
+    sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        before = int(sizes[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, side="right")))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(column.slice(at, stop - at)))
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        real = pc.greater(pc.binary_length(words.dictionary), 0).to_numpy(zero_copy_only=False)
+        index = words.indices.to_numpy().astype(np.int64)
+        keep = real[index] if len(index) else np.zeros(0, bool)
+        bounds = np.concatenate([[0], np.cumsum(keep)])[bounds - bounds[0]]  # white space at a text's edges leaves empty parts
+        index = np.insert(index[keep], bounds[1:], len(words.dictionary))
+        yield at, pa.concat_arrays([words.dictionary.cast(pa.binary()), pa.array([END], pa.binary())]), index, np.diff(bounds) + 1
+        at = stop
+
+
+def word_counts(docs: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """word (binary), c: partial counts a task, never more than about ``limit`` rows at once, then a sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held: list[pa.Table] = []
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+        def out() -> list[pa.RecordBatch]:
+            both = pa.concat_tables(held).group_by("word").aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
+            held.clear()
+            return both.combine_chunks().to_batches(max_chunksize=100_000)
 
-        for batch in small_batches(batches):
-            for text in raw_texts(batch):
-                counts.update(tokens_of(text))
-            if len(counts) > limit:
-                yield out()
-                counts.clear()
-        if counts:
-            yield out()
+        for batch in batches:
+            for _, words, index, _ in tokens(batch.column(0)):
+                counts = np.bincount(index, minlength=len(words))
+                some = np.flatnonzero(counts)
+                held.append(pa.table({"word": words.take(pa.array(some)), "c": pa.array(counts[some], pa.int64())}))
+                if sum(t.num_rows for t in held) > limit:
+                    yield from out()
+        if held:
+            yield from out()
 
     return docs.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+@dataclass
+class Units:
+    """Which unit a word has. ``words`` are the head's in falling order of counts ``c``, the first ``own`` of them have units."""
+
+    words: list[bytes]
+    c: np.ndarray
+    own: int
+    side: int
+    #: Log10 of the sum over a suffix unit's known words and unseen slot, from the first one on.
+    within: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.ranks: dict[bytes, int] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"ranks": None}
+
+    @property
+    def suffixes(self) -> int:
+        return self.side**2 - self.own
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ranks in the head or -1, units) of different words."""
+        if self.ranks is None:
+            self.ranks = {w: k for k, w in enumerate(self.words)}
+        flat = words.to_numpy(zero_copy_only=False).tolist()
+        found = np.fromiter(map(self.ranks.get, flat, repeat(-1)), np.int64, len(flat))
+        units = found.copy()
+        crc, n, own = zlib.crc32, self.suffixes, self.own
+        rare = np.flatnonzero((found < 0) | (found >= own)).tolist()
+        units[rare] = [own + crc(flat[k][-SUFFIX:]) % n for k in rare]
+        return found, units
+
+    def pad(self) -> int:
+        return int(self.of(pa.array([END], pa.binary()))[1][0])
+
+
+def side_of(vocabulary: int) -> int:
+    """The side of the square of units for a number of different training tokens."""
+    return int(np.clip(round(vocabulary ** (1 / 3)), *SIDES))
+
+
 @dataclass
 class Model:
     """R: context vectors (units, dim); A: weights by place (context, dim); Q, b: vectors and biases of units, then of classes."""
@@ -74,46 +141,61 @@ class Model:
     Q: np.ndarray
     b: np.ndarray
 
-    def hidden(self, units: np.ndarray, first: np.ndarray, pad: int) -> np.ndarray:
-        """Predictions before each token; ``first`` has each token's place in its text."""
-        h = np.zeros((len(units), DIM), np.float32)
-        for k, past in enumerate(contexts(units, first, pad)):
-            h += self.R[past] * self.A[k]
+    def hidden(self, past: list[np.ndarray]) -> np.ndarray:
+        """Predictions before each token; ``past`` has the units one, two ... places before."""
+        h = self.R[past[0]]
+        h *= self.A[0]
+        for k in range(1, CONTEXT):
+            more = self.R[past[k]]
+            more *= self.A[k]
+            h += more
         return h
 
     def log_probabilities(self, units: np.ndarray, first: np.ndarray, pad: int) -> np.ndarray:
         """Natural log of P(unit | past) of all tokens."""
-        h = self.hidden(units, first, pad)
-        out = np.empty(len(units), np.float64)
+        out = np.zeros(len(units), np.float64)
+        past = contexts(units, first, pad)
+        for at in range(0, len(units), CHUNK):
+            some = slice(at, at + CHUNK)
+            out[some] = self._some(units[some], self.hidden([x[some] for x in past]))
+        return out
+
+    def _some(self, units: np.ndarray, h: np.ndarray) -> np.ndarray:
         n, per_class = len(self.R), per_class_of(len(self.R))
         kinds = units // per_class
+        order = np.argsort(kinds.astype(np.int16), kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(kinds, minlength=n // per_class))])
+        h, units, kinds = h[order], units[order], kinds[order]
+        logs = np.empty(len(units))
         for at in range(0, len(units), BLOCK):
-            top = h[at : at + BLOCK] @ self.Q[n:].T + self.b[n:]
-            out[at : at + BLOCK] = top[np.arange(len(top)), kinds[at : at + BLOCK]] - _log_sum(top)
-        order = np.argsort(kinds, kind="stable")
-        cuts = np.searchsorted(kinds[order], np.arange(n // per_class + 1))
+            some = slice(at, at + BLOCK)
+            logs[some] = _log_share(h[some], self.Q[n:], self.b[n:], kinds[some])
         for c in range(n // per_class):
             rows = slice(c * per_class, (c + 1) * per_class)
             for at in range(cuts[c], cuts[c + 1], BLOCK):
-                own = order[at : min(at + BLOCK, cuts[c + 1])]
-                inner = h[own] @ self.Q[rows].T + self.b[rows]
-                out[own] += inner[np.arange(len(own)), units[own] - c * per_class] - _log_sum(inner)
+                some = slice(at, min(at + BLOCK, cuts[c + 1]))
+                logs[some] += _log_share(h[some], self.Q[rows], self.b[rows], units[some] - c * per_class)
+        out = np.empty(len(units))
+        out[order] = logs
         return out
 
 
-def unit_sizes(c: np.ndarray) -> tuple[int, int]:
-    """(words with a unit of their own, units) for falling counts of the head's words; the units fill whole classes, a square of them."""
-    own = max(int((c >= LEAST).sum()), min(len(c), UNITS - 1))
-    return own, int(np.ceil(np.sqrt(max(own + 1, UNITS)))) ** 2
-
-
 def per_class_of(units: int) -> int:
     return int(round(np.sqrt(units)))
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+def _log_share(h: np.ndarray, q: np.ndarray, b: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Log of the softmax of h q + b at one place of each row."""
+    scores = h @ q.T
+    scores += b
+    own = scores[np.arange(len(scores)), which].astype(np.float64)
+    if scores.max() < 60:  # no overflow
+        total = np.exp(scores, out=scores) @ np.ones(len(b), np.float32)
+        if total.min() > 1e-30:
+            return own - np.log(total.astype(np.float64))
+        scores = h @ q.T + b
+    top = scores.max(axis=1)
+    return own - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
 
 
 def contexts(units: np.ndarray, first: np.ndarray, pad: int) -> list[np.ndarray]:
@@ -121,7 +203,8 @@ def contexts(units: np.ndarray, first: np.ndarray, pad: int) -> list[np.ndarray]
     out = []
     for k in range(1, CONTEXT + 1):
         past = np.full(len(units), pad, units.dtype)
-        past[k:] = np.where(first[k:] >= k, units[:-k], pad)
+        past[k:] = units[:-k]
+        past[first < k] = pad
         out.append(past)
     return out
 
@@ -135,9 +218,9 @@ def start(shares: np.ndarray) -> Model:
     return Model(r.standard_normal((n, DIM), np.float32) * np.float32(0.3), np.full((CONTEXT, DIM), 0.6, np.float32), r.standard_normal((n + len(by_class), DIM), np.float32) * np.float32(0.05), bias.astype(np.float32))
 
 
-def _scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(different rows, sums of their values)."""
-    order = np.argsort(rows, kind="stable")
+def _scatter(rows: np.ndarray, values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(different rows, sums of their values); rows are below ``most``."""
+    order = np.argsort(rows.astype(np.uint16) if most <= 65536 else rows, kind="stable")  # a radix sort of short numbers
     sorted_rows = rows[order]
     at = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
     return sorted_rows[at], np.add.reduceat(values[order], at, axis=0)
@@ -146,7 +229,7 @@ def _scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Trainer:
     """Noise-contrastive steps with AdaGrad; units and classes are two sets of outputs over one prediction."""
 
-    def __init__(self, model: Model, shares: np.ndarray, seed: int, noise: int = 48, rate: float = 0.08):
+    def __init__(self, model: Model, shares: np.ndarray, seed: int, noise: int = 64, rate: float = 0.06):
         self.m = Model(*(x.copy() for x in (model.R, model.A, model.Q, model.b)))
         self.r = np.random.default_rng(seed)
         self.k, self.rate = noise, rate
@@ -161,185 +244,238 @@ class Trainer:
         self.met = np.zeros(len(model.Q))
 
     def _apply(self, x: np.ndarray, g2: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-        g2[rows] += grad * grad
-        x[rows] -= self.rate * grad / np.sqrt(g2[rows])
+        seen = g2[rows]
+        seen += grad * grad
+        g2[rows] = seen
+        x[rows] -= self.rate * grad / np.sqrt(seen)
+
+    def learn(self, units: np.ndarray, past: list[np.ndarray], size: int = 4096) -> None:
+        """Steps over all tokens in a random order."""
+        order = self.r.permutation(len(units))
+        for at in range(0, len(order), size):
+            some = order[at : at + size]
+            self.step(units[some], [x[some] for x in past])
+        n = len(self.m.R)
+        self.met[:n] += np.bincount(units, minlength=n)
+        self.met[n:] += np.bincount(units // self.per_class, minlength=len(self.met) - n)
 
     def step(self, units: np.ndarray, past: list[np.ndarray]) -> None:
         m, n = self.m, len(units)
         vectors = [m.R[p] for p in past]
-        h = sum(v * a for v, a in zip(vectors, m.A))
+        h = vectors[0] * m.A[0]
+        for v, a in zip(vectors[1:], m.A[1:]):
+            h += v * a
         dh = np.zeros_like(h)
+        scale = np.float32(64 / n)
         for (cumulative, log_noise, offset, k), y in zip(self.sets, (units, units // self.per_class)):
             drawn = np.minimum(np.searchsorted(cumulative, self.r.random(k)), len(cumulative) - 1)
             own, other = m.Q[y + offset], m.Q[drawn + offset]
-            real = (h * own).sum(axis=1) + m.b[y + offset] - log_noise[y]
-            fake = h @ other.T + (m.b[drawn + offset] - log_noise[drawn])
-            g_real = -1 / (1 + np.exp(np.clip(real, -30, 30)))
-            g_fake = 1 / (1 + np.exp(-np.clip(fake, -30, 30)))
-            dh += g_real[:, None] * own + g_fake @ other
-            rows, sums = _scatter(np.concatenate([y, drawn]), np.concatenate([np.concatenate([g_real[:, None] * h, g_real[:, None]], axis=1), np.concatenate([g_fake.T @ h, g_fake.sum(axis=0)[:, None]], axis=1)]))
-            self._apply(m.Q, self.gQ, rows + offset, sums[:, :DIM] / n * 64)
-            self._apply(m.b, self.gb, rows + offset, sums[:, DIM] / n * 64)
-            np.add.at(self.met, y + offset, 1)
-        places = np.concatenate(past)
-        rows, sums = _scatter(places, np.concatenate([dh * a for a in m.A]))
-        dA = np.stack([(dh * v).mean(axis=0) for v in vectors])
-        self._apply(m.R, self.gR, rows, sums / n * 64)
-        self._apply(m.A, self.gA, np.arange(CONTEXT), dA * 0.1)
-
-
-def _lookup(batch: pa.RecordBatch, ranks: dict[bytes, int]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """(tokens of each text, ranks of all tokens or -1, place of each in its text)."""
-    each = [tokens_of(t) for t in raw_texts(batch)]
-    sizes = np.fromiter(map(len, each), np.int64, len(each))
-    flat = [w for ws in each for w in ws]
-    found = np.fromiter(map(ranks.get, flat, repeat(-1)), np.int64, len(flat))
-    first = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return each, found, first
-
-
-def _units(found: np.ndarray, own: int) -> np.ndarray:
-    """Unit 0 is for all words without a vector of their own; the others follow the ranks."""
-    return np.where((found >= 0) & (found < own), found + 1, 0)
-
-
-def train(spark: SparkSession, docs: DataFrame, head, own: int, shares: np.ndarray) -> Model:
-    """One spread run over all tokens of ``docs``."""
-    begin = spark.sparkContext.broadcast(shares)  # the start follows from them
+            real = np.einsum("ij,ij->i", h, own) + m.b[y + offset] - log_noise[y]
+            fake = h @ other.T
+            fake += m.b[drawn + offset] - log_noise[drawn]
+            g_real = -scale / (1 + np.exp(np.clip(real, -30, 30)))
+            np.clip(fake, -30, 30, out=fake)
+            np.negative(fake, out=fake)
+            np.exp(fake, out=fake)
+            fake += 1
+            g_fake = np.divide(scale, fake, out=fake)
+            own *= g_real[:, None]
+            dh += own
+            dh += g_fake @ other
+            grads = np.empty((n + k, DIM + 1), np.float32)
+            np.multiply(h, g_real[:, None], out=grads[:n, :DIM])
+            grads[:n, DIM] = g_real
+            grads[n:, :DIM] = g_fake.T @ h
+            grads[n:, DIM] = g_fake.sum(axis=0)
+            rows, sums = _scatter(np.concatenate([y, drawn]), grads, len(cumulative))
+            self._apply(m.Q, self.gQ, rows + offset, sums[:, :DIM])
+            self._apply(m.b, self.gb, rows + offset, sums[:, DIM])
+        rows, sums = _scatter(np.concatenate(past), np.concatenate([dh * a for a in m.A]), len(m.R))
+        dA = np.stack([np.einsum("ij,ij->j", dh, v) for v in vectors])
+        self._apply(m.R, self.gR, rows, sums)
+        self._apply(m.A, self.gA, np.arange(CONTEXT), dA * np.float32(0.1 / 64))
+
+
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """The place of each token in its row."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def train(spark: SparkSession, docs: DataFrame, units, shares: np.ndarray, n_tokens: int) -> Model:
+    """``ROUNDS`` rounds over all rows of ``docs`` (columns doc_id, text); ``units`` is a broadcast of ``Units``."""
     n, width = len(shares), 2 * DIM + 2
     outputs = n + n // per_class_of(n)
-
-    def batch_of(units: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["unit", "sums"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        ranks = {w: k for k, w in enumerate(head.value[0][:own])}
-        pad = _units(np.array([ranks.get(END, -1)]), own)[0]
-        trainer = Trainer(start(begin.value), begin.value, TaskContext.get().partitionId())
-        for batch in small_batches(batches, 256):
-            _, found, first = _lookup(batch, ranks)
-            units = _units(found, own)
-            past = contexts(units, first, pad)
-            order = trainer.r.permutation(len(units))
-            for at in range(0, len(order), 4096):
-                some = order[at : at + 4096]
-                trainer.step(units[some], [x[some] for x in past])
-        m, met = trainer.m, trainer.met
-        some = np.flatnonzero(met)
-        if not len(some):
-            return
-        for at in range(0, len(some), BLOCK):
-            part = some[at : at + BLOCK]
-            rows = np.zeros((len(part), width))
-            words = part < n
-            rows[:, :DIM], rows[:, DIM], rows[words, DIM + 1 : 2 * DIM + 1] = m.Q[part], m.b[part], m.R[part[words]]
-            rows[:, -1] = met[part]
-            rows[:, :-1] *= rows[:, -1:]
-            yield batch_of(part, rows)
-        rows = np.zeros((CONTEXT, width))
-        rows[:, :DIM], rows[:, -1] = m.A * met.sum() / 2, met.sum() / 2
-        yield batch_of(outputs + np.arange(CONTEXT), rows)
+    shards = max(1, round(n_tokens / ROUNDS / max(LESSON, SHARE * n)))
+    model = start(shares)
+    slot = F.pmod(F.xxhash64("text", "doc_id"), F.lit(shards * ROUNDS))
+    lessons = docs.select("text", "doc_id", slot.alias("slot"))
+
+    def run_from(begin, nth: int):
+        def batch_of(shard: int, rows: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(np.full(len(rows), shard), pa.int64()), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], names=["unit", "shard", "sums"])
+
+        def results(shard: int, trainer: Trainer) -> Iterator[pa.RecordBatch]:
+            m, met = trainer.m, trainer.met
+            some = np.flatnonzero(met)
+            for at in range(0, len(some), 8192):
+                part = some[at : at + 8192]
+                rows, words = np.zeros((len(part), width)), part < n
+                rows[:, :DIM], rows[:, DIM], rows[words, DIM + 1 : 2 * DIM + 1], rows[:, -1] = m.Q[part], m.b[part], m.R[part[words]], met[part]
+                yield batch_of(shard, part, rows)
+            rows = np.zeros((CONTEXT, width))
+            rows[:, :DIM], rows[:, -1] = m.A, met.sum() / 2
+            yield batch_of(shard, outputs + np.arange(CONTEXT), rows)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, trainer, pad = None, None, units.value.pad()
+            for batch in batches:
+                slots = batch.column(1).to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(slots)) + 1).tolist(), len(slots)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if a == b:
+                        continue
+                    if slots[a] != now:
+                        if trainer is not None:
+                            yield from results(now, trainer)
+                        now = int(slots[a])
+                        trainer = Trainer(begin.value, shares_of.value, now)
+                    for _, words, index, sizes in tokens(batch.column(0).slice(a, b - a)):
+                        y = units.value.of(words)[1][index]
+                        past = contexts(y, _places(sizes), pad)
+                        trainer.learn(y, past)
+            if trainer is not None:
+                yield from results(now, trainer)
+
+        return run
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, sums = np.zeros(0, np.int64), np.zeros((0, width))
+        rows, sums = np.zeros(0, np.int64), np.zeros((0, width))
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, width)
-            units, sums = _scatter(np.concatenate([units, batch.column(0).to_numpy()]), np.concatenate([sums, x]))
-        for at in range(0, len(units), BLOCK):
-            x = sums[at : at + BLOCK]
-            yield pa.RecordBatch.from_arrays([pa.array([units[at : at + BLOCK].astype(np.int32).tobytes()]), pa.array([(x[:, :-1] / x[:, -1:]).astype(np.float32).tobytes()])], names=["units", "means"])
-
-    sums = docs.select("text").mapInArrow(run, "unit int, sums binary").repartition("unit").mapInArrow(add, "units binary, means binary")
-    model = start(shares)
-    for row in sums.collect():  # packed: one vector a unit
-        units, x = np.frombuffer(row["units"], np.int32), np.frombuffer(row["means"], np.float32).reshape(-1, width - 1)
-        words, places = units < n, units >= outputs
-        model.A[units[places] - outputs] = x[places, :DIM]
-        model.Q[units[~places]], model.b[units[~places]] = x[~places, :DIM], x[~places, DIM]
-        model.R[units[words]] = x[words, DIM + 1 :]
+            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, width).astype(np.float64)
+            x[:, :-1] *= x[:, -1:]
+            rows, sums = _scatter(np.concatenate([rows, batch.column(0).to_numpy()]), np.concatenate([sums, x]), outputs + CONTEXT)
+        for at in range(0, len(rows), 8192):
+            x = sums[at : at + 8192]
+            yield pa.RecordBatch.from_arrays([pa.array([rows[at : at + 8192].astype(np.int32).tobytes()]), pa.array([(x[:, :-1] / x[:, -1:]).astype(np.float32).tobytes()])], names=["units", "means"])
+
+    shares_of = spark.sparkContext.broadcast(shares)
+    for nth in range(ROUNDS):
+        begin = spark.sparkContext.broadcast(model)
+        rows = lessons.where(F.col("slot") % ROUNDS == nth).repartition(shards, "slot").sortWithinPartitions("slot", F.xxhash64("doc_id", "text"), "text")
+        met = rows.select("text", "slot").mapInArrow(run_from(begin, nth), "unit int, shard bigint, sums binary")
+        means = met.repartition("unit").sortWithinPartitions("unit", "shard").mapInArrow(add, "units binary, means binary")
+        model = Model(model.R.copy(), model.A.copy(), model.Q.copy(), model.b.copy())
+        for row in means.collect():  # packed: one vector a unit
+            at, x = np.frombuffer(row["units"], np.int32), np.frombuffer(row["means"], np.float32).reshape(-1, width - 1)
+            words, places = at < n, at >= outputs
+            model.A[at[places] - outputs] = x[places, :DIM]
+            model.Q[at[~places]], model.b[at[~places]] = x[~places, :DIM], x[~places, DIM]
+            model.R[at[words]] = x[words, DIM + 1 :]
     return model
 
 
-def score(spark: SparkSession, docs: DataFrame, counts: DataFrame, head, own: int, model: Model, totals: dict, stage: Stage, keep: list[str]) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, counts: DataFrame, units, model: Model, totals: dict, stage: Stage, keep: list[str]) -> DataFrame:
     """``keep``, n_tokens, n_known, base_score, score of every row of ``docs`` (columns ``keep`` and text)."""
-    shared = spark.sparkContext.broadcast((model, totals))
+    shared = spark.sparkContext.broadcast(model)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    whole = float(np.log10(totals["N"] + 0.5 * (totals["V"] + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, c = head.value
-        ranks = {w: k for k, w in enumerate(words)}
-        model, totals = shared.value
-        pad = _units(np.array([ranks.get(END, -1)]), own)[0]
-        base = np.append(np.log10((c + 0.5) / (totals["N"] + 0.5 * (totals["V"] + 1))), 0.0)
-        rest = np.append(np.log10((c + 0.5) / (totals["rest_n"] + 0.5 * (totals["rest_v"] + 1))), 0.0)
-        rest[:own] = 0
-        rest[-1] = 0
+        u, m = units.value, shared.value
+        pad = u.pad()
+        logs = np.append(np.log10(u.c + 0.5), 0.0)  # the last for words beyond the head, whose counts are joined
+        inside = np.concatenate([np.zeros(u.own), u.within])
         row = TaskContext.get().partitionId() << 33
         names = ["_row", *keep, "_n_tokens", "_n_known", "_base", "_score", "_word", "_times"]
-        for batch in small_batches(batches, 256):
-            each, found, first = _lookup(batch, ranks)
-            units = _units(found, own)
-            logs = model.log_probabilities(units, first, pad) / np.log(10) + rest[found]
-            starts = np.flatnonzero(first == 0)
-            n = batch.num_rows
-            rows = np.arange(row, row + n)
-            row += n
-            doc = np.repeat(np.arange(n), np.diff(np.append(starts, len(found))))
-            columns = [pa.array(rows), *(batch.column(batch.schema.get_field_index(k)) for k in keep), pa.array(np.diff(np.append(starts, len(found)))), pa.array(np.add.reduceat((found >= 0).astype(np.int64), starts)), pa.array(np.add.reduceat(base[found], starts)), pa.array(np.add.reduceat(logs, starts)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-            flat = [w for ws in each for w in ws]
-            unknown = np.flatnonzero(found < 0)
-            times = Counter((d, flat[i]) for i, d in zip(unknown.tolist(), doc[unknown].tolist(), strict=True))
-            if times:
-                k = len(times)
-                columns = [pa.array(rows[[d for d, _ in times]]), *(pa.nulls(k, batch.schema.field(x).type) for x in keep), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array([w for _, w in times], pa.binary()), pa.array(list(times.values()), pa.int64())]
+        for batch in batches:
+            for first, words, index, sizes in tokens(batch.column(batch.schema.get_field_index("text"))):
+                n = len(sizes)
+                found, unit = u.of(words)
+                y = unit[index]
+                head = found[index]
+                count = logs[head]
+                scores = m.log_probabilities(y, _places(sizes), pad) / np.log(10) - inside[y] + np.where(y >= u.own, count, 0.0)
+                starts = np.cumsum(sizes) - sizes
+                rows = np.arange(row, row + n)
+                row += n
+                known = [batch.column(batch.schema.get_field_index(k)).slice(first, n) for k in keep]
+                columns = [pa.array(rows), *known, pa.array(sizes), pa.array(np.add.reduceat((head >= 0).astype(np.int64), starts)), pa.array(np.add.reduceat(count, starts) - sizes * whole), pa.array(np.add.reduceat(scores, starts)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+                beyond = np.flatnonzero(head < 0)
+                if not len(beyond):
+                    continue
+                pair, times = np.unique(np.repeat(np.arange(n), sizes)[beyond] * len(words) + index[beyond], return_counts=True)
+                for at in range(0, len(pair), 50_000):
+                    some = pair[at : at + 50_000]
+                    k = len(some)
+                    columns = [pa.array(rows[some // len(words)]), *(pa.nulls(k, c.type) for c in known), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), words.take(pa.array(some % len(words))), pa.array(times[at : at + 50_000], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     both = stage.table(docs.mapInArrow(run, f"_row bigint, {fields}, _n_tokens bigint, _n_known bigint, _base double, _score double, _word binary, _times bigint"), "scored")
     c = F.coalesce("c", F.lit(0))
     tail = both.where("_word is not null").select("_row", F.col("_word").alias("word"), F.col("_times").alias("times")).join(counts, "word", "left")
-    tail = tail.groupBy("_row").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("_known"),
-        F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(totals["N"] + 0.5 * (totals["V"] + 1)))).alias("_more"),
-        F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(totals["rest_n"] + 0.5 * (totals["rest_v"] + 1)))).alias("_rest"),
-    )
-    zero = F.lit(0.0)
+    tail = tail.groupBy("_row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("_known"), F.sum(F.col("times") * F.log10(c + 0.5)).alias("_more"))
+    more = F.coalesce("_more", F.lit(0.0))
     out = both.where("_word is null").join(tail, "_row", "left")
-    return out.select(*keep, F.col("_n_tokens").alias("n_tokens"), (F.col("_n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), (F.col("_base") + F.coalesce("_more", zero)).alias("base_score"), (F.col("_score") + F.coalesce("_rest", zero)).alias("score"))
+    return out.select(*keep, F.col("_n_tokens").alias("n_tokens"), (F.col("_n_known") + F.coalesce("_known", F.lit(0))).alias("n_known"), (F.col("_base") + more).alias("base_score"), (F.col("_score") + more).alias("score"))
+
+
+def head_of(counts: DataFrame, limit: int = HEAD) -> list:
+    """At most ``limit`` short words with the largest counts, in falling order; of words with like counts a share that their hashes choose.
+
+    The cut comes from a histogram of counts, so tasks send no words that aren't taken.
+    """
+    short = counts.where(F.octet_length("word") <= LONGEST).withColumn("size", F.floor(64 * F.log2("c"))).withColumn("lot", F.pmod(F.xxhash64("word"), F.lit(1024)))
+    room, taken = limit, F.lit(False)
+    for row in sorted(short.groupBy("size").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["size"]):  # some thousand sizes at most
+        if row["n"] <= room:
+            room, taken = room - row["n"], F.col("size") >= row["size"]
+            continue
+        lots = 0
+        for lot in short.where(F.col("size") == row["size"]).groupBy("lot").agg(F.count("*").alias("n")).orderBy("lot").collect():  # 1,024 rows
+            if lot["n"] > room:
+                break
+            room, lots = room - lot["n"], lot["lot"] + 1
+        taken = taken | ((F.col("size") == row["size"]) & (F.col("lot") < lots))
+        break
+    return sorted(short.where(taken).select("word", "c").collect(), key=lambda r: (-r["c"], bytes(r["word"])))
 
 
 def language_model_scores(spark: SparkSession, docs: DataFrame, learn: F.Column, keep: list[str], name: str = "lm") -> tuple[DataFrame, dict]:
-    """Learns from the rows where ``learn`` holds and scores all rows; also returns the training totals."""
+    """Learns from the rows where ``learn`` holds and scores all rows (columns ``keep``, n_tokens, n_known, base_score, score).
+
+    Also returns the training totals: N and V (tokens and different ones), the ``Units`` and the ``Model``.
+    """
     stage = Stage(spark, name)
     lessons = docs.where(learn)
     counts = stage.table(word_counts(lessons), "counts")
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count("*").alias("V")).first()
-    short = counts.where(F.octet_length("word") <= LONGEST).withColumn("size", F.floor(64 * F.log2("c")))
-    room, least = HEAD, None
-    for row in sorted(short.groupBy("size").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["size"]):  # some thousand sizes at most
-        if row["n"] > room:
-            break
-        room, least = room - row["n"], row["size"]
-    top = short.where(F.col("size") >= least).select("word", "c").collect() if least is not None else []  # at most HEAD short words
-    top.sort(key=lambda r: (-r["c"], bytes(r["word"])))
-    words, c = [bytes(r["word"]) for r in top], np.array([r["c"] for r in top], np.float64)
-    head = spark.sparkContext.broadcast((words, c))
-    own, n_units = unit_sizes(c)
     totals = {"N": int(sums["N"]), "V": int(sums["V"])}
-    totals |= {"rest_n": totals["N"] - int(c[:own].sum()), "rest_v": totals["V"] - own}
-    shares = np.full(n_units, 1e-9)
-    shares[0] = totals["rest_n"] + 0.5
-    shares[1 : 1 + own] = c[:own]
+    top = head_of(counts)
+    words, c = [bytes(r["word"]) for r in top], np.array([r["c"] for r in top], np.float64)
+    side = side_of(totals["V"])
+    own = min(int((c >= LEAST).sum()), int(side**2 * (1 - SUFFIXES)))
+    n = side**2 - own
+    key = F.when(F.octet_length("word") <= SUFFIX, F.col("word")).otherwise(F.expr(f"substring(word, -{SUFFIX})"))
+    mass, kinds = np.zeros(n), np.zeros(n)
+    for row in counts.groupBy((F.crc32(key) % n).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():  # a row for each suffix unit
+        mass[row["k"]], kinds[row["k"]] = row["c"], row["v"]
+    for w, times in zip(words[:own], c[:own], strict=True):  # these have units of their own
+        k = zlib.crc32(w[-SUFFIX:]) % n
+        mass[k], kinds[k] = mass[k] - times, kinds[k] - 1
+    units = Units(words, c, own, side, np.log10(mass + 0.5 * (kinds + 1)))
+    shares = np.concatenate([c[:own], mass + 0.5])
     shares /= shares.sum()
-    model = train(spark, lessons, head, own, shares)
-    return score(spark, docs.select(*keep, "text"), counts, head, own, model, totals, stage, keep), totals
+    shared = spark.sparkContext.broadcast(units)
+    model = train(spark, lessons.select("doc_id", "text"), shared, shares, totals["N"])
+    scores = score(spark, docs.select(*keep, "text"), counts, shared, model, totals, stage, keep)
+    return scores, totals | {"units": units, "model": model}
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every row of ``documents`` with a model of the rows that aren't held out; one row out for each row, null text as empty."""
     docs = has_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id", "text"])
     held_out = crc32_mod("doc_id", HELD_OUT[0]) == HELD_OUT[1]
     scores, totals = language_model_scores(spark, docs, ~held_out, ["doc_id"])
