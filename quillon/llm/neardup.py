@@ -1,22 +1,24 @@
 """MinHash near-duplicates by an LSH forest.
 
-Documents are sets of word shingles. Equal sets become one representative. Every representative stands in ``TREES`` sorted
-orders of its signature; those that share the first ``DEPTH`` values of an order form a region. A region that outgrows
-``REGION`` rows is cut where neighbours share the shortest prefix, so its depth adapts, and rows with long common prefixes stay
-together. Regions are dealt out by ranges of (region, order): no group has to fit a task.
-
-First every row meets the row of its region whose signature agrees best and the two that agree best with all rows (the likely
-originals of near copies); these few pairs are confirmed on the full sets and joined into components. Twice, rows outside their
-region's largest component then meet the three best rows of other components. At last they meet all rows of other components
-whose signatures, now much longer ones, leave the threshold possible (4.75 standard errors), whether or not a cut lies between them: a
-region's rows are dealt into blocks, and every block of such rows meets every block of the region. Near copies in thousands
-therefore cost a few confirmations each, and no possible link between different components stays untested; thousands of rows that
-resemble each other without a link cost the square of their number.
-
-With Jaccard similarity s the prefix is shared in at least one of 20 orders with probability 1 - (1 - s^4)^20: 0.9999996 at 0.85.
+Documents are sets of word shingles. Equal sets become one representative, which stands in ``TREES`` sorted orders of its signature.
+
+1. Rows that share the first ``SHALLOW`` values of an order form a region; others have no neighbour there. In each order a row's
+   candidates are its neighbours, with which it shares the longest prefix: deep in crowded regions, shallow in thin ones. A
+   region that outgrows ``REGION`` rows is cut where neighbours share the shortest prefix. Besides, every row meets its region's hub,
+   the row closest to the values that most rows have (the likely original of near copies). The best neighbour and the best hub of
+   all orders are confirmed on the full sets and joined into components: two pairs a row, however large its region.
+2. What is left are links between rows of different components that share ``DEPTH`` values of an order. Where a region has several
+   components, the rows outside its largest one and all its rows are dealt into blocks. Each pair of blocks is one group of bounded
+   size, which compares rows of different components by signatures of ``FINE`` values, in the first order that they share, and
+   marks those that may have a link. The same groups of marked rows then have the full sets at hand and give back the links that join
+   components, fewer than their rows. No pair is written for later. The comparisons, not the rows, grow with the square of
+   those that resemble each other without a link.
+
+A pair of Jaccard similarity s shares ``DEPTH`` values in one of 20 orders at least with probability 1 - (1 - s^4)^20: 0.9999996 at
+0.85. A pair is passed over if its fine signatures lie 4.75 standard errors below the threshold.
 
 Null and empty texts have no shingle and are linked with nothing. Fewer words than the shingle width make one shingle. Rows that
-repeat a doc_id are one document: a link of either holds for both. Null doc_ids stay alone.
+repeat a doc_id are one document: a link of either holds for both. Null doc_ids stay alone. Ids may be of any type that has an order.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import Stage, WordHashes, has_columns, raw_texts, shingle_hashes, small_batches
 
-TREES, DEPTH = 20, 4
+TREES, SHALLOW, DEPTH = 20, 3, 4
 VALUES = TREES * DEPTH
-REGION = 2048
+#: Rows of a region that are held at once, and rows of one side of a block of pairs.
+REGION, SIDE = 2048, 1024
 #: More values, for rows whose regions stay mixed: they tell apart similarities just below the threshold.
 FINE = 1024
 _MULTIPLIERS = np.random.default_rng(20_240_501).integers(1, 2**63, VALUES + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,7 +65,7 @@ def signatures(sets: list[np.ndarray], fine: bool = False) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_key, keys (one a tree: its first DEPTH values), bytes (one of each value)."""
+    """doc_id, n_shingles, set_key, keys (one a tree: its first SHALLOW values), bytes (one of each value)."""
     docs = has_columns(docs, ["doc_id", "text"])
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, set_key binary, keys array<bigint>, bytes binary"
 
@@ -75,7 +79,7 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
             if full:
                 sig = signatures([sets[k] for k in full])
                 trees = np.zeros((len(full), TREES), np.uint64)
-                for d in range(DEPTH):
+                for d in range(SHALLOW):
                     trees = (trees ^ sig[:, d::DEPTH]) * np.uint64(0x9E3779B97F4A7C15)
                     trees ^= trees >> np.uint64(29)
                 trees = (trees ^ np.arange(TREES, dtype=np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -91,128 +95,198 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _agreement(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """How many signature bytes of each row agree with each of the others, in blocks that fit the cache."""
-    out = np.empty((len(rows), len(others)), np.int16)
-    for at in range(0, len(rows), 16):
-        out[at : at + 16] = (rows[at : at + 16, None, :] == others[None, :, :]).sum(axis=2, dtype=np.int16)
-    return out
+def _regions(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """(region, ids, signature bytes, whether it was cut) of a stream of (region, doc, bytes, order), sorted by region and order.
 
-
-def _regions(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, signature bytes, components) of the regions of a sorted stream of (region, doc, bytes, order, component)."""
+    A cut comes where neighbours share the shortest prefix, in the later half; the rows before a cut stand in both parts, so
+    all neighbours meet.
+    """
     held: list[tuple] = []
+    cut = False
 
-    def flush(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def flush(n: int) -> tuple[int, np.ndarray, np.ndarray, bool]:
         part = held[:n]
-        return np.array([x[1] for x in part]), np.frombuffer(b"".join(x[2] for x in part), np.uint8).reshape(n, -1), np.array([x[4] for x in part])
+        return part[0][0], np.array([x[1] for x in part]), np.frombuffer(b"".join(x[2] for x in part), np.uint8).reshape(n, -1), cut
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and row[0] != held[0][0]:
                 if len(held) > 1:
                     yield flush(len(held))
-                held = []
-            elif len(held) >= limit:  # cut where neighbours share least, in the later half
-                order = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(len(held), VALUES)
-                shared = (order[1:] != order[:-1]).argmax(axis=1)
-                shared[(order[1:] == order[:-1]).all(axis=1)] = VALUES
-                cut = len(held) // 2 + int(shared[len(held) // 2 :].argmin()) + 1
-                yield flush(cut)
-                held = held[cut:]
+                held, cut = [], False
+            elif len(held) >= limit:
+                order = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(len(held), -1)
+                shared = np.where((order[1:] == order[:-1]).all(axis=1), VALUES, (order[1:] != order[:-1]).argmax(axis=1))
+                at = len(held) // 2 + int(shared[len(held) // 2 :].argmin()) + 1
+                cut = True
+                yield flush(at)
+                held = held[at - 1 :]
             held.append(row)
     if len(held) > 1:
         yield flush(len(held))
 
 
-#: How many partners a search takes for each row; ``all`` is the search across cuts.
-FIRST, CLOSEST, ALL = "first", "closest", "all"
+def _hub(sig: np.ndarray) -> tuple[int, int]:
+    """(place, agreeing values) of the row that is closest to the most frequent byte of each value."""
+    columns = np.arange(sig.shape[1])
+    counts = np.bincount((sig + 256 * columns).ravel(), minlength=256 * len(columns)).reshape(-1, 256)
+    agree = (sig == counts.argmax(axis=1)).sum(axis=1)
+    return int(agree.argmax()), int(agree.max())
 
 
-def _partners(sig: np.ndarray, comp: np.ndarray, least: int, mode: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places (x, y) of candidate pairs in one region.
-
-    ``first``: every row with the earlier row that agrees best, and with the two rows that agree best with all others (the
-    likely originals of near copies). ``closest``: rows outside the largest component with the three best rows of
-    other components.
-    """
-    n = len(sig)
-    agree = _agreement(sig, sig)
-    np.fill_diagonal(agree, -1)
-    rows = np.arange(n)
-    if mode == FIRST:
-        hubs = np.argsort(-np.where(agree >= least, agree, 0).sum(axis=1, dtype=np.int64), kind="stable")[: 2 if n > 4 else 1]
-        earlier = np.where(rows[None, :] < rows[:, None], agree, -1).argmax(axis=1)
-        x = np.concatenate([rows, *([rows] * len(hubs))])
-        y = np.concatenate([earlier, *(np.full(n, h) for h in hubs)])
-        ok = agree[x, y] >= least
-        return x[ok], y[ok]
-    names, counts = np.unique(comp, return_counts=True)
-    few = np.flatnonzero(comp != names[counts.argmax()])
-    agree = agree[few]
-    agree[comp[few][:, None] == comp[None, :]] = -1
-    best = np.argpartition(-agree, min(3, n - 1) - 1, axis=1)[:, :3]
-    x = np.repeat(np.arange(len(few)), best.shape[1])
-    y = best.ravel()
-    ok = agree[x, y] >= least
-    return few[x[ok]], y[ok]
-
-
-def _pairs(rows: DataFrame, least: int, mode: str) -> DataFrame:
-    """Different candidate pairs (a < b) of all regions."""
+def _candidates(rows: DataFrame, least: int) -> DataFrame:
+    """doc, other, agree, region, hub: in each region a row's best neighbour and its hub; for cut regions also each part's hub (doc null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sig, comp in _regions(batches, REGION):
-            if mode != FIRST and (comp == comp[0]).all():
-                continue
-            x, y = _partners(sig, comp, least, mode)
-            pair = np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])])
-            pair = np.unique(pair[:, pair[0] != pair[1]], axis=1)
-            if pair.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+        for region, ids, sig, cut in _regions(batches, REGION):
+            next_agree = (sig[1:] == sig[:-1]).sum(axis=1)
+            left, right = np.concatenate([[-1], next_agree]), np.concatenate([next_agree, [-1]])
+            place = np.arange(len(ids))
+            other = np.where(left >= right, place - 1, place + 1)
+            best = np.maximum(left, right)
+            hub, share = _hub(sig)
+            to_hub = (sig == sig[hub]).sum(axis=1)
+            near, far = np.flatnonzero(best >= least), np.flatnonzero((to_hub >= least) & (place != hub))
+            if len(ids) <= 3:
+                far = far[:0]  # neighbours are all there is
+            n = len(near) + len(far)
+            more = [(None, int(ids[hub]), share, region, sig[hub].tobytes())] if cut else []
+            yield pa.RecordBatch.from_arrays([
+                pa.array([*ids[near].tolist(), *ids[far].tolist(), *(x[0] for x in more)], pa.int64()), pa.array([*ids[other[near]].tolist(), *([int(ids[hub])] * len(far)), *(x[1] for x in more)], pa.int64()),
+                pa.array([*best[near].tolist(), *to_hub[far].tolist(), *(x[2] for x in more)], pa.int64()), pa.array([0] * len(near) + [1] * len(far) + [2] * len(more), pa.int32()),
+                pa.array([None] * n + [x[3] for x in more], pa.int64()), pa.array([None] * n + [x[4] for x in more], pa.binary()),
+            ], names=["doc", "other", "agree", "kind", "region", "hub"])
 
-    ordered = rows.select("region", "doc", "bytes", "order", "comp").repartitionByRange("region", "order").sortWithinPartitions("region", "order", "doc")
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+    ordered = rows.select("region", "doc", "bytes", "order").repartitionByRange("region", "order").sortWithinPartitions("region", "order", "doc")
+    return ordered.mapInArrow(run, "doc bigint, other bigint, agree bigint, kind int, region bigint, hub binary")
 
 
-def _all_pairs(rows: DataFrame, least: int) -> DataFrame:
-    """Different candidate pairs (a < b) of each region's rows outside its largest component with all rows of other components.
+def _to_hubs(rows: DataFrame, hubs: DataFrame, least: int) -> DataFrame:
+    """doc, other, agree, kind: all rows of cut regions with the best hub of all parts."""
 
-    Both sides are dealt into blocks of about ``REGION`` rows, and each pair of blocks is one group, so a region of any size spreads.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 8192):
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, VALUES) for k in (2, 3))
+            agree = (a == b).sum(axis=1)
+            keep = pa.array(agree >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(agree, pa.int64()), pa.array(np.ones(len(agree)), pa.int32())], names=["doc", "other", "agree", "kind"]).filter(keep)
+
+    best = hubs.groupBy("region").agg(F.max(F.struct("agree", "other", "hub")).alias("h")).select("region", F.col("h.other").alias("other"), F.col("h.hub").alias("hub"))
+    both = rows.select("region", "doc", "bytes").join(best, "region").where("doc <> other")
+    return both.select("doc", "other", "bytes", "hub").mapInArrow(run, "doc bigint, other bigint, agree bigint, kind int")
+
+
+class _Sets:
+    """Component labels of a block's rows; merging relabels, so equal labels need no further comparison."""
+
+    def __init__(self, labels: np.ndarray):
+        self.labels = labels.copy()
+
+    def merge(self, x: int, y: int) -> None:
+        self.labels[self.labels == self.labels[y]] = self.labels[x]
+
+
+def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(small) < percent * len(large) or not len(small):
+        return False
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(small) + len(large) - both)
+
+
+class _Block:
+    """A pair of blocks: ``few`` rows outside a region's largest component and ``members`` of the region (doc, comp, keys, fine signature, set)."""
+
+    def __init__(self, few: list, members: list):
+        rows = {r[0]: r for r in [*few, *members]}
+        at = {d: k for k, d in enumerate(rows)}
+        self.names = list(rows)
+        self.keys = np.frombuffer(b"".join(r[2] for r in rows.values()), np.int64).reshape(-1, TREES)
+        self.fine = np.frombuffer(b"".join(r[3] for r in rows.values()), np.uint8).reshape(-1, FINE)
+        self.sets = [np.frombuffer(r[4], np.uint64) for r in rows.values() if len(r) > 4]
+        self.groups = _Sets(np.array([r[1] for r in rows.values()]))
+        self.own, self.others = np.array([at[r[0]] for r in few]), np.array([at[r[0]] for r in members])
+
+    def candidates(self, tree: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(x, y, agreeing values) of pairs of different components that may be linked and haven't met in an earlier order."""
+        found: tuple[list, list, list] = ([], [], [])
+        for x in self.own.tolist():
+            y = self.others[self.groups.labels[self.others] != self.groups.labels[x]]
+            y = y[~(self.keys[y, :tree] == self.keys[x, :tree]).any(axis=1)]
+            agree = (self.fine[y] == self.fine[x]).sum(axis=1)
+            y, agree = y[agree >= least], agree[agree >= least]
+            for held, new in zip(found, (np.full(len(y), x), y, agree)):
+                held.append(new)
+        return tuple(map(np.concatenate, found))
+
+    def links(self, tree: int, least: int, percent: int) -> list[tuple[int, int]]:
+        """Confirmed pairs of ids that join components, the likeliest first."""
+        x, y, n = self.candidates(tree, least)
+        out = []
+        for k in np.argsort(-n, kind="stable").tolist():
+            a, b = int(x[k]), int(y[k])
+            if self.groups.labels[a] != self.groups.labels[b] and reaches(self.sets[a], self.sets[b], percent):
+                self.groups.merge(a, b)
+                out.append((self.names[a], self.names[b]))
+        return out
+
+
+def _by_blocks(rows: DataFrame, columns: list[str], of_block, schema: str) -> DataFrame:
+    """``of_block(block, tree, deep)`` of each pair of blocks of mixed regions (tree, deep, doc, comp, ...).
+
+    Both sides are dealt into blocks of about ``SIDE`` rows, and each pair of blocks is one group, so a region of any size spreads.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
         at = None
-
-        def met() -> Iterator[pa.RecordBatch]:
-            if not held[0] or not held[1]:
-                return
-            (few, sig, comp), (docs, others, comps) = ((np.array([x[0] for x in side]), np.frombuffer(b"".join(x[1] for x in side), np.uint8).reshape(len(side), -1), np.array([x[2] for x in side])) for side in held)
-            x, y = np.nonzero((_agreement(sig, others) >= least) & (comp[:, None] != comps[None, :]))
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(few[x], docs[y])), pa.array(np.maximum(few[x], docs[y]))], names=["a", "b"])
-
-        for batch in batches:
-            for region, piece, block, outside, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (region, piece, block) != at:
-                    yield from met()
-                    held, at = ([], []), (region, piece, block)
+        for batch in small_batches(batches, 256):
+            for tree, deep, piece, block, outside, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (tree, deep, piece, block) != at:
+                    if held[0] and held[1]:
+                        yield from of_block(_Block(*held), *at[:2])
+                    held, at = ([], []), (tree, deep, piece, block)
                 held[0 if outside else 1].append(row)
-        yield from met()
+        if held[0] and held[1]:
+            yield from of_block(_Block(*held), *at[:2])
 
-    sizes = rows.groupBy("region", "comp").agg(F.count("*").alias("n")).groupBy("region")
-    sizes = sizes.agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n")).select("region", F.col("m.comp").alias("main"), F.ceil(F.col("n") / REGION).alias("pieces"), F.ceil((F.col("n") - F.col("m.n")) / REGION).alias("blocks"))
-    both = rows.join(sizes.where("blocks > 0"), "region")
+    region = ["tree", "deep"]
+    sizes = rows.groupBy(*region, "comp").agg(F.count("*").alias("n")).groupBy(*region)
+    sizes = sizes.agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("n")).select(*region, F.col("m.comp").alias("main"), F.ceil(F.col("n") / SIDE).alias("pieces"), F.ceil((F.col("n") - F.col("m.n")) / SIDE).alias("blocks"))
+    both = rows.join(sizes.where("blocks > 0"), region)
     piece, block = F.pmod(F.xxhash64("doc"), F.col("pieces")), F.pmod(F.xxhash64(F.lit(1), "doc"), F.col("blocks"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    members = both.select("region", piece.alias("piece"), every("blocks").alias("block"), F.lit(False).alias("outside"), "doc", "bytes", "comp")
-    few = both.where("comp <> main").select("region", every("pieces").alias("piece"), block.alias("block"), F.lit(True).alias("outside"), "doc", "bytes", "comp")
-    keys = "region", "piece", "block"
-    return few.unionByName(members).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint").distinct()
+    members = both.select(*region, piece.alias("piece"), every("blocks").alias("block"), F.lit(False).alias("outside"), *columns)
+    few = both.where("comp <> main").select(*region, every("pieces").alias("piece"), block.alias("block"), F.lit(True).alias("outside"), *columns)
+    keys = *region, "piece", "block"
+    return few.unionByName(members).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _joining_links(spark: SparkSession, rows: DataFrame, signed: DataFrame, sets: DataFrame, least: int, percent: int, stage: Stage) -> DataFrame:
+    """a, b: confirmed links between components of mixed regions (tree, deep, doc, comp).
+
+    First the fine signatures (``signed``: doc, keys, fine) say which rows of a region may have a link at all; only these rows' sets move.
+    """
+
+    def marks(block: _Block, tree: int, deep: int) -> Iterator[pa.RecordBatch]:
+        x, y, _ = block.candidates(tree, least)
+        docs = [block.names[k] for k in np.unique(np.concatenate([x, y])).tolist()]
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array([tree] * len(docs), pa.int32()), pa.array([deep] * len(docs), pa.int64()), pa.array(docs, pa.int64())], names=["tree", "deep", "doc"])
+
+    def links(block: _Block, tree: int, deep: int) -> Iterator[pa.RecordBatch]:
+        if found := block.links(tree, least, percent):
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    columns = ["doc", "comp", "keys", "fine"]
+    marked = stage.table(_by_blocks(rows.join(signed, "doc"), columns, marks, "tree int, deep bigint, doc bigint").distinct(), "marked")
+    again = rows.join(marked, ["tree", "deep", "doc"]).join(signed, "doc").join(sets, "doc")
+    return stage.table(_by_blocks(again, [*columns, "members"], links, "a bigint, b bigint"), "joining")
 
 
 def _near(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Ids alone, broadcast if they are few."""
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
@@ -227,8 +301,8 @@ def _texts_of(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame
     return has_columns(docs, ["doc_id", "text"]).join(_near(spark, ids), F.col("doc_id").cast("long") == F.col("doc"), "left_semi").select(F.col("doc_id").cast("long").alias("doc"), "text")
 
 
-def _fine(spark: SparkSession, docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """doc, bytes: the finer signatures of some documents."""
+def _full(spark: SparkSession, docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc, fine, members: the finer signatures and sets of some documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 128):
@@ -236,9 +310,9 @@ def _fine(spark: SparkSession, docs: DataFrame, ids: DataFrame, width: int) -> D
             full = [k for k, s in enumerate(sets) if len(s)]
             if full:
                 low = ((signatures([sets[k] for k in full], True) >> np.uint64(24)) & np.uint64(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array([x.tobytes() for x in low], pa.binary())], names=["doc", "bytes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array([x.tobytes() for x in low], pa.binary()), pa.array([sets[k].tobytes() for k in full], pa.binary())], names=["doc", "fine", "members"])
 
-    return _texts_of(spark, docs, ids).mapInArrow(run, "doc bigint, bytes binary").dropDuplicates(["doc"])
+    return _texts_of(spark, docs, ids).mapInArrow(run, "doc bigint, fine binary, members binary").dropDuplicates(["doc"])
 
 
 def confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int, percent: int, stage: Stage, name: str) -> DataFrame:
@@ -252,15 +326,7 @@ def confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame, width: int
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 256):
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                small, large = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
-                if 100 * len(small) < percent * len(large) or not len(small):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                keep.append(100 * both >= percent * (len(small) + len(large) - both))
+            keep = [reaches(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     members = stage.table(some.mapInArrow(sets, "doc bigint, members binary"), f"{name}_sets", "uncompressed")
@@ -285,12 +351,22 @@ def components(edges: DataFrame, stage: Stage, name: str) -> DataFrame:
         if before == after:
             break
         before = after
+    else:
+        raise RuntimeError("the components didn't settle")
     return edges.select(F.col("u").alias("doc"), F.col("v").alias("comp"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, name: str = "neardup") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) of every row."""
     stage = Stage(spark, name)
+    docs = has_columns(docs, ["doc_id", "text"])
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):  # numbers in the order of the ids stand for them
+        ids = docs.where("doc_id is not null").select("doc_id").distinct().repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+        ids = stage.table(ids.select("doc_id", F.monotonically_increasing_id().alias("_number")), "numbers")
+        found = near_duplicates(spark, docs.join(ids, "doc_id", "left").select(F.col("_number").alias("doc_id"), "text"), width, percent, name)
+        own, other = ids.select("doc_id", F.col("_number").alias("_own")), ids.select(F.col("doc_id").alias("component_id"), F.col("_number").alias("_other"))
+        found = found.select(F.col("doc_id").alias("_own"), "n_shingles", F.col("component_id").alias("_other"))
+        return found.join(own, "_own", "left").join(other, "_other", "left").select("doc_id", "n_shingles", "component_id")
     sketches = stage.table(_sketches(docs, width), "sketches")
     known = sketches.where("set_key is not null and doc_id is not null")
     heads = known.groupBy("set_key").agg(F.min("doc_id").alias("head"))
@@ -301,33 +377,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     keys = reps.select("doc", F.posexplode("keys").alias("tree", "region"))
     shared = keys.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region")
     rows = stage.table(keys.join(shared, "region"), "regions")
-    # a row's order: the bytes after its tree's prefix, then those before
-    order = F.expr(f"concat(substring(bytes, {DEPTH} * (tree + 1) + 1, {VALUES}), substring(bytes, 1, {DEPTH} * (tree + 1)))")
+    # a row's order: the values after its tree's shallow prefix, then those before
+    order = F.expr(f"concat(substring(bytes, {DEPTH} * tree + {SHALLOW} + 1, {VALUES}), substring(bytes, 1, {DEPTH} * tree + {SHALLOW}))")
     rows = rows.join(reps.select("doc", "bytes"), "doc").withColumn("order", order)
     least = least_agreement(VALUES, percent)
-    tried = stage.table(_pairs(rows.withColumn("comp", F.lit(0).cast("long")), least, FIRST), "first")
-    links = confirmed(spark, docs, tried, width, percent, stage, "first")
+    found = stage.table(_candidates(rows, least), "candidates")
+    hubs = stage.table(found.where("kind = 2"), "hubs")
+    met = found.where("kind < 2").select("doc", "other", "agree", "kind").unionByName(_to_hubs(rows, hubs, least))
+    best = met.groupBy("doc", "kind").agg(F.max(F.struct("agree", "other")).alias("m"))
+    tried = best.select(F.least("doc", "m.other").alias("a"), F.greatest("doc", "m.other").alias("b")).distinct()
+    links = confirmed(spark, docs, stage.table(tried, "tried"), width, percent, stage, "first")
     comps = components(links, stage, "first")
-    for k, mode in enumerate((CLOSEST, CLOSEST, ALL)):
-        again = rows.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        mixed = again.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("region")
-        again = again.join(mixed, "region")
-        if mode == ALL:
-            fine = stage.table(_fine(spark, docs, again.select("doc").distinct(), width), "fine", "uncompressed")
-            again, least = again.drop("bytes").join(fine, "doc"), least_agreement(FINE, percent)
-        pairs = _all_pairs(again, least) if mode == ALL else _pairs(again, least, mode)
-        more = stage.table(pairs.join(tried, ["a", "b"], "left_anti"), f"{mode}_{k}")
-        if more.isEmpty():
-            continue
-        new = confirmed(spark, docs, more, width, percent, stage, f"{mode}{k}")
-        tried = tried.unionByName(more)
-        if not new.isEmpty():  # the stars so far stand for all links found before
-            comps = components(comps.select(F.col("doc").alias("a"), F.col("comp").alias("b")).unionByName(new), stage, f"{mode}{k}")
+    # regions of DEPTH values that hold several components
+    deep = F.xxhash64("region", F.expr(f"substring(bytes, {DEPTH} * tree + {SHALLOW} + 1, {DEPTH - SHALLOW})"))
+    again = rows.select("doc", "tree", deep.alias("deep")).join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    mixed = again.groupBy("deep").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("deep")
+    again = stage.table(again.join(mixed, "deep"), "mixed")
+    full = stage.table(_full(spark, docs, again.select("doc").distinct(), width), "full", "uncompressed")
+    deeps = again.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("tree", "deep"))).alias("d"))
+    packed = F.expr(f"reduce(sequence(0, {TREES - 1}), X'', (a, t) -> concat(a, unhex(lpad(hex(coalesce(d[t], xxhash64(doc, t))), 16, '0'))))")
+    full = full.join(deeps.select("doc", packed.alias("keys")), "doc")
+    new = _joining_links(spark, again, full.select("doc", "keys", "fine"), full.select("doc", "members"), least_agreement(FINE, percent), percent, stage)
+    comps = components(comps.select(F.col("doc").alias("a"), F.col("comp").alias("b")).unionByName(new), stage, "second")
     found = sketches.select("doc_id", "n_shingles", "set_key").join(heads_of, "set_key", "left").join(comps, "doc", "left")
     kind = docs.schema["doc_id"].dataType
     return found.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc")).cast(kind), "doc_id").alias("component_id"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three words, 85 per cent, all rows of ``documents``; a row is kept if it is its component's smallest id. Null ids are kept."""
     found = near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=85)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
