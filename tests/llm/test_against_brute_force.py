@@ -4,6 +4,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import bpe, gbt, lbl, neardup, packing, rans, suffixdedup, wordpiece
 from quillon.llm.induced import suffix_order
@@ -27,7 +28,7 @@ def test_sql(spark, name):
 def test_bpe_is_the_library():
     c = bpe.cached_bpe(bpe.default_vocabulary())
     r = np.random.default_rng(2)
-    parts = np.array(["a", "Bee", " ", "  ", "\n", "\t", "1", "é", " ", "　", ".", "'s", "'", "\x00", "ü", "中", "😀", "<|endoftext|>", "\r\n", "word", ",", " The", "́"])
+    parts = np.array(["a", "Bee", " ", "  ", "\n", "\t", "1", "é", " ", "　", ".", "'s", "'", "\x00", "ü", "中", "😀", "<|endoftext|>", "\r\n", "word", ",", " The", "́", "***", ".", "!?", "_", "-", "\n\n"])
     texts = ["".join(r.choice(parts, r.integers(0, 16))) for _ in range(4000)]
     for t, got in zip(texts, c.encode(texts)):
         assert np.frombuffer(got, c.dtype).tolist() == c.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
@@ -120,7 +121,7 @@ def test_near_duplicates(spark):
     words = np.array([f"w{k}" for k in range(5000)])
     rows, i = [], 0
     for _ in range(25):
-        base = r.choice(words, 112)
+        base = r.choice(words, 120)
         for _ in range(int(r.integers(1, 9))):
             own = base.copy()
             at = r.integers(0, 120, int(r.integers(0, 6)))
@@ -144,6 +145,7 @@ def test_near_duplicates(spark):
 def test_links_across_cuts(spark, monkeypatch):
     """A family just below the threshold that is many times a region's size, with planted copies in it: none is lost."""
     monkeypatch.setattr(neardup, "REGION", 4)
+    monkeypatch.setattr(neardup, "SIDE", 16)
     r = np.random.default_rng(4)
     words = np.array([f"w{k}" for k in range(5000)])
     base = r.choice(words, 112)
@@ -167,16 +169,60 @@ def test_links_across_cuts(spark, monkeypatch):
     assert len(set(best)) > 60 and {x.doc_id: x.component_id for x in got} == dict(enumerate(best))
 
 
-def test_large_region_is_cut(monkeypatch):
+def test_large_region_is_cut():
     import pyarrow as pa
 
     r = np.random.default_rng(1)
     n = 500
     sig = np.sort(r.integers(0, 3, (n, neardup.VALUES), dtype=np.uint8).view(f"V{neardup.VALUES}").ravel())
     raw = [x.tobytes() for x in sig]
-    batch = pa.RecordBatch.from_arrays([pa.array([1] * n), pa.array(range(n)), pa.array(raw, pa.binary()), pa.array(raw, pa.binary()), pa.array([0] * n)], names=list("abcde"))
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * n), pa.array(range(n)), pa.array(raw, pa.binary()), pa.array(raw, pa.binary())], names=list("abcd"))
     parts = list(neardup._regions(iter([batch]), 64))
-    assert all(len(ids) <= 64 for ids, _, _ in parts) and sum(len(ids) for ids, _, _ in parts) >= n - len(parts)
+    assert all(len(ids) <= 64 for _, ids, _, _ in parts) and sum(len(ids) for _, ids, _, _ in parts) == n + len(parts) - 1
+    assert {(a, b) for _, ids, _, _ in parts for a, b in zip(ids, ids[1:])} == {(k, k + 1) for k in range(n - 1)}
+
+
+def test_template_family_writes_few_rows(spark):
+    """300 texts of one template, just below the threshold to each other: candidates and links stay linear, and none is lost."""
+    r = np.random.default_rng(8)
+    words = np.array([f"w{k}" for k in range(5000)])
+    base = r.choice(words, 112)
+
+    def changed(text, n):
+        own = text.copy()
+        own[3 * r.choice(np.arange(1, 37), n, replace=False)] = r.choice(words, n)
+        return " ".join(own)
+
+    texts = [changed(base, 2) for _ in range(300)]
+    sets = [neardup.shingle_set(t.encode(), 3) for t in texts]
+    best = list(range(len(sets)))
+    for b in range(len(sets)):
+        for a in range(b):
+            if best[a] != best[b] and neardup.reaches(sets[a], sets[b], 85):
+                low, high = sorted((best[a], best[b]))
+                best = [low if x == high else x for x in best]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark, docs, 3, 85, "family").collect()}
+    assert got == dict(enumerate(best))
+    import glob
+
+    root = max(glob.glob(neardup_root(spark) + "/quillon-family-*"), key=lambda p: __import__("os").stat(p).st_mtime)
+    assert spark.read.parquet(f"{root}/tried").count() <= 2 * len(texts) and spark.read.parquet(f"{root}/candidates").count() <= 45 * len(texts)
+    assert spark.read.parquet(f"{root}/joining").count() <= 20 * len(texts)
+
+
+def neardup_root(spark):
+    from quillon.llm.common import shared_folder
+
+    return shared_folder(spark).removeprefix("file://")
+
+
+def test_text_ids(spark):
+    """Ids that are texts keep their order."""
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([("b", text), ("a9", text + " x"), ("c", "alone here now"), (None, text), ("d", None)], "doc_id string, text string")
+    got = sorted((str(r.doc_id), r.component_id) for r in neardup.near_duplicates(spark, docs, 3, 85).collect())
+    assert got == [("None", None), ("a9", "a9"), ("b", "a9"), ("c", "c"), ("d", "d")]
 
 
 def test_classifier_learns(spark):
@@ -193,39 +239,85 @@ def test_classifier_learns(spark):
 
 def test_model_is_normalised():
     r = np.random.default_rng(1)
-    shares = r.dirichlet(np.ones(lbl.UNITS))
-    m = lbl.start(shares)
+    n = 40**2
+    m = lbl.start(r.dirichlet(np.ones(n)))
     m.Q += r.normal(0, 0.3, m.Q.shape).astype(np.float32)
     past = np.array([5, 9, 70])
-    total = 0.0
-    for at in range(0, lbl.UNITS, 512):
-        units = np.concatenate([np.append(past, u) for u in range(at, at + 512)])
-        logs = m.log_probabilities(units, np.tile(np.arange(4), 512), 0)[3::4]
-        total += np.exp(logs).sum()
-    assert abs(total - 1) < 1e-4
-
-
-def test_frequent_words_have_vectors(spark):
-    """5,000 words of the same count: their order counts beyond rank 4,095 too, and the larger model is normalised."""
-    words = [f"w{k:05}" for k in range(5000)]
-    r = np.random.default_rng(5)
-    rows = [(k, " ".join(r.permutation(words)), True) for k in range(lbl.LEAST)]
-    rows += [(100, "w04990 w04995 w04998", False), (101, "w04998 w04990 w04995", False)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, learn boolean")
-    scores, totals = lbl.language_model_scores(spark, docs, docs["learn"], ["doc_id"])
-    got = {x.doc_id: x for x in scores.where("doc_id >= 100").collect()}
-    assert got[100].base_score == pytest.approx(got[101].base_score) and abs(got[100].score - got[101].score) > 1e-6
-    assert totals["rest_n"] == totals["rest_v"] == 0
-    own, n = lbl.unit_sizes(np.full(5000, float(lbl.LEAST)))
-    assert own == 5000 and n == 71**2
-    m = lbl.start(r.dirichlet(np.ones(n)))
-    logs = m.log_probabilities(np.stack([np.full(n, 9), np.arange(n)], axis=1).ravel(), np.tile([0, 1], n), 0)[1::2]
+    units = np.concatenate([np.append(past, u) for u in range(n)])
+    logs = m.log_probabilities(units, np.tile(np.arange(4), n), 0)[3::4]
     assert abs(np.exp(logs).sum() - 1) < 1e-4
 
 
+def lm_tokens(text):
+    return [*(text or "").encode().lower().split(), lbl.END]
+
+
+def test_tokens():
+    import pyarrow as pa
+
+    texts = ["", None, "  One two\tTWO \x0bthree\n", "É é\u00a0x", " "]
+    (_, words, index, sizes), = lbl.tokens(pa.array(["skip", *texts]).slice(1))
+    flat, at = [words[int(k)].as_py() for k in index], 0
+    for t, n in zip(texts, sizes.tolist(), strict=True):
+        assert flat[at : at + n] == lm_tokens(t)
+        at += n
+
+
+def test_scores_against_brute_force(spark):
+    """The head has few words, so that all three ways to a count are taken; probabilities are summed one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60).collect()
+    rows = [(r.doc_id, r.text) for r in docs] + [(-1, None), (-2, "never seen words zzz the"), (-3, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    head = lbl.HEAD
+    try:
+        lbl.head_of.__defaults__ = (300,)
+        scores, info = lbl.language_model_scores(spark, df, F.col("doc_id") % 3 > 0, ["doc_id"])
+        got = {x.doc_id: x for x in scores.collect()}
+    finally:
+        lbl.head_of.__defaults__ = (head,)
+    u, m = info["units"], info["model"]
+    c = Counter(w for i, t in rows if i % 3 > 0 and i > 0 for w in lm_tokens(t))
+    assert len(u.words) <= 300 and info["N"] == sum(c.values()) and info["V"] == len(c)
+    rank = {w: k for k, w in enumerate(u.words[: u.own])}
+    unit = lambda w: rank[w] if w in rank else u.own + zlib.crc32(w[-lbl.SUFFIX :]) % u.suffixes
+    within = {}
+    for w, n in c.items():
+        if w not in rank:
+            a, b = within.get(unit(w), (0, 0))
+            within[unit(w)] = a + n, b + 1
+    q, b, n = m.Q.astype(float), m.b.astype(float), u.side**2
+    for i, t in rows:
+        past, total = [unit(lbl.END)] * lbl.CONTEXT, 0.0
+        for w in lm_tokens(t):
+            y = unit(w)
+            h = sum(m.R[p].astype(float) * m.A[k] for k, p in enumerate(reversed(past[-lbl.CONTEXT :])))
+            kind = y // u.side
+            for out, own in ((slice(n, None), kind), (slice(kind * u.side, (kind + 1) * u.side), y % u.side)):
+                e = np.exp(q[out] @ h + b[out])
+                total += np.log10(e[own] / e.sum())
+            if w not in rank:
+                a, v = within.get(y, (0, 0))
+                total += np.log10((c[w] + 0.5) / (a + 0.5 * (v + 1)))
+            past.append(y)
+        assert got[i].score == pytest.approx(total, abs=1e-3 * len(lm_tokens(t))) and got[i].n_known == sum(c[w] > 0 for w in lm_tokens(t))
+
+
+def test_partitions_make_no_difference(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(50).cache()
+    a, b = ({x.doc_id: x.score for x in lbl.language_model_scores(spark, d, F.lit(True), ["doc_id"])[0].collect()} for d in (docs.coalesce(1), docs.repartition(5)))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-5) for k in a)
+
+
+def test_every_word_has_a_unit_and_large_bands_are_cut(spark):
+    words = spark.createDataFrame([(f"w{k:05}".encode(), 5) for k in range(4000)] + [(b"top", 9), (b"x" * 99, 50)], "word binary, c bigint")
+    top = lbl.head_of(words, 1000)
+    assert 900 < len(top) <= 1000 and bytes(top[0]["word"]) == b"top" and all(len(r["word"]) <= lbl.LONGEST for r in top)
+    assert [lbl.side_of(v) for v in (0, 10**6, 10**12)] == [32, 100, 512]
+
+
 def test_base_scores(spark):
     got = QUERIES["op7_language_model"](spark, SF).toPandas().set_index("doc_id")
-    rows = {r.doc_id: lbl.tokens_of((r.text or "").encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = {r.doc_id: lm_tokens(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     c = Counter(w for i, ws in rows.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
     n, v = sum(c.values()), len(c)
     for i, ws in rows.items():
