@@ -1,11 +1,12 @@
 """Line dedup by content-defined line chunks, in DataFrame operations only.
 
-A rolling hash over the hashes of the last ``SPAN`` lines decides after which lines a chunk ends, so boundaries move with
-the lines when others are put in before them. A chunk of two lines or more whose bytes occur earlier in the corpus (by doc_id,
-then place) is removed; the first occurrence stays, as do single lines.
+The hash of a line decides whether a chunk may end after it; the rolling window is one line wide, as wider ones lose short passages.
+A chunk has two lines at least, so boundaries move with the lines when others are put in before them and settle again at once. A chunk of
+two lines or more whose bytes occur earlier in the corpus (by doc_id, then place) is removed; the first occurrence stays, as do texts of one line.
 
 Rows with the same doc_id and text are one document and get the same result each. Null text stays null and has no line; an empty
-table gives an empty one. All other columns pass through, whatever their names.
+table gives an empty one. All other columns pass through; names that start with __ld_ and _n_lines, _n_removed_chunks and
+_n_removed_lines are the operator's own.
 """
 
 from __future__ import annotations
@@ -16,14 +17,18 @@ from pyspark.sql import functions as F
 from .common import Stage, has_columns
 from .decontam import once
 
-SPAN, MEAN = 3, 4
+#: A line is a boundary with a chance of 1 in ODDS; a chunk has LEAST lines at least.
+ODDS, LEAST = 2, 2
+#: A first occurrence's bytes are dealt out so many times that each copy meets about so many later ones.
+HOT = 1000
 #: Up to so many first occurrences (a few dozen bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
 
 def chunks_of(text: str = "text") -> str:
     """SQL for a text's chunks: structs (n, body) of line counts and texts."""
-    ends = f"filter(sequence(1, size(ls)), i -> i = size(ls) OR (hs[i - 1] + IF(i > 1, 31L * hs[i - 2], 0L) + IF(i > 2, 961L * hs[i - 3], 0L)) % {MEAN} = 0)"
+    may = f"i BETWEEN {LEAST} AND size(ls) - {LEAST} AND hs[i - 1] % {ODDS} = 0 AND i - coalesce(try_element_at(a, -1), 0) >= {LEAST}"
+    ends = f"aggregate(sequence(1, size(ls)), CAST(array() AS array<int>), (a, i) -> IF(i = size(ls) OR ({may}), concat(a, array(i)), a))"
     chunk = "transform(es, (e, k) -> named_struct('n', e - IF(k = 0, 0, es[k - 1]), 'body', array_join(slice(ls, IF(k = 0, 0, es[k - 1]) + 1, e - IF(k = 0, 0, es[k - 1])), '\n')))"
     hashes = "transform(ls, l -> CAST(conv(left(md5(l), 7), 16, 10) AS BIGINT))"
     return once(f"split({text}, '\n', -1)", "ls", once(hashes, "hs", once(ends, "es", chunk)))
@@ -37,17 +42,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, name: str = "lines") -> Da
     multi = exploded.where("c.n > 1").select("doc_id", "__ld_text_hash", "k", F.xxhash64("c.body").alias("h1"), F.xxhash64(F.lit(1), "c.body").alias("h2"), F.octet_length("c.body").alias("size"))
     place = F.struct("doc_id", "__ld_text_hash", "k")
     spots = stage.table(multi.distinct(), "spots")
-    firsts = spots.groupBy("h1", "h2", "size").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    firsts = spots.groupBy("h1", "h2", "size").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     firsts = stage.table(firsts, "firsts")
-    later = spots.join(firsts, ["h1", "h2", "size"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "__ld_text_hash", "k", "h1", "h2", "size")
+    later = spots.join(firsts, ["h1", "h2", "size"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "__ld_text_hash", "k", "h1", "h2", "size", F.pmod(F.xxhash64("doc_id", "k"), F.ceil(F.col("n") / HOT)).alias("lot"))
     # the bytes of the first occurrences, then a comparison with each later one
-    heads = firsts.select("h1", "h2", "size", F.col("first.doc_id").alias("__ld_id"), F.col("first.__ld_text_hash").alias("__ld_hash"), F.col("first.k").alias("_k"))
+    heads = firsts.select("h1", "h2", "size", "n", F.col("first.doc_id").alias("__ld_id"), F.col("first.__ld_text_hash").alias("__ld_hash"), F.col("first.k").alias("_k"))
     heads = F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads
     owners = slim.join(heads, F.expr("doc_id <=> __ld_id AND __ld_text_hash = __ld_hash"))
     bodies = owners.dropDuplicates(["h1", "h2", "size"])
-    bodies = bodies.select("h1", "h2", "size", F.expr(f"{chunks_of()}[_k].body").alias("body"))
-    bodies = stage.table(bodies, "bodies")
-    doomed = later.join(bodies, ["h1", "h2", "size"]).groupBy("doc_id", "__ld_text_hash").agg(F.collect_list(F.struct("k", "body")).alias("__ld_same"))
+    bodies = bodies.select("h1", "h2", "size", "n", F.expr(f"{chunks_of()}[_k].body").alias("body"))
+    bodies = stage.table(bodies, "bodies").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / HOT) - 1)))
+    doomed = later.join(bodies, ["h1", "h2", "size", "lot"]).groupBy("doc_id", "__ld_text_hash").agg(F.collect_list(F.struct("k", "body")).alias("__ld_same"))
     doomed = doomed.select(F.col("doc_id").alias("__ld_id"), F.col("__ld_text_hash").alias("__ld_hash"), "__ld_same")
     out = docs.withColumn("__ld_text_hash", F.xxhash64("text")).join(doomed, F.expr("doc_id <=> __ld_id AND __ld_text_hash = __ld_hash"), "left").drop("__ld_id", "__ld_hash", "__ld_text_hash")
     gone = "array_compact(transform(__ld_same, s -> IF(cs[s.k].body = s.body, s.k, NULL)))"
@@ -67,7 +72,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, text FROM documents),
 l AS (SELECT r, doc_id, i, line, ('0x' || left(md5(line), 7))::BIGINT AS h FROM (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text IS NOT NULL)),
-e AS (SELECT *, (h + coalesce(31 * lag(h, 1) OVER w, 0) + coalesce(961 * lag(h, 2) OVER w, 0)) % 4 = 0 AS ends FROM l WINDOW w AS (PARTITION BY r ORDER BY i)),
+m AS (SELECT *, h % 2 = 0 AND i BETWEEN 2 AND count(*) OVER (PARTITION BY r) - 2 AS may, i = count(*) OVER (PARTITION BY r) AS last FROM l),
+e AS (SELECT *, last OR (may AND (i - max(CASE WHEN may THEN 0 ELSE i END) OVER (PARTITION BY r ORDER BY i)) % 2 = 1) AS ends FROM m),
 c AS (SELECT r, doc_id, i, line, coalesce(sum(ends::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
 k AS (SELECT r, doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY ALL),
 f AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY n > 1, body ORDER BY doc_id, r, k) > 1 AS gone FROM k),
