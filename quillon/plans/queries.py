@@ -644,10 +644,86 @@ def scenario_grid(spark, d):
     return rows.mapInPandas(run, "stage string, sr double, variance double, trials int, dsr_l double, dsr_ls_gaussian double, dsr_ls_gumbel double")
 
 
-@query("lstm_windows")
+@query("lstm_windows", """SELECT date, days, mean FROM (SELECT date, count(*) OVER w AS days, round(sum(s) OVER w / sum(n) OVER w, 9) AS mean FROM (SELECT date, sum(ret) AS s, count(*) AS n FROM rets GROUP BY date) WINDOW w AS (ORDER BY date ROWS 59 PRECEDING)) WHERE days = 60 AND date IN (SELECT date FROM ends)""")
 def lstm_windows(spark, d):
     """Length and mean of the 60-day vector windows at each decision."""
     r = _returns(spark, d)
     v = oa.vectors(r).select("date", F.expr("transform(v, p -> p.x)").alias("features"))
     w = ts.trailing_vectors(v, ts.month_ends(r.select("date").distinct()))
     return w.select("date", F.size("window").alias("days"), F.expr("aggregate(flatten(window), 0D, (a, x) -> a + x) / size(flatten(window))").alias("mean"))
+
+
+@query("erc_shrunk_weights", f"""WITH RECURSIVE {BASE}{PAIRS}, c AS (SELECT a, b, covar_samp(x, y) AS c FROM pairs GROUP BY a, b),
+t AS (SELECT sum(c) / 5 AS t FROM c WHERE a = b),
+shrunk AS (SELECT a, b, 0.9 * c + CASE WHEN a = b THEN 0.1 * t ELSE 0 END AS c FROM c CROSS JOIN t),
+m AS (SELECT list(r ORDER BY a) AS m, list(a ORDER BY a) AS names FROM (SELECT a, list(c ORDER BY b) AS r FROM shrunk GROUP BY a)),
+steps AS (SELECT 0 AS k, list_transform(range(1, 6), lambda i: 1 / sqrt(m[i][i])) AS y FROM m
+  UNION ALL SELECT k + 1, list_transform(range(1, 6), lambda i: sqrt(y[i] * 0.2 / list_dot_product(m[i], y))) FROM steps CROSS JOIN m WHERE k < 400),
+w AS (SELECT list_transform(y, lambda v: v / list_sum(y)) AS w FROM steps WHERE k = 400),
+p AS (SELECT names, w, list_transform(range(1, 6), lambda i: w[i] * list_dot_product(m[i], w)) AS part FROM w CROSS JOIN m)
+SELECT unnest(names) AS asset, round(unnest(w), 9) AS weight, round(unnest(list_transform(part, lambda v: v / list_sum(part))), 9) AS share FROM p""")
+@_kernel("asset string, weight double, share double")
+def erc_shrunk_weights(wide):
+    """Equal risk contributions of the shrunk covariance; the other engine finds them by a fixed-point iteration."""
+    cov = al.shrink(np.cov(wide.to_numpy().T))
+    w = al.equal_risk(np.cov(wide.to_numpy().T))
+    return pd.DataFrame({"asset": wide.columns, "weight": w, "share": al.risk_shares(w, cov)})
+
+
+#: Two regimes of the assets' mean return in per cent, from which filters and EM start.
+_BEGIN = hmm.Regimes(np.array([0.5, 0.5]), np.array([[0.95, 0.05], [0.1, 0.9]]), np.zeros((2, 1)), np.array([[[0.05]], [[0.5]]]))
+_DENSE = "greatest(exp(-0.5 * x * x / ({v} + 1e-8)) / sqrt(2 * pi() * ({v} + 1e-8)), 1e-300)"
+_FORWARD = f"""WITH RECURSIVE {BASE}, xs AS (SELECT row_number() OVER (ORDER BY date) AS t, date, 100 * avg(ret) AS x FROM rets GROUP BY date),
+e AS (SELECT t, date, x, {_DENSE.format(v=0.05)} AS b0, {_DENSE.format(v=0.5)} AS b1 FROM xs),
+f AS (SELECT t, 0.5 * b0 / (0.5 * b0 + 0.5 * b1) AS a0, 0.5 * b1 / (0.5 * b0 + 0.5 * b1) AS a1, 0.5 * b0 + 0.5 * b1 AS s FROM e WHERE t = 1
+  UNION ALL SELECT t, n0 / (n0 + n1), n1 / (n0 + n1), n0 + n1 FROM (SELECT e.t, (0.95 * a0 + 0.1 * a1) * b0 AS n0, (0.05 * a0 + 0.9 * a1) * b1 AS n1 FROM f JOIN e ON e.t = f.t + 1))"""
+_SMOOTH = f"""{_FORWARD}, joined AS (SELECT e.t, date, x, b0, b1, a0, a1, s FROM e JOIN f USING (t)),
+g AS (SELECT max(t) AS t, 1.0::DOUBLE AS z0, 1.0::DOUBLE AS z1 FROM joined
+  UNION ALL SELECT g.t - 1, (0.95 * b0 * z0 + 0.05 * b1 * z1) / s, (0.1 * b0 * z0 + 0.9 * b1 * z1) / s FROM g JOIN joined ON joined.t = g.t WHERE g.t > 1),
+every AS (SELECT t, date, x, b0, b1, a0, a1, s, z0, z1, a0 * z0 / (a0 * z0 + a1 * z1) AS g0, a1 * z1 / (a0 * z0 + a1 * z1) AS g1 FROM joined JOIN g USING (t))"""
+
+
+def _percent(wide: pd.DataFrame) -> np.ndarray:
+    return 100 * wide.to_numpy().mean(axis=1, keepdims=True)
+
+
+@query("regime_probabilities", f"{_SMOOTH} SELECT date, round(a0, 9) AS calm, round(g0, 9) AS calm_in_hindsight FROM every")
+@_kernel("date date, calm double, calm_in_hindsight double")
+def regime_probabilities(wide):
+    """Filtered and smoothed probability of the calm regime."""
+    dens = hmm.emissions(_BEGIN, _percent(wide))
+    return pd.DataFrame({"date": wide.index, "calm": hmm.filtered(_BEGIN, dens)[0][:, 0], "calm_in_hindsight": hmm.smoothed(_BEGIN, dens)[0][:, 0]})
+
+
+@query("regime_em_round", f"""{_SMOOTH}, moves AS (SELECT sum(p.a0 * 0.95 * n.b0 * n.z0 / n.s) AS m00, sum(p.a0 * 0.05 * n.b1 * n.z1 / n.s) AS m01, sum(p.a1 * 0.1 * n.b0 * n.z0 / n.s) AS m10, sum(p.a1 * 0.9 * n.b1 * n.z1 / n.s) AS m11 FROM every p JOIN every n ON n.t = p.t + 1),
+mu AS (SELECT sum(g0 * x) / sum(g0) AS u0, sum(g1 * x) / sum(g1) AS u1, sum(ln(s)) AS ll, count(*) AS n FROM every),
+v AS (SELECT sum(g0 * (x - u0) ** 2) / sum(g0) + 1e-6 AS v0, sum(g1 * (x - u1) ** 2) / sum(g1) + 1e-6 AS v1 FROM every CROSS JOIN mu),
+one AS (SELECT g0, g1 FROM every WHERE t = 1)
+SELECT 0 AS state, round(g0, 9) AS start, round(u0, 9) AS mean, round(v0, 9) AS var, round(m00 / (m00 + m01), 9) AS to_calm, round(ll, 5) AS loglik, round(-2 * ll + 7 * ln(n), 5) AS bic FROM one, mu, v, moves
+UNION ALL SELECT 1, round(g1, 9), round(u1, 9), round(v1, 9), round(m10 / (m10 + m11), 9), round(ll, 5), round(-2 * ll + 7 * ln(n), 5) FROM one, mu, v, moves""")
+@_kernel("state int, start double, mean double, var double, to_calm double, loglik double, bic double")
+def regime_em_round(wide):
+    """One round of EM from two given regimes: start, means, variances, transitions, likelihood and criterion."""
+    m = hmm.fit(_percent(wide), 2, rounds=1, begin=_BEGIN)
+    return pd.DataFrame({"state": np.array([0, 1], "int32"), "start": m.start, "mean": m.means[:, 0], "var": m.covs[:, 0, 0], "to_calm": m.step[:, 0], "loglik": round(m.loglik, 5), "bic": round(hmm.bic(m, len(wide)), 5)})
+
+
+_LOG_T = "lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * ln(nu * pi()) - 0.5 * ln({s}) - (nu + 1) / 2 * ln(1 + (x - {u}) ** 2 / ({s}) / nu)"
+
+
+@query("predictive_densities", f"""{_FORWARD}, joined AS (SELECT e.t, date, x, a0, a1, lag(a0) OVER (ORDER BY e.t) AS p0, lag(a1) OVER (ORDER BY e.t) AS p1 FROM e JOIN f USING (t)),
+z AS (SELECT (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x FROM joined),
+nus AS (SELECT unnest(list_concat(list_transform(range(0, 15), lambda k: 2.5 + 0.5 * k), list_transform(range(0, 11), lambda k: 10.0 + 2 * k)))::DOUBLE AS nu),
+best AS (SELECT arg_max(nu, score) AS nu FROM (SELECT nu, sum({_LOG_T.format(s="1", u="0")}) AS score FROM nus CROSS JOIN z GROUP BY nu)),
+m AS (SELECT avg(x) AS u, var_samp(x) AS v, sum(a0 * x) / sum(a0) AS u0, sum(a1 * x) / sum(a1) AS u1 FROM joined),
+v AS (SELECT sum(a0 * (x - u0) ** 2) / sum(a0) AS v0, sum(a1 * (x - u1) ** 2) / sum(a1) AS v1 FROM joined CROSS JOIN m),
+d AS (SELECT date, nu, coalesce(0.95 * p0 + 0.1 * p1, 0.5) AS q0, coalesce(0.05 * p0 + 0.9 * p1, 0.5) AS q1, {_LOG_T.format(s="(v + 1e-6) * (nu - 2) / nu", u="u")} AS l, {_LOG_T.format(s="(v0 + 1e-6) * (nu - 2) / nu", u="u0")} AS l0, {_LOG_T.format(s="(v1 + 1e-6) * (nu - 2) / nu", u="u1")} AS l1 FROM joined CROSS JOIN best CROSS JOIN m CROSS JOIN v)
+SELECT date, nu, round(l, 8) AS pooled, round(ln(greatest(q0 * exp(l0) + q1 * exp(l1), 1e-300)), 8) AS mixed FROM d""")
+@_kernel("date date, nu double, pooled double, mixed double")
+def predictive_densities(wide):
+    """Log-densities of the mean return: one Student t, and a mixture of two weighted by yesterday's regimes."""
+    x = _percent(wide)
+    p, _ = hmm.filtered(_BEGIN, hmm.emissions(_BEGIN, x))
+    nu = de.fit_nu(((x - x.mean()) / x.std()).ravel())
+    ahead = np.vstack([_BEGIN.start, p[:-1] @ _BEGIN.step])
+    return pd.DataFrame({"date": wide.index, "nu": nu, "pooled": de.Pooled.fit(x, nu).log_density(x).round(8), "mixed": de.Mixture.fit(x, p, nu).log_density(x, ahead).round(8)})
