@@ -15,10 +15,12 @@ _OWN_FOLDER: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session; a temporary one where that is unset and Spark runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="quillon-"))
     return _OWN_FOLDER[0]

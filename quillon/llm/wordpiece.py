@@ -4,7 +4,8 @@ The vocabulary's pieces form a trie. Each node knows how many pieces are surely
 (``popped``) and where matching goes on (``failure``): the node spelling what those pieces leave over. One pass over a
 word then yields the number of pieces without building any.
 
-A word's first piece carries the vocabulary's start mark (a space in byte-level vocabularies), later pieces don't.
+A word's first piece carries the vocabulary's start mark (a space in byte-level vocabularies), later pieces don't; the mark may be
+a piece by itself where no longer one fits.
 Words are runs of characters other than ASCII white space. A word that no sequence of greedy pieces spells counts as one
 unknown token. Null and empty texts count 0; repeated ids stay separate rows.
 """
@@ -25,7 +26,7 @@ _COUNTERS: dict[str, "PieceCounter"] = {}
 
 
 def byte_level_pieces(path: str) -> tuple[list[bytes], list[bytes]]:
-    """(pieces that begin a word, without their mark; pieces that go on) of a byte-level vocabulary file."""
+    """(pieces that begin a word, without their mark: the bare mark is empty; pieces that go on) of a byte-level vocabulary file."""
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
     added = {t["content"] for t in data.get("added_tokens", [])}
@@ -39,7 +40,7 @@ def byte_level_pieces(path: str) -> tuple[list[bytes], list[bytes]]:
             starts.append(raw[1:])
         else:
             inner.append(raw)
-    return [s for s in starts if s], inner
+    return starts, inner
 
 
 class Automaton:
@@ -60,6 +61,8 @@ class Automaton:
                 piece[node] = node > 1
         #: pieces emitted when a node's continuation fails, and the node of the rest; -1: nothing matches
         self.failure, self.popped = [-1] * len(self.go), [0] * len(self.go)
+        if b"" in starts:
+            self.failure[0], self.popped[0] = 1, 1
         queue = deque([0, 1])
         while queue:
             node = queue.popleft()
@@ -131,4 +134,5 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every row of ``documents`` with the byte-level vocabulary; null and empty texts count 0."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_vocabulary())

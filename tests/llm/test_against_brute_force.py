@@ -62,9 +62,9 @@ def test_wordpiece_counts():
     a, s, i = wordpiece.Automaton(starts, inner), set(starts), set(inner)
 
     def brute(w):
-        n = at = 0
+        n, at, w = 0, 0, b" " + w
         while at < len(w):
-            end = next((e for e in range(len(w), at, -1) if w[at:e] in (i if at else s)), None)
+            end = next((e for e in range(len(w), at, -1) if (w[at:e] in i if at else w[1:e] in s and e)), None)
             if end is None:
                 return 1
             n, at = n + 1, end
@@ -73,7 +73,8 @@ def test_wordpiece_counts():
     import pyarrow.parquet as pq
 
     words = {w for t in pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist() for w in (t or "").encode().split()}
-    assert all(a.count(w) == brute(w) for w in words)
+    words |= {w.encode() for w in ("สวัสดีชาวโลก", "Привет", "日本語", "ñandú", "עולם", "😀😀", "ÿ", "ƒx")} | {bytes([b, 97]) for b in range(33, 256)}
+    assert all(a.count(w) == brute(w) for w in words) and a.count("สวัสดีชาวโลก".encode()) > 5
     tiny = wordpiece.Automaton([b"a", b"abcd"], [b"b", b"bc", b"cde"])
     assert [tiny.count(w) for w in (b"abcd", b"abc", b"abcde", b"z", b"")] == [1, 2, 1, 1, 0]
 
