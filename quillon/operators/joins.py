@@ -48,10 +48,11 @@ def strict_left(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 
 def one_to_one_outer(left: DataFrame, right: DataFrame, on: list[str], suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
-    """Full outer join with suffixes on clashing columns and a ``side`` column: both, left_only, right_only."""
+    """Full outer join with suffixes on clashing columns and a ``side`` column: both, left_only, right_only. A repeated key fails the job."""
+    once = F.when(F.count(F.lit(1)).over(Window.partitionBy(*on)) > 1, F.raise_error(F.lit(f"a key of {on} is repeated")).cast("int")).otherwise(F.lit(1))
     clash = (set(left.columns) & set(right.columns)) - set(on)
-    l = left.withColumnsRenamed({c: c + suffixes[0] for c in clash}).withColumn("_l", F.lit(1))
-    r = right.withColumnsRenamed({c: c + suffixes[1] for c in clash}).withColumn("_r", F.lit(1))
+    l = left.withColumnsRenamed({c: c + suffixes[0] for c in clash}).withColumn("_l", once)
+    r = right.withColumnsRenamed({c: c + suffixes[1] for c in clash}).withColumn("_r", once)
     side = F.when(F.col("_l").isNull(), "right_only").when(F.col("_r").isNull(), "left_only").otherwise("both")
     return l.join(r, on, "full_outer").withColumn("side", side).drop("_l", "_r")
 

@@ -81,8 +81,10 @@ def load_arrays(path: str) -> dict[str, np.ndarray]:
 
 
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small result as a text table."""
-    rows = df.limit(limit).collect()
+    """A small result as a text table; more than ``limit`` rows are refused, not cut."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows")
     lines = [df.columns, ["---"] * len(df.columns), *([f"{v:.6g}" if isinstance(v, float) else "" if v is None else str(v) for v in r] for r in rows)]
     return "\n".join("| " + " | ".join(x) + " |" for x in lines)
 

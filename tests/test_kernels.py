@@ -177,3 +177,16 @@ def test_walk_options():
         wf.Options(risk_budget_solver="other")
     _, _, out = walk(include_hrp=True, per_regime_nu=True, refit_state_cov_ewma=0.5, refit_warm_start=False, refit_align_to_fixed_reference=True)
     assert set(out["returns"]["config"]) == {"erc_baseline", "erc_regime", "erc_blend", "equal_weight", "hrp_baseline", "hrp_regime", "hrp_blend"}
+
+
+def test_alignment_is_the_best_assignment():
+    from itertools import permutations
+
+    from quillon.functions import hmm
+
+    r = np.random.default_rng(5)
+    for k in (2, 3, 4):
+        a, b = (hmm.Regimes(np.full(k, 1 / k), np.full((k, k), 1 / k), r.normal(size=(k, 2)), np.stack([np.eye(2) * v for v in r.uniform(0.5, 2, k)])) for _ in range(2))
+        cost = lambda p: sum(hmm.bhattacharyya(a.means[i], a.covs[i], b.means[j], b.covs[j]) for j, i in enumerate(p))
+        best = min(permutations(range(k)), key=cost)
+        assert (hmm.aligned(a, b).means == a.means[list(best)]).all()

@@ -93,3 +93,18 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r.date: r.pi for r in spark.table("pi_path").collect()}
     want = {r.date: r.pi for r in re.path(spark.createDataFrame(rows, schema), ["scenario"], 0.97).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_one_to_one_refuses_repeated_keys(spark):
+    a, b = spark.createDataFrame([(1, 2), (1, 3)], "k int, v int"), spark.createDataFrame([(1, 5)], "k int, w int")
+    for x, y in ((a, b), (b, a)):
+        with pytest.raises(Exception, match="repeated"):
+            jo.one_to_one_outer(x, y, ["k"]).collect()
+
+
+def test_markdown_refuses_to_cut(spark):
+    from quillon.sources import io
+
+    assert io.markdown(spark.range(2)).count("\n") == 3
+    with pytest.raises(ValueError):
+        io.markdown(spark.range(11), 10)
