@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from math import ceil, erf, exp, log, log10, pi, sqrt
+from functools import lru_cache
+from math import ceil, erf, exp, isfinite, log10, pi, sqrt
 from statistics import NormalDist
 
 import numpy as np
@@ -61,6 +62,8 @@ def sharpe(x: np.ndarray, periods: int = 252) -> float:
 def difference_interval(series: list[np.ndarray], signs: list[int], stat=sharpe, draws: int = 2000, level: float = 0.95, seed=None, length: float | None = None) -> dict:
     """Point, interval and block length of a signed sum of a statistic over series that share every resampled path."""
     x = np.stack(series)
+    if draws < 1 or not 0 < level < 1 or (length is not None and not 1 <= length < np.inf):
+        raise ValueError("draws must be at least 1, the level within (0, 1), the block length finite and at least 1")
     if not np.isfinite(x).all():
         raise ValueError("values must be finite")
     combine = lambda v: sum(s * stat(row) for s, row in zip(signs, v))
@@ -71,6 +74,7 @@ def difference_interval(series: list[np.ndarray], signs: list[int], stat=sharpe,
     return {"point": float(combine(x)), "low": float(low), "high": float(high), "block_length": float(length)}
 
 
+@lru_cache
 def order_moments(k: int) -> tuple[float, float]:
     """Mean and standard deviation of the largest of k standard normals, by Gauss-Legendre quadrature."""
     nodes, w = np.polynomial.legendre.leggauss(400)
@@ -96,6 +100,10 @@ def deflated(sharpe_: float, variance: float, trials: int, n: int, skew: float,
 
 def location_scale(sharpe_: float, variance: float, trials: int, n: int, skew: float, kurt: float) -> tuple[float, float]:
     """The same idea with the largest order statistic's mean and spread: (normal, Gumbel) probabilities."""
+    if trials < 1:
+        raise ValueError("at least one trial is required")
+    if variance is None or not isfinite(variance) or variance <= 0:
+        raise ValueError("the variance across trials must be finite and positive")
     mean, sd = order_moments(trials)
     noise = (1 - skew * sharpe_ + (kurt - 1) / 4 * sharpe_**2) / (n - 1)
     z = (sharpe_ - sqrt(variance) * mean) / sqrt(variance * sd * sd + noise)

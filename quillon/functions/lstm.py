@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 
 from .allocation import drift, risk_budget, risk_budget_gradient
@@ -33,36 +35,59 @@ class BudgetLstm:
         self.floor, self.hidden = floor, hidden
         self.p = {"x": u(features, 4 * hidden), "h": u(hidden, 4 * hidden), "b": u(4 * hidden), "w": u(hidden, assets), "c": u(assets)}
 
-    def forward(self, window: np.ndarray) -> tuple[np.ndarray, list]:
-        h, c, tape, n = np.zeros(self.hidden), np.zeros(self.hidden), [], self.hidden
-        for x in window:
-            a = x @ self.p["x"] + h @ self.p["h"] + self.p["b"]
-            s = 1 / (1 + np.exp(-np.clip(np.concatenate([a[: 2 * n], a[3 * n :]]), -40, 40)))
-            i, f, o, g = s[:n], s[n : 2 * n], s[2 * n :], np.tanh(a[2 * n : 3 * n])
+    def forward(self, windows: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """(budgets, tape) of one window (L, F), or of a batch (B, L, F) with one row of budgets each."""
+        single = windows.ndim == 2
+        x = windows[None] if single else windows
+        n = self.hidden
+        h, c, tape = np.zeros((len(x), n)), np.zeros((len(x), n)), []
+        for t in range(x.shape[1]):
+            a = x[:, t] @ self.p["x"] + h @ self.p["h"] + self.p["b"]
+            s = 1 / (1 + np.exp(-np.clip(np.concatenate([a[:, : 2 * n], a[:, 3 * n :]], axis=1), -40, 40)))
+            i, f, o, g = s[:, :n], s[:, n : 2 * n], s[:, 2 * n :], np.tanh(a[:, 2 * n : 3 * n])
             c2 = f * c + i * g
-            tape.append((x, h, c, i, f, g, o, c2))
+            tape.append((x[:, t], h, c, i, f, g, o, c2))
             h, c = o * np.tanh(c2), c2
-        budgets, free = bounded_softmax(h @ self.p["w"] + self.p["c"], self.floor)
-        return budgets, [tape, h, budgets, free]
+        heads = [bounded_softmax(z, self.floor) for z in h @ self.p["w"] + self.p["c"]]
+        budgets, free = np.stack([b for b, _ in heads]), np.stack([f for _, f in heads])
+        return budgets[0] if single else budgets, (tape, h, budgets, free)
 
-    def backward(self, tape: list, d_budgets: np.ndarray) -> dict[str, np.ndarray]:
+    def backward(self, tape: tuple, d_budgets: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients summed over the batch of ``tape``."""
         steps, h_last, b, free = tape
-        mass = b[free].sum()
-        dz = np.zeros_like(b)
-        dz[free] = b[free] * (d_budgets[free] - (d_budgets[free] * b[free]).sum() / mass)
+        d = np.where(free, d_budgets.reshape(b.shape), 0)
+        held = np.where(free, b, 0)
+        dz = held * (d - (d * held).sum(axis=1, keepdims=True) / held.sum(axis=1, keepdims=True))
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        g["w"], g["c"] = np.outer(h_last, dz), dz
-        dh, dc = self.p["w"] @ dz, np.zeros(self.hidden)
+        g["w"], g["c"] = h_last.T @ dz, dz.sum(axis=0)
+        dh, dc = dz @ self.p["w"].T, np.zeros_like(h_last)
         for x, h, c, i, f, gg, o, c2 in reversed(steps):
             t = np.tanh(c2)
             dc = dc + dh * o * (1 - t * t)
-            da = np.concatenate([dc * gg * i * (1 - i), dc * c * f * (1 - f), dc * i * (1 - gg * gg), dh * t * o * (1 - o)])
-            g["x"] += np.outer(x, da)
-            g["h"] += np.outer(h, da)
-            g["b"] += da
-            dh, dc = self.p["h"] @ da, dc * f
+            da = np.concatenate([dc * gg * i * (1 - i), dc * c * f * (1 - f), dc * i * (1 - gg * gg), dh * t * o * (1 - o)], axis=1)
+            g["x"] += x.T @ da
+            g["h"] += h.T @ da
+            g["b"] += da.sum(axis=0)
+            dh, dc = da @ self.p["h"].T, dc * f
         return g
 
+    def save(self, path: str, *, seed: int, variant: str, epochs: int) -> None:
+        """Parameters and what is needed to rebuild the model, as one NPZ file."""
+        about = {"seed": seed, "variant": variant, "epochs": epochs, "budget_floor": self.floor, "hidden_size": self.hidden, "n_features": len(self.p["x"]), "n_assets": len(self.p["c"])}
+        np.savez_compressed(path, about=np.array(json.dumps(about)), **{f"p_{k}": v for k, v in self.p.items()})
+
+    @classmethod
+    def load(cls, path: str) -> tuple["BudgetLstm", dict]:
+        """(model, its settings); shapes that don't match the settings are an error."""
+        with np.load(path, allow_pickle=False) as f:
+            about = json.loads(str(f["about"]))
+            model = cls(about["n_features"], about["n_assets"], about["hidden_size"], about["budget_floor"])
+            for k, v in model.p.items():
+                if f[f"p_{k}"].shape != v.shape:
+                    raise ValueError(f"{path}: {k} has shape {f[f'p_{k}'].shape}, not {v.shape}")
+                model.p[k] = f[f"p_{k}"]
+        return model, about
+
 
 def loss_and_gradient(weights: np.ndarray, forward: np.ndarray, penalty: float, periods: int = 12) -> tuple[float, np.ndarray]:
     """Minus annualised Sharpe plus a price on mean turnover; previous weights drift and count as constants."""
@@ -83,17 +108,11 @@ def train(model: BudgetLstm, windows: np.ndarray, covs: np.ndarray, forward: np.
     v = {k: np.zeros_like(x) for k, x in model.p.items()}
     losses = []
     for epoch in range(1, epochs + 1):
-        tapes, weights = [], []
-        for x, c in zip(windows, covs):
-            b, tape = model.forward(x)
-            tapes.append((tape, b))
-            weights.append(risk_budget(c, b))
-        loss, dw = loss_and_gradient(np.stack(weights), forward, penalty)
+        budgets, tape = model.forward(windows)
+        weights = np.stack([risk_budget(c, b) for c, b in zip(covs, budgets)])
+        loss, dw = loss_and_gradient(weights, forward, penalty)
         losses.append(loss)
-        total = {k: np.zeros_like(x) for k, x in model.p.items()}
-        for (tape, b), w, c, d in zip(tapes, weights, covs, dw):
-            for k, g in model.backward(tape, risk_budget_gradient(c, b, w).T @ d).items():
-                total[k] += g
+        total = model.backward(tape, np.stack([risk_budget_gradient(c, b, w).T @ d for c, b, w, d in zip(covs, budgets, weights, dw)]))
         for k, g in total.items():
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g

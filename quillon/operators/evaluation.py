@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import one_to_one_left
 from .timeseries import YEAR, drawdown
 
 
@@ -64,6 +65,12 @@ def mean_turnover(executions: DataFrame, keys: list[str], dates: DataFrame) -> D
     return executions.join(dates, "date", "left_semi").groupBy(*keys).agg(F.avg("turnover").alias("mean_turnover"))
 
 
+def average_turnover(weights: DataFrame, drifted: DataFrame) -> DataFrame:
+    """mean_turnover: mean over dates of the summed differences between two weight panels (date, asset, weight), which must match one to one."""
+    both = one_to_one_left(weights, drifted.withColumnRenamed("weight", "_before"), ["date", "asset"])
+    return both.groupBy("date").agg(F.sum(F.abs(F.col("weight") - F.col("_before"))).alias("t")).agg(F.avg("t").alias("mean_turnover"))
+
+
 def effects(table: DataFrame, keys: list[str], by: str, value: str, contrasts: dict[str, tuple[str, str]]) -> DataFrame:
     """keys and one column a contrast: value of the first group minus that of the second."""
     of = lambda g: F.max(F.when(F.col(by) == g, F.col(value)))

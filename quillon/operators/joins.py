@@ -47,16 +47,35 @@ def strict_left(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(right, on, "left")
 
 
+def _unique(on: list[str]) -> F.Column:
+    """1 in each row; fails the job on a repeated key."""
+    return F.when(F.count(F.lit(1)).over(Window.partitionBy(*on)) > 1, F.raise_error(F.lit(f"a key of {on} is repeated")).cast("int")).otherwise(F.lit(1))
+
+
+def one_to_one_left(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left join of two tables with unique keys; a repeated key on either side or a left row without match fails the job."""
+    l, r = left.withColumn("_l", _unique(on)), right.withColumn("_r", _unique(on))
+    found = F.when(F.col("_r").isNull(), F.raise_error(F.lit(f"a key of {on} has no match")).cast("int")).otherwise(F.col("_l"))
+    return l.join(r, on, "left").where(found == 1).drop("_l", "_r")
+
+
 def one_to_one_outer(left: DataFrame, right: DataFrame, on: list[str], suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
     """Full outer join with suffixes on clashing columns and a ``side`` column: both, left_only, right_only. A repeated key fails the job."""
-    once = F.when(F.count(F.lit(1)).over(Window.partitionBy(*on)) > 1, F.raise_error(F.lit(f"a key of {on} is repeated")).cast("int")).otherwise(F.lit(1))
     clash = (set(left.columns) & set(right.columns)) - set(on)
-    l = left.withColumnsRenamed({c: c + suffixes[0] for c in clash}).withColumn("_l", once)
-    r = right.withColumnsRenamed({c: c + suffixes[1] for c in clash}).withColumn("_r", once)
+    l = left.withColumnsRenamed({c: c + suffixes[0] for c in clash}).withColumn("_l", _unique(on))
+    r = right.withColumnsRenamed({c: c + suffixes[1] for c in clash}).withColumn("_r", _unique(on))
     side = F.when(F.col("_l").isNull(), "right_only").when(F.col("_r").isNull(), "left_only").otherwise("both")
     return l.join(r, on, "full_outer").withColumn("side", side).drop("_l", "_r")
 
 
+def with_features(returns: DataFrame, features: DataFrame, probabilities: DataFrame | None = None) -> DataFrame:
+    """``returns`` with an array column ``features`` of the day's feature row (null before the first); features and regime
+    probabilities, both by date, are joined by an inner join."""
+    both = features if probabilities is None else features.join(probabilities, "date")
+    packed = both.select("date", F.array(*(F.col(c).cast("double") for c in both.columns if c != "date")).alias("features"))
+    return returns.join(packed, "date", "left")
+
+
 def key_difference(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """Keys in only one of the two tables, with the side they are on."""
     return a.select(on).exceptAll(b.select(on)).withColumn("side", F.lit("a")).unionByName(b.select(on).exceptAll(a.select(on)).withColumn("side", F.lit("b")))

@@ -23,6 +23,7 @@ from ..operators import reliability as re
 from ..operators import timeseries as ts
 from ..sources import panel as pn
 from . import equal_weight as ew
+from . import studies as st
 from . import walkforward as wf
 
 ASSETS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -535,21 +536,91 @@ _LIMITS = al.Limits(0.0, 0.30, 0.30)
 
 @query("walk_forward_full")
 def walk_forward_full(spark, d):
-    options = {"three_states": wf.Options(initial_window=1000, refit_every_n_rebalances=6, refit_n_iter=20, limits=_LIMITS, include_hrp=True), "two_states": wf.Options(n_states=2, initial_window=1000, refit_every_n_rebalances=6, refit_n_iter=20, limits=_LIMITS)}
+    options = {"three_states": wf.Options(initial_window=1000, limits=_LIMITS, include_hrp=True), "two_states": wf.Options(n_states=2, initial_window=1000, limits=_LIMITS)}
     out = wf.run(_scenarios(spark, d, options), options, "returns")
     return ev.performance(out, ["scenario", "config"])
 
 
 @query("walk_forward_decisions")
 def walk_forward_decisions(spark, d):
-    options = {"close": wf.Options(n_states=2, initial_window=1500, refit_every_n_rebalances=6, refit_n_iter=10, limits=_LIMITS)}
+    options = {"close": wf.Options(n_states=2, initial_window=1500, limits=_LIMITS)}
     return wf.run(_scenarios(spark, d, options), options, "decisions", next_open=False)
 
 
+def _lstm_returns(spark, d) -> DataFrame:
+    r = _returns(spark, d)
+    return jo.with_features(r, ts.feature_matrix(r, ASSETS))
+
+
 @query("lstm_walk")
 def lstm_walk(spark, d):
-    options = {"lstm": wf.Options(n_states=2, initial_window=800, refit_every_n_rebalances=12, refit_n_iter=5, limits=_LIMITS, lstm_epochs=2)}
-    return ev.performance(wf.run(_scenarios(spark, d, options), options, "returns"), ["scenario", "config"])
+    """Two networks trained for 200 epochs on the feature matrix of the first 800 days, then walked."""
+    options = wf.Options(n_states=2, initial_window=800, limits=_LIMITS, lstm_epochs=200)
+    rows = st.scenario_rows(_lstm_returns(spark, d), {"lstm": None})
+    return ev.performance(wf.run(rows, {"lstm": options}, "returns"), ["scenario", "config"])
+
+
+@query("study_contrasts")
+def study_contrasts(spark, d):
+    """The five contrasts of the trained walk, 2,000 draws each."""
+    options = wf.Options(n_states=2, initial_window=800, limits=_LIMITS, lstm_epochs=200)
+    rows = st.scenario_rows(_lstm_returns(spark, d), {"lstm": None})
+    return st.contrasts(wf.run(rows, {"lstm": options}, "returns"))
+
+
+@query("refit_cadence")
+def refit_cadence(spark, d):
+    """Performance of the refit arms up to the validation stage's end; later days are never read into the walk."""
+    arms = st.refit_arms(wf.Options(n_states=2, initial_window=1000, limits=_LIMITS))
+    rows = st.scenario_rows(_returns(spark, d), dict.fromkeys(arms), last_day=BOUNDS[1][1])
+    return ev.performance(wf.run(rows, arms, "returns"), ["scenario", "config"])
+
+
+@query("robustness_specs")
+def robustness_specs(spark, d):
+    """Performance of the robustness scenarios; each is one task."""
+    specs = st.robustness(wf.Options(initial_window=1000, limits=_LIMITS), ["AFRICA", "ASIA"])
+    rows = st.scenario_rows(_returns(spark, d), {k: dropped for k, (_, dropped) in specs.items()})
+    return ev.performance(wf.run(rows, {k: o for k, (o, _) in specs.items()}, "returns"), ["scenario", "config"])
+
+
+@query("retraining_difference")
+def retraining_difference(spark, d):
+    """Quarterly less fixed training: Sharpe ratio's difference and interval, by stage and network."""
+    arms = st.retraining_arms(wf.Options(n_states=2, initial_window=800, limits=_LIMITS, lstm_epochs=200))
+    rows = st.scenario_rows(_lstm_returns(spark, d), dict.fromkeys(arms))
+    out = wf.run(rows, arms, "returns").where(F.col("config").startswith("lstm")).withColumnsRenamed({"scenario": "arm", "config": "network"})
+    return st.arm_difference(out.withColumn("stage", ts.stage_label(BOUNDS)), ("quarterly", "fixed"), ["stage", "network"])
+
+
+@query("feature_rows", """, v AS (SELECT date, count(*) AS n_assets, sum(ret) AS s FROM rets GROUP BY date) SELECT date, n_assets, round(s, 9) AS total, n_assets * 3 + 2 AS n_features FROM v
+  WHERE date >= (SELECT date FROM v ORDER BY date LIMIT 1 OFFSET 62)""")
+def feature_rows(spark, d):
+    """Days with a whole feature row: number of features and sum of the returns among them."""
+    r = _lstm_returns(spark, d).where("features IS NOT NULL")
+    return r.groupBy("date").agg(F.count("*").alias("n_assets"), F.sum("ret").alias("total"), F.max(F.size("features")).alias("n_features"))
+
+
+@query("search_scenarios", BUDGET + """ SELECT 'variance' AS kind, 'pooled_every_seed' AS name, round(var_samp(budget), 9) AS value FROM budgets
+  UNION ALL SELECT 'variance', 'pooled_without_first', round(var_samp(budget) FILTER (seed <> 1), 9) FROM budgets
+  UNION ALL SELECT 'variance', 'pooled_two_assets', round(var_samp(budget) FILTER (asset IN ('ASIA', 'EUROPE')), 9) FROM budgets
+  UNION ALL SELECT 'variance', 'family_' || CAST(seed AS VARCHAR), round(var_samp(budget), 9) FROM budgets GROUP BY seed HAVING count(*) > 1
+  UNION ALL SELECT 'variance', 'conventional_unit_variance', 1.0 UNION ALL SELECT 'trials', 'deduped_candidate_count', count(budget) FROM budgets
+  UNION ALL SELECT 'trials', 'coherent_search_families', count(DISTINCT seed) FROM budgets UNION ALL SELECT 'trials', 'literal_logged_trials', 9""")
+def search_scenarios(spark, d):
+    return st.search_scenarios(_budgets(spark, d), "seed", "budget", _search_rules(), logged=9)
+
+
+def _search_rules() -> dict[str, F.Column]:
+    return {"every_seed": F.lit(True), "without_first": F.col("seed") != 1, "two_assets": F.col("asset").isin("ASIA", "EUROPE")}
+
+
+@query("sensitivity_grid")
+def sensitivity_grid(spark, d):
+    """Every asset and the equal-weight walk over all variances and numbers of trials."""
+    r = _returns(spark, d).select(F.col("asset").alias("config"), "date", (F.exp("ret") - 1).alias("ret"))
+    every = r.unionByName(r.groupBy("date").agg(F.avg("ret").alias("ret")).withColumn("config", F.lit("equal_weight")))
+    return st.sensitivity_grid(every, ["config"], st.search_scenarios(_budgets(spark, d), "seed", "budget", _search_rules(), logged=9))
 
 
 def _kernel(schema: str):
@@ -572,7 +643,7 @@ def _kernel(schema: str):
 @_kernel("date date, state int, prob double")
 def hmm_filter(wide):
     x = wide.to_numpy()
-    m = hmm.fit(x, 2, rounds=30)
+    m = hmm.fit(x, 2)
     p, _ = hmm.filtered(m, hmm.emissions(m, x))
     return pd.DataFrame({"date": np.repeat(wide.index, 2), "state": np.tile([0, 1], len(x)).astype("int32"), "prob": p.ravel()})
 
@@ -580,7 +651,7 @@ def hmm_filter(wide):
 @query("hmm_state_counts")
 @_kernel("states int, loglik double, bic double")
 def hmm_state_counts(wide):
-    fits = [hmm.fit(wide.to_numpy(), k, rounds=20) for k in (2, 3, 4)]
+    fits = [hmm.fit(wide.to_numpy(), k) for k in (2, 3, 4)]
     return pd.DataFrame({"states": np.array([2, 3, 4], "int32"), "loglik": [m.loglik for m in fits], "bic": [hmm.bic(m, len(wide)) for m in fits]})
 
 
@@ -622,7 +693,7 @@ def bootstrap_contrasts(spark, d):
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index="date", columns="sign", values="r").sort_index()
-        out = inference.difference_interval([wide[1].to_numpy(), wide[-1].to_numpy()], [1, -1], draws=500, seed=seeds[key[0]])
+        out = inference.difference_interval([wide[1].to_numpy(), wide[-1].to_numpy()], [1, -1], seed=seeds[key[0]])
         return pd.DataFrame([{"contrast": key[0], **out}])
 
     return both.groupBy("contrast").applyInPandas(one, "contrast int, point double, low double, high double, block_length double")

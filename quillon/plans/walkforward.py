@@ -64,6 +64,7 @@ class _Signals:
 
 
 def _estimate(x: np.ndarray, o: Options, begin: hmm.Regimes | None, reference: hmm.Regimes | None, rounds: int, seed: int, before: np.ndarray | None) -> tuple[_Signals, np.ndarray]:
+    """The signals and the filtered regime probabilities of all days in ``x``."""
     m = hmm.fit(x, o.n_states, seed, rounds, begin=begin)
     if reference is not None:
         m = hmm.aligned(m, reference)
@@ -74,26 +75,29 @@ def _estimate(x: np.ndarray, o: Options, begin: hmm.Regimes | None, reference: h
     mix = de.Mixture.fit(x, probs, nus)
     raw = mix.covariances()
     covs = raw if o.refit_state_cov_ewma is None or before is None else o.refit_state_cov_ewma * before + (1 - o.refit_state_cov_ewma) * raw
-    return _Signals(m, de.Pooled.fit(x, nu), mix, np.cov(x.T), raw, covs), probs[-1]
+    return _Signals(m, de.Pooled.fit(x, nu), mix, np.cov(x.T), raw, covs), probs
 
 
-def walk(dates: np.ndarray, x: np.ndarray, o: Options, co: np.ndarray | None = None, oc: np.ndarray | None = None) -> dict[str, pd.DataFrame]:
+def walk(dates: np.ndarray, x: np.ndarray, o: Options, co: np.ndarray | None = None, oc: np.ndarray | None = None, features: np.ndarray | None = None) -> dict[str, pd.DataFrame]:
     """Day by day: accrue, score, predict, and at month ends decide. With overnight and intraday returns orders are executed at
-    the next open, otherwise at the same close. Decisions use end-of-day holdings and each day has one weight row."""
+    the next open, otherwise at the same close. Decisions use end-of-day holdings and each day has one weight row. The networks read ``features`` (a row a day,
+    not finite where there is none), or without them the day's returns in per cent."""
     t, n = x.shape
     months = pd.PeriodIndex(pd.to_datetime(dates), freq="M")
     decides = np.append(months[1:] != months[:-1], True)
     next_open = co is not None and oc is not None
     names = ["erc_baseline", "erc_regime", "erc_blend", "equal_weight"]
     names += ["hrp_baseline", "hrp_regime", "hrp_blend"] * o.include_hrp + ["lstm_baseline", "lstm_regime", "lstm_blend"] * bool(o.lstm_epochs)
-    s, state = _estimate(x[: o.initial_window], o, None, None, o.first_n_iter, o.seed, None)
+    s, probs = _estimate(x[: o.initial_window], o, None, None, o.first_n_iter, o.seed, None)
+    state = probs[-1]
+    inputs = 100 * x if features is None else features
     reference, ell, refits, count = s.regimes, 0.0, 1, 0
     w = {c: np.full(n, 1 / n) for c in names}
     pending: dict[str, np.ndarray] = {}
     limit = np.log((1 - 1e-6) / 1e-6)
     out: dict[str, list] = {k: [] for k in ("returns", "weights", "pi", "decisions", "executions")}
-    forecasts = [state @ s.regimes.step]
-    nets = _networks(dates[: o.initial_window], x[: o.initial_window], decides, s, o) if o.lstm_epochs else {}
+    forecasts = list(probs @ s.regimes.step)  # one a day, never recomputed later
+    nets = _networks(x[: o.initial_window], inputs, np.stack(forecasts), decides, o) if o.lstm_epochs else {}
     for k in range(o.initial_window, t):
         r, day = x[k], dates[k]
         for c in names:
@@ -121,7 +125,8 @@ def walk(dates: np.ndarray, x: np.ndarray, o: Options, co: np.ndarray | None = N
             count += 1
             if o.refit_at_rebalance and count % o.refit_every_n_rebalances == 0:
                 ref = reference if o.refit_align_to_fixed_reference else s.regimes
-                s, state = _estimate(x[: k + 1], o, s.regimes if o.refit_warm_start else None, ref, o.refit_n_iter, o.seed if o.refit_warm_start else 1000 + refits, s.covs)
+                s, probs = _estimate(x[: k + 1], o, s.regimes if o.refit_warm_start else None, ref, o.refit_n_iter, o.seed if o.refit_warm_start else 1000 + refits, s.covs)
+                state = probs[-1]
                 refits += 1
             ahead = state @ s.regimes.step
             base, regime = al.shrink(s.cov, o.shrinkage), al.shrink(np.tensordot(ahead, s.covs, 1), o.shrinkage)
@@ -131,14 +136,13 @@ def walk(dates: np.ndarray, x: np.ndarray, o: Options, co: np.ndarray | None = N
                 target |= {"hrp_baseline": al.hierarchical(base), "hrp_regime": al.hierarchical(regime)}
             if nets:
                 if o.lstm_retrain_every_n_rebalances and count % o.lstm_retrain_every_n_rebalances == 0:
-                    nets = _networks(dates[: k + 1], x[: k + 1], decides[: k + 1], s, o, nets)
-                probs = np.stack(forecasts)[-o.lstm_seq_len :]
+                    nets = _networks(x[: k + 1], inputs, np.stack(forecasts), decides, o, nets)
+                window = inputs[k + 1 - o.lstm_seq_len : k + 1]
+                if not np.isfinite(window).all():
+                    raise ValueError(f"a feature is missing in the {o.lstm_seq_len} days up to {day}")
                 raw = al.shrink(np.tensordot(ahead, s.raw_covs, 1), o.shrinkage)
-                for kind, extra, cov in (("baseline", None, base), ("regime", probs, raw)):
-                    window = x[k + 1 - o.lstm_seq_len : k + 1]
-                    if extra is not None:
-                        window = np.concatenate([window, np.vstack([np.full((o.lstm_seq_len - len(extra), o.n_states), 1 / o.n_states), extra])], axis=1)
-                    target[f"lstm_{kind}"] = al.risk_budget(cov, nets[kind].forward(_scaled(window, n))[0])
+                for kind, data, cov in (("baseline", window, base), ("regime", np.hstack([window, np.stack(forecasts[-o.lstm_seq_len :])]), raw)):
+                    target[f"lstm_{kind}"] = al.risk_budget(cov, nets[kind].forward(data)[0])
             for family in ("erc", "hrp", "lstm"):
                 if f"{family}_regime" in target:
                     target[f"{family}_blend"] = pi * target[f"{family}_regime"] + (1 - pi) * target[f"{family}_baseline"]
@@ -157,38 +161,32 @@ def walk(dates: np.ndarray, x: np.ndarray, o: Options, co: np.ndarray | None = N
     return {k: pd.DataFrame(v, columns=columns[k]) for k, v in out.items()}
 
 
-def _scaled(window: np.ndarray, n: int) -> np.ndarray:
-    out = window.copy()
-    out[:, :n] *= 100
-    return out
+def training_windows(inputs: np.ndarray, decides: np.ndarray, days: int, length: int, cov_window: int) -> list[tuple[int, int]]:
+    """(decision, next decision) of the first ``days`` rows with a full window of finite inputs and of covariances."""
+    at = np.flatnonzero(decides[:days])
+    return [(a, b) for a, b in zip(at, at[1:]) if a + 1 >= max(length, cov_window) and np.isfinite(inputs[a + 1 - length : a + 1]).all()]
 
 
-def training_windows(dates: np.ndarray, x: np.ndarray, decides: np.ndarray, length: int, cov_window: int) -> list[tuple[int, int]]:
-    """(decision, next decision) rows with a full feature and covariance window."""
-    at = np.flatnonzero(decides[: len(x)])
-    return [(a, b) for a, b in zip(at, at[1:]) if a + 1 >= max(length, cov_window)]
-
-
-def _networks(dates, x, decides, s: _Signals, o: Options, old: dict | None = None) -> dict[str, BudgetLstm]:
+def _networks(x: np.ndarray, inputs: np.ndarray, ahead: np.ndarray, decides: np.ndarray, o: Options, old: dict | None = None) -> dict[str, BudgetLstm]:
+    """Both allocators trained on the days in ``x``; the old ones go on from their weights."""
     n = x.shape[1]
-    pairs = training_windows(dates, x, decides, o.lstm_seq_len, o.lstm_cov_window)
+    pairs = training_windows(inputs, decides, len(x), o.lstm_seq_len, o.lstm_cov_window)
     if len(pairs) < 2:
         raise ValueError("too few decisions to train on")
-    probs, _ = hmm.filtered(s.regimes, hmm.emissions(s.regimes, x))
-    ahead = probs @ s.regimes.step
+    covs = np.stack([al.shrink(np.cov(x[a + 1 - o.lstm_cov_window : a + 1].T), o.shrinkage) for a, _ in pairs])
+    forward = np.stack([np.exp(x[a + 1 : b + 1].sum(axis=0)) for a, b in pairs])
     nets = {}
     for kind in ("baseline", "regime"):
-        data = x if kind == "baseline" else np.concatenate([x, ahead], axis=1)
-        windows = np.stack([_scaled(data[a + 1 - o.lstm_seq_len : a + 1], n) for a, _ in pairs])
-        covs = np.stack([al.shrink(np.cov(x[a + 1 - o.lstm_cov_window : a + 1].T), o.shrinkage) for a, _ in pairs])
-        forward = np.stack([np.exp(x[a + 1 : b + 1].sum(axis=0)) for a, b in pairs])
+        data = inputs[: len(x)] if kind == "baseline" else np.hstack([inputs[: len(x)], ahead[: len(x)]])
+        windows = np.stack([data[a + 1 - o.lstm_seq_len : a + 1] for a, _ in pairs])
         nets[kind] = (old or {}).get(kind) or BudgetLstm(data.shape[1], n, floor=0.5 / n, seed=o.seed)
         train(nets[kind], windows, covs, forward, o.lstm_retrain_n_epochs if old else o.lstm_epochs, penalty=o.lstm_turnover_penalty)
     return nets
 
 
 def run(returns: DataFrame, scenarios: dict[str, Options], table: str, next_open: bool = True) -> DataFrame:
-    """One table of all scenarios' walks: ``returns`` (scenario, date, asset, ret, overnight, intraday) is grouped by scenario."""
+    """One table of all scenarios' walks: ``returns`` (scenario, date, asset, ret, overnight, intraday) is grouped by scenario.
+    A column ``features`` (the same array for all assets of a day, null before the first) is what the networks read."""
     schemas = {"returns": "date date, config string, ret double", "weights": "date date, config string, weights array<double>", "pi": "date date, pi double, l0 double, l1 double", "executions": "date date, config string, turnover double", "decisions": "date date, config string, turnover double, turnover_binding boolean, n_lower int, n_upper int, dev_target double, dev_final double"}
     options = {k: asdict(v) for k, v in scenarios.items()}
 
@@ -199,7 +197,12 @@ def run(returns: DataFrame, scenarios: dict[str, Options], table: str, next_open
         wide = {v: pdf.pivot(index="date", columns="asset", values=v) for v in ("ret", "overnight", "intraday")}
         dates = wide["ret"].index.to_numpy()
         legs = (wide["overnight"].to_numpy(), wide["intraday"].to_numpy()) if next_open else (None, None)
-        out = walk(dates, wide["ret"].to_numpy(), o, *legs)[table]
+        features = None
+        if "features" in pdf.columns:
+            found = pdf.drop_duplicates("date").set_index("date")["features"].reindex(wide["ret"].index)
+            length = next(len(v) for v in found if v is not None)
+            features = np.stack([np.full(length, np.nan) if v is None else np.asarray(v, float) for v in found])
+        out = walk(dates, wide["ret"].to_numpy(), o, *legs, features)[table]
         out.insert(0, "scenario", key[0])
         return out
 

@@ -40,6 +40,32 @@ def read_shards(spark: SparkSession, folder: str, schema: str, pattern: str = "s
     return read_csv(spark, f"{folder}/{pattern}", schema)
 
 
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """Rows of all tables by column name; columns that a table lacks are null."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def merge_shards(spark: SparkSession, folder: str, schema: str, to: str, pattern: str = "shard_*.csv", delete: bool = True) -> DataFrame:
+    """All shards as one new table, reread from ``to``; the shards go only after it holds as many rows as they do.
+
+    Files are listed and deleted through the file system that owns ``folder``, so remote paths work.
+    """
+    shards = read_shards(spark, folder, schema, pattern)
+    write_new(shards, to, form="parquet")
+    merged = spark.read.parquet(to)
+    if merged.count() != shards.count():
+        raise ValueError(f"{to} doesn't hold the rows of {folder}/{pattern}")
+    if delete:
+        glob = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+        files = glob.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in files.globStatus(glob):
+            files.delete(found.getPath(), False)
+    return merged
+
+
 def require(df: DataFrame, **conditions: F.Column) -> DataFrame:
     """Raises with the names of the aggregate conditions that don't hold; all are evaluated in one pass."""
     row = df.agg(*(c.alias(n) for n, c in conditions.items())).first()

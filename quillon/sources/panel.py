@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import joins as jo
+
 PANEL_SCHEMA = "date date, asset string, close double, open double"
 UNIVERSE = ["SPY", "EFA", "EEM", "TLT", "IEF", "LQD", "HYG", "GLD", "DBC", "VNQ"]  # fixed values: the order of the universe
 
@@ -84,6 +87,37 @@ def synthetic_panel(n_days: int, universe: list[str] = UNIVERSE, seed: int = 0,
     return out, states
 
 
+def synthetic_prices(spark: SparkSession, n_days: int, universe: list[str] = UNIVERSE, seed: int = 0, first: str = "2000-01-03") -> tuple[DataFrame, DataFrame]:
+    """(panel, regimes): close prices that compound the synthetic returns from 100 on business days, without opens; and date, regime."""
+    r, states = synthetic_panel(n_days, universe, seed)
+    days = [d.date() for d in pd.bdate_range(first, periods=n_days)]
+    close = 100 * np.exp(np.cumsum(r, axis=0))
+    table = pd.DataFrame({"date": np.repeat(np.array(days, object), len(universe)), "asset": universe * n_days, "close": close.ravel()})
+    panel = spark.createDataFrame(table, "date date, asset string, close double").withColumn("open", F.lit(None).cast("double"))
+    return panel, spark.createDataFrame([(d, int(s)) for d, s in zip(days, states)], "date date, regime int")
+
+
+def finite(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose ``columns`` are all numbers: neither null, NaN nor infinite."""
+    for c in columns:
+        df = df.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    return df
+
+
+def read_yields(spark: SparkSession, path: str) -> DataFrame:
+    """obs_date, yield_pct of a local CSV whose first column is the date and whose second the yield; "." is a missing value."""
+    raw = spark.read.option("header", True).csv(path)
+    day, value = raw.columns[:2]
+    return raw.select(F.to_date(day).alias("obs_date"), F.expr(f"try_cast(nullif(trim(`{value}`), '.') AS double)").alias("yield_pct"))
+
+
+def read_risk_free(spark: SparkSession, path: str, dates: DataFrame) -> DataFrame:
+    """date, rf_daily for each of ``dates`` from a CSV (date, yield_pct_prior, rf_daily). A repeated date, a date
+    that the file lacks or one without a value fails the job; nothing is carried forward."""
+    table = spark.read.schema("date date, yield_pct_prior double, rf_daily double").option("header", True).csv(path)
+    return jo.require_matched(jo.one_to_one_left(dates.select("date").distinct(), table.select("date", "rf_daily"), ["date"]), "rf_daily")
+
+
 def risk_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly yields in percent from order values: (obs_date, yield_pct), some months without a value."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
