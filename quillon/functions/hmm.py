@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import sumprod
+from operator import mul
 
 import numpy as np
 
@@ -38,22 +40,28 @@ def emissions(m: Regimes, x: np.ndarray) -> np.ndarray:
 
 def filtered(m: Regimes, dens: np.ndarray, prior: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(P(state | past and present), scale of each day); ``prior`` continues an earlier run."""
-    alpha, scale = np.empty_like(dens), np.empty(len(dens))
-    now = m.start if prior is None else prior @ m.step
-    for t, b in enumerate(dens):
-        a = now * b
-        scale[t] = a.sum()
-        alpha[t] = a / scale[t]
-        now = alpha[t] @ m.step
-    return alpha, scale
+    alpha, scale = [], []
+    now = (m.start if prior is None else prior @ m.step).tolist()
+    into = m.step.T.tolist()
+    for b in dens.tolist():
+        a = list(map(mul, now, b))
+        total = sum(a)
+        a = [v / total for v in a]
+        alpha.append(a)
+        scale.append(total)
+        now = [sumprod(a, c) for c in into]
+    return np.array(alpha).reshape(dens.shape), np.array(scale)
 
 
 def smoothed(m: Regimes, dens: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """(P(state | all), expected transitions, log-likelihood)."""
     alpha, scale = filtered(m, dens)
-    beta = np.ones_like(alpha)
-    for t in range(len(dens) - 2, -1, -1):
-        beta[t] = m.step @ (dens[t + 1] * beta[t + 1]) / scale[t + 1]
+    out_of, z, later = m.step.tolist(), [1.0] * len(m.start), []
+    for b in (dens[:0:-1] / scale[:0:-1, None]).tolist():
+        later.append(z)
+        v = list(map(mul, b, z))
+        z = [sumprod(v, r) for r in out_of]
+    beta = np.array([z, *reversed(later)])
     gamma = alpha * beta
     gamma /= gamma.sum(axis=1, keepdims=True)
     ahead = dens[1:] * beta[1:] / scale[1:, None]

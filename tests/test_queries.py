@@ -32,7 +32,7 @@ def duck(sf):
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in q.ORACLES if n in {"panel_ohlc", "rolling_volatility", "rolling_avg_correlation", "asof_prior_yield", "carry_forward", "pairwise_l1", "bounded_softmax", "performance_by_stage", "cost_sensitivity", "reliability_path", "opening_turnover", "autocovariance", "lstm_windows", "erc_shrunk_weights", "regime_probabilities", "regime_em_round", "predictive_densities"}])
+@pytest.mark.parametrize("name", [n for n in q.ORACLES if n in {"panel_ohlc", "rolling_volatility", "rolling_avg_correlation", "asof_prior_yield", "carry_forward", "pairwise_l1", "bounded_softmax", "performance_by_stage", "cost_sensitivity", "reliability_path", "opening_turnover", "autocovariance", "lstm_windows", "erc_shrunk_weights", "regime_probabilities", "regime_em_round", "predictive_densities", "feature_rows", "search_scenarios"}])
 def test_against_sql(spark, sf, duck, name):
     got, want = q.QUERIES[name](spark, sf).toPandas(), duck.sql(q.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
