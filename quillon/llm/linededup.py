@@ -1,8 +1,10 @@
 """Line dedup by content-defined line chunks, in DataFrame operations only.
 
-The hash of a line decides whether a chunk may end after it; the rolling window is one line wide, as wider ones lose short passages.
-A chunk has two lines at least, so boundaries move with the lines when others are put in before them and settle again at once. A chunk of
-two lines or more whose bytes occur earlier in the corpus (by doc_id, then place) is removed; the first occurrence stays, as do texts of one line.
+The hash of a line decides whether it is a boundary (two lines of three are); the rolling window is one line wide, as wider ones lose
+short passages. A chunk reaches from one boundary to the next, both included, so neighbouring chunks share a line: what lies between a passage's
+first and last boundary is found wherever the passage stands, whatever surrounds it. The first and the last line of a text count as boundaries.
+A line goes if a chunk that it is in occurs byte for byte earlier in the corpus (by doc_id, then place). As each removed line stands in an
+earlier occurrence of its chunk, every line stays at least once. Texts of one line stay.
 
 Rows with the same doc_id and text are one document and get the same result each. Null text stays null and has no line; an empty
 table gives an empty one. All other columns pass through; names that start with __ld_ and _n_lines, _n_removed_chunks and
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import Stage, has_columns
 from .decontam import once
 
-#: A line is a boundary with a chance of 1 in ODDS; a chunk has LEAST lines at least.
-ODDS, LEAST = 2, 2
+#: A line is a boundary unless its hash is divisible by ODDS.
+ODDS = 3
 #: A first occurrence's bytes are dealt out so many times that each copy meets about so many later ones.
 HOT = 1000
 #: Up to so many first occurrences (a few dozen bytes each) are broadcast; more are joined by a shuffle.
@@ -26,12 +28,11 @@ BROADCAST_ROWS = 500_000
 
 
 def chunks_of(text: str = "text") -> str:
-    """SQL for a text's chunks: structs (n, body) of line counts and texts."""
-    may = f"i BETWEEN {LEAST} AND size(ls) - {LEAST} AND hs[i - 1] % {ODDS} = 0 AND i - coalesce(try_element_at(a, -1), 0) >= {LEAST}"
-    ends = f"aggregate(sequence(1, size(ls)), CAST(array() AS array<int>), (a, i) -> IF(i = size(ls) OR ({may}), concat(a, array(i)), a))"
-    chunk = "transform(es, (e, k) -> named_struct('n', e - IF(k = 0, 0, es[k - 1]), 'body', array_join(slice(ls, IF(k = 0, 0, es[k - 1]) + 1, e - IF(k = 0, 0, es[k - 1])), '\n')))"
+    """SQL for a text's chunks: structs (at, n, body) of first lines (from 1), line counts and texts."""
+    points = f"filter(sequence(1, size(ls)), i -> i = 1 OR i = size(ls) OR hs[i - 1] % {ODDS} <> 0)"
+    chunk = "transform(slice(ps, 1, size(ps) - 1), (p, k) -> named_struct('at', p, 'n', ps[k + 1] - p + 1, 'body', array_join(slice(ls, p, ps[k + 1] - p + 1), '\n')))"
     hashes = "transform(ls, l -> CAST(conv(left(md5(l), 7), 16, 10) AS BIGINT))"
-    return once(f"split({text}, '\n', -1)", "ls", once(hashes, "hs", once(ends, "es", chunk)))
+    return once(f"split({text}, '\n', -1)", "ls", once(hashes, "hs", once(points, "ps", chunk)))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, name: str = "lines") -> DataFrame:
@@ -39,7 +40,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, name: str = "lines") -> Da
     stage = Stage(spark, name)
     slim = has_columns(docs, ["doc_id", "text"]).where("text is not null").withColumn("__ld_text_hash", F.xxhash64("text"))
     exploded = slim.select("doc_id", "__ld_text_hash", F.posexplode(F.expr(chunks_of())).alias("k", "c"))
-    multi = exploded.where("c.n > 1").select("doc_id", "__ld_text_hash", "k", F.xxhash64("c.body").alias("h1"), F.xxhash64(F.lit(1), "c.body").alias("h2"), F.octet_length("c.body").alias("size"))
+    multi = exploded.select("doc_id", "__ld_text_hash", "k", F.xxhash64("c.body").alias("h1"), F.xxhash64(F.lit(1), "c.body").alias("h2"), F.octet_length("c.body").alias("size"))
     place = F.struct("doc_id", "__ld_text_hash", "k")
     spots = stage.table(multi.distinct(), "spots")
     firsts = spots.groupBy("h1", "h2", "size").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
@@ -56,9 +57,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, name: str = "lines") -> Da
     doomed = doomed.select(F.col("doc_id").alias("__ld_id"), F.col("__ld_text_hash").alias("__ld_hash"), "__ld_same")
     out = docs.withColumn("__ld_text_hash", F.xxhash64("text")).join(doomed, F.expr("doc_id <=> __ld_id AND __ld_text_hash = __ld_hash"), "left").drop("__ld_id", "__ld_hash", "__ld_text_hash")
     gone = "array_compact(transform(__ld_same, s -> IF(cs[s.k].body = s.body, s.k, NULL)))"
-    rest = "transform(array_except(sequence(0, size(cs) - 1), gs), k -> cs[k].body)"
-    facts = f"named_struct('chunks', size(gs), 'lines', aggregate(gs, 0, (a, k) -> a + cs[k].n), 'text', array_join({rest}, '\\n'))"
-    out = out.withColumn("__ld_facts", F.expr(f"IF(__ld_same IS NULL, NULL, {once(chunks_of(), 'cs', once(gone, 'gs', facts))})"))
+    lines = "array_distinct(flatten(transform(gs, k -> sequence(cs[k].at, cs[k].at + cs[k].n - 1))))"
+    rest = "transform(array_except(sequence(1, size(ls)), xs), i -> ls[i - 1])"
+    facts = f"named_struct('chunks', size(gs), 'lines', size(xs), 'text', array_join({rest}, '\\n'))"
+    facts = once(gone, "gs", once(lines, "xs", once("split(text, '\\n', -1)", "ls", facts)))
+    out = out.withColumn("__ld_facts", F.expr(f"IF(__ld_same IS NULL, NULL, {once(chunks_of(), 'cs', facts)})"))
     out = out.withColumn("_n_lines", F.coalesce(F.size(F.split("text", "\n", -1)).cast("long") * F.when(F.col("text").isNull(), 0).otherwise(1), F.lit(0).cast("long")))
     out = out.withColumn("_n_removed_chunks", F.coalesce("__ld_facts.chunks", F.lit(0)).cast("long")).withColumn("_n_removed_lines", F.coalesce("__ld_facts.lines", F.lit(0)).cast("long"))
     return out.withColumn("text", F.when(F.col("_n_removed_chunks") == 0, F.col("text")).otherwise(F.col("__ld_facts.text"))).drop("__ld_same", "__ld_facts")
@@ -72,11 +75,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, text FROM documents),
 l AS (SELECT r, doc_id, i, line, ('0x' || left(md5(line), 7))::BIGINT AS h FROM (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text IS NOT NULL)),
-m AS (SELECT *, h % 2 = 0 AND i BETWEEN 2 AND count(*) OVER (PARTITION BY r) - 2 AS may, i = count(*) OVER (PARTITION BY r) AS last FROM l),
-e AS (SELECT *, last OR (may AND (i - max(CASE WHEN may THEN 0 ELSE i END) OVER (PARTITION BY r ORDER BY i)) % 2 = 1) AS ends FROM m),
-c AS (SELECT r, doc_id, i, line, coalesce(sum(ends::INT) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
-k AS (SELECT r, doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY ALL),
-f AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY n > 1, body ORDER BY doc_id, r, k) > 1 AS gone FROM k),
-o AS (SELECT r, sum(n)::BIGINT AS n_lines, count(*) FILTER (gone) AS n_removed_chunks, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed_lines, md5(coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_md5 FROM f GROUP BY r)
+p AS (SELECT r, doc_id, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS j FROM (SELECT *, count(*) OVER (PARTITION BY r) AS n FROM l) WHERE i = 1 OR i = n OR h % 3 <> 0),
+k AS (SELECT p.r, p.doc_id, p.i, p.j, string_agg(l.line, chr(10) ORDER BY l.i) AS body FROM p JOIN l ON l.r = p.r AND l.i BETWEEN p.i AND p.j WHERE p.j IS NOT NULL GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, r, i) > 1 AS gone FROM k),
+g AS (SELECT DISTINCT l.r, l.i FROM l JOIN f ON l.r = f.r AND l.i BETWEEN f.i AND f.j WHERE f.gone),
+c AS (SELECT r, count(*) AS n_removed_chunks FROM f WHERE gone GROUP BY r),
+o AS (SELECT r, count(*) AS n_lines, any_value(coalesce(c.n_removed_chunks, 0)) AS n_removed_chunks, count(g.i) AS n_removed_lines, md5(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '')) AS kept_md5
+  FROM l LEFT JOIN g USING (r, i) LEFT JOIN c USING (r) GROUP BY r)
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed_chunks, 0)::BIGINT AS n_removed_chunks, coalesce(n_removed_lines, 0)::BIGINT AS n_removed_lines, kept_md5 FROM d LEFT JOIN o USING (r)
 """
