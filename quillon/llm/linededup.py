@@ -47,11 +47,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, name: str = "lines") -> Da
     firsts = stage.table(firsts, "firsts")
     later = spots.join(firsts, ["h1", "h2", "size"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "__ld_text_hash", "k", "h1", "h2", "size", F.pmod(F.xxhash64("doc_id", "k"), F.ceil(F.col("n") / HOT)).alias("lot"))
     # the bytes of the first occurrences, then a comparison with each later one
-    heads = firsts.select("h1", "h2", "size", "n", F.col("first.doc_id").alias("__ld_id"), F.col("first.__ld_text_hash").alias("__ld_hash"), F.col("first.k").alias("_k"))
-    heads = F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads
+    wanted = F.collect_list(F.struct(F.col("first.k").alias("k"), "h1", "h2", "size", "n")).alias("__ld_wanted")
+    heads = firsts.groupBy(F.col("first.doc_id").alias("__ld_id"), F.col("first.__ld_text_hash").alias("__ld_hash")).agg(wanted)
+    heads = F.broadcast(heads) if firsts.count() <= BROADCAST_ROWS else heads
     owners = slim.join(heads, F.expr("doc_id <=> __ld_id AND __ld_text_hash = __ld_hash"))
-    bodies = owners.dropDuplicates(["h1", "h2", "size"])
-    bodies = bodies.select("h1", "h2", "size", "n", F.expr(f"{chunks_of()}[_k].body").alias("body"))
+    # a text is cut once for all its chunks, and only their bytes are shuffled
+    found = once(chunks_of(), "cs", "transform(__ld_wanted, x -> named_struct('h1', x.h1, 'h2', x.h2, 'size', x.size, 'n', x.n, 'body', cs[x.k].body))")
+    bodies = owners.select(F.inline(F.expr(found))).dropDuplicates(["h1", "h2", "size"])
     bodies = stage.table(bodies, "bodies").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / HOT) - 1)))
     doomed = later.join(bodies, ["h1", "h2", "size", "lot"]).groupBy("doc_id", "__ld_text_hash").agg(F.collect_list(F.struct("k", "body")).alias("__ld_same"))
     doomed = doomed.select(F.col("doc_id").alias("__ld_id"), F.col("__ld_text_hash").alias("__ld_hash"), "__ld_same")
