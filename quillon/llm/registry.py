@@ -13,6 +13,7 @@ from .packing import op10_best_fit_packing
 from .rans import op2_rans_blocks
 from .rules import OP1_SQL, op1_quality_rules
 from .suffixdedup import op8_suffix_dedup
+from .vectorcodes import OP11_SQL, op11_vector_codes
 from .wordpiece import op9_token_counts
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_vector_codes": op11_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_decontamination": OP6_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op11_vector_codes": OP11_SQL}
