@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .decontam import OP6_SQL, op6_decontamination
 from .gbt import op3_quality_classifier
+from .importance import OP12_SQL, op12_importance_resampling
 from .lbl import op7_language_model
 from .linededup import OP5_SQL, op5_line_dedup
 from .neardup import op4_near_duplicates
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_vector_codes": op11_vector_codes,
+    "op12_importance_resampling": op12_importance_resampling,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op11_vector_codes": OP11_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op11_vector_codes": OP11_SQL, "op12_importance_resampling": OP12_SQL}
