@@ -11,6 +11,7 @@ from .lbl import op7_language_model
 from .linededup import OP5_SQL, op5_line_dedup
 from .neardup import op4_near_duplicates
 from .packing import op10_best_fit_packing
+from .pii import op13_personal_data
 from .rans import op2_rans_blocks
 from .rules import OP1_SQL, op1_quality_rules
 from .suffixdedup import op8_suffix_dedup
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_vector_codes": op11_vector_codes,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_personal_data": op13_personal_data,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op1_quality_rules": OP1_SQL, "op5_line_dedup": OP5_SQL, "op6_decontamination": OP6_SQL, "op11_vector_codes": OP11_SQL, "op12_importance_resampling": OP12_SQL}
