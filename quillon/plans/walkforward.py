@@ -6,6 +6,7 @@ few assets, so it fits a task by nature; seeds, universes and options multiply s
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -51,6 +52,10 @@ class Options:
             raise ValueError("retraining needs trained allocators")
 
 
+def from_dict(o: dict) -> Options:
+    return Options(**{**o, "limits": Limits(**o["limits"])})
+
+
 @dataclass
 class _Signals:
     """What is estimated at a fit and used until the next one."""
@@ -78,87 +83,159 @@ def _estimate(x: np.ndarray, o: Options, begin: hmm.Regimes | None, reference: h
     return _Signals(m, de.Pooled.fit(x, nu), mix, np.cov(x.T), raw, covs), probs
 
 
-def walk(dates: np.ndarray, x: np.ndarray, o: Options, co: np.ndarray | None = None, oc: np.ndarray | None = None, features: np.ndarray | None = None) -> dict[str, pd.DataFrame]:
-    """Day by day: accrue, score, predict, and at month ends decide. With overnight and intraday returns orders are executed at
-    the next open, otherwise at the same close. Decisions use end-of-day holdings and each day has one weight row. The networks read ``features`` (a row a day,
-    not finite where there is none), or without them the day's returns in per cent."""
-    t, n = x.shape
-    months = pd.PeriodIndex(pd.to_datetime(dates), freq="M")
-    decides = np.append(months[1:] != months[:-1], True)
-    next_open = co is not None and oc is not None
-    names = ["erc_baseline", "erc_regime", "erc_blend", "equal_weight"]
-    names += ["hrp_baseline", "hrp_regime", "hrp_blend"] * o.include_hrp + ["lstm_baseline", "lstm_regime", "lstm_blend"] * bool(o.lstm_epochs)
-    s, probs = _estimate(x[: o.initial_window], o, None, None, o.first_n_iter, o.seed, None)
-    state = probs[-1]
-    inputs = 100 * x if features is None else features
-    reference, ell, refits, count = s.regimes, 0.0, 1, 0
-    w = {c: np.full(n, 1 / n) for c in names}
-    pending: dict[str, np.ndarray] = {}
-    limit = np.log((1 - 1e-6) / 1e-6)
-    out: dict[str, list] = {k: [] for k in ("returns", "weights", "pi", "decisions", "executions")}
-    forecasts = list(probs @ s.regimes.step)  # one a day, never recomputed later
-    nets = _networks(x[: o.initial_window], inputs, np.stack(forecasts), decides, o) if o.lstm_epochs else {}
-    for k in range(o.initial_window, t):
-        r, day = x[k], dates[k]
-        for c in names:
-            if c in pending:
-                old = w[c]
-                overnight = float(old @ (np.exp(co[k]) - 1))
-                opened = al.drift(old, np.exp(co[k]))
-                intraday = float(pending[c] @ (np.exp(oc[k]) - 1))
+TABLES = {
+    "returns": "date date, config string, ret double",
+    "weights": "date date, config string, weights array<double>",
+    "pi": "date date, pi double, l0 double, l1 double",
+    "executions": "date date, config string, turnover double",
+    "decisions": "date date, config string, turnover double, turnover_binding boolean, n_lower int, n_upper int, dev_target double, dev_final double",
+}
+LIMIT = np.log((1 - 1e-6) / 1e-6)
+
+
+@dataclass
+class Day:
+    """What later fits read of a day; features and the next day's forecast only where networks are trained."""
+
+    ret: np.ndarray
+    decides: bool
+    features: np.ndarray | None = None
+    ahead: np.ndarray | None = None
+
+
+class Walk:
+    """One scenario's walk, a day at a time: what is known after a day is all that the next one needs.
+
+    The first ``initial_window`` days are gathered; from then on a day accrues, scores, predicts, and decides where ``decides``
+    says so. With overnight and intraday returns orders wait for the next open, otherwise they are executed at the same close. Decisions use
+    end-of-day holdings and each day has one weight row. ``past`` gives the earlier days when a fit asks for them; a
+    caller that keeps them elsewhere takes new ones from ``fresh`` and, at the first fit, all from ``rewritten``.
+    """
+
+    def __init__(self, o: Options, past: Callable[[], list[Day]] = list):
+        self.o, self._past, self.fresh, self.rewritten = o, past, [], False
+        self.last, self.seen, self.count, self.refits, self.ell = "", 0, 0, 1, 0.0
+        self.state: np.ndarray | None = None
+        self.signals: _Signals | None = None
+        self.reference: hmm.Regimes | None = None
+        self.held: dict[str, np.ndarray] = {}
+        self.pending: dict[str, np.ndarray] = {}
+        self.nets: dict[str, BudgetLstm] = {}
+
+    def names(self) -> list[str]:
+        names = ["erc_baseline", "erc_regime", "erc_blend", "equal_weight"]
+        return names + ["hrp_baseline", "hrp_regime", "hrp_blend"] * self.o.include_hrp + ["lstm_baseline", "lstm_regime", "lstm_blend"] * bool(self.o.lstm_epochs)
+
+    def history(self) -> list[Day]:
+        if not self.rewritten:
+            self.fresh, self.rewritten = [*self._past(), *self.fresh], True
+        return self.fresh
+
+    def _begin(self) -> None:
+        days, o = self.history(), self.o
+        x = np.stack([d.ret for d in days])
+        self.signals, probs = _estimate(x, o, None, None, o.first_n_iter, o.seed, None)
+        self.state, self.reference = probs[-1], self.signals.regimes
+        self.held = {c: np.full(x.shape[1], 1 / x.shape[1]) for c in self.names()}
+        if o.lstm_epochs:
+            for d, ahead in zip(days, probs @ self.signals.regimes.step):
+                d.ahead = ahead
+            self.nets = _networks(days, o)
+
+    def step(self, day, r: np.ndarray, decides: bool, co: np.ndarray | None = None, oc: np.ndarray | None = None, features: np.ndarray | None = None) -> dict[str, list[tuple]]:
+        """The day's rows of all tables."""
+        o, out = self.o, {k: [] for k in TABLES}
+        if self.seen == o.initial_window:
+            self._begin()
+        today = Day(r, decides, (100 * r if features is None else features) if o.lstm_epochs else None)
+        self.fresh.append(today)
+        self.seen += 1
+        if self.signals is None:
+            return out
+        next_open = co is not None and oc is not None
+        w, n = self.held, len(r)
+        for c in self.names():
+            if c in self.pending:
+                old, new = w[c], self.pending[c]
+                overnight = float(old @ (np.exp(co) - 1))
+                intraday = float(new @ (np.exp(oc) - 1))
                 out["returns"].append((day, c, (1 + overnight) * (1 + intraday) - 1))
-                out["executions"].append((day, c, float(np.abs(pending[c] - opened).sum())))
-                w[c] = al.drift(pending[c], np.exp(oc[k]))
+                out["executions"].append((day, c, float(np.abs(new - al.drift(old, np.exp(co))).sum())))
+                w[c] = al.drift(new, np.exp(oc))
             else:
                 out["returns"].append((day, c, float(w[c] @ (np.exp(r) - 1))))
                 w[c] = al.drift(w[c], np.exp(r))
-        pending = {}
-        forecast = state @ s.regimes.step
+        self.pending = {}
+        s = self.signals
+        forecast = self.state @ s.regimes.step
         l0, l1 = float(s.pooled.log_density(r)[0]), float(s.mixture.log_density(r, forecast)[0])
-        ell = float(np.clip(o.alpha * ell + (l1 - l0), -limit, limit))
-        pi = 1 / (1 + np.exp(-ell))
+        self.ell = float(np.clip(o.alpha * self.ell + (l1 - l0), -LIMIT, LIMIT))
+        pi = 1 / (1 + np.exp(-self.ell))
         out["pi"].append((day, pi, l0, l1))
         a = forecast * hmm.emissions(s.regimes, r[None])[0]
-        state = a / a.sum()
-        forecasts.append(state @ s.regimes.step)
-        if decides[k]:
-            count += 1
-            if o.refit_at_rebalance and count % o.refit_every_n_rebalances == 0:
-                ref = reference if o.refit_align_to_fixed_reference else s.regimes
-                s, probs = _estimate(x[: k + 1], o, s.regimes if o.refit_warm_start else None, ref, o.refit_n_iter, o.seed if o.refit_warm_start else 1000 + refits, s.covs)
-                state = probs[-1]
-                refits += 1
-            ahead = state @ s.regimes.step
-            base, regime = al.shrink(s.cov, o.shrinkage), al.shrink(np.tensordot(ahead, s.covs, 1), o.shrinkage)
-            even = np.full(n, 1 / n)
-            target = {"erc_baseline": al.risk_budget(base, even), "erc_regime": al.risk_budget(regime, even), "equal_weight": even}
-            if o.include_hrp:
-                target |= {"hrp_baseline": al.hierarchical(base), "hrp_regime": al.hierarchical(regime)}
-            if nets:
-                if o.lstm_retrain_every_n_rebalances and count % o.lstm_retrain_every_n_rebalances == 0:
-                    nets = _networks(x[: k + 1], inputs, np.stack(forecasts), decides, o, nets)
-                window = inputs[k + 1 - o.lstm_seq_len : k + 1]
-                if not np.isfinite(window).all():
-                    raise ValueError(f"a feature is missing in the {o.lstm_seq_len} days up to {day}")
-                raw = al.shrink(np.tensordot(ahead, s.raw_covs, 1), o.shrinkage)
-                for kind, data, cov in (("baseline", window, base), ("regime", np.hstack([window, np.stack(forecasts[-o.lstm_seq_len :])]), raw)):
-                    target[f"lstm_{kind}"] = al.risk_budget(cov, nets[kind].forward(data)[0])
-            for family in ("erc", "hrp", "lstm"):
-                if f"{family}_regime" in target:
-                    target[f"{family}_blend"] = pi * target[f"{family}_regime"] + (1 - pi) * target[f"{family}_baseline"]
-            for c in names:
-                final = al.project(target[c], w[c], o.limits)
+        self.state = a / a.sum()
+        if o.lstm_epochs:
+            today.ahead = self.state @ s.regimes.step
+        if decides:
+            for c, target, base in self._targets(day, pi):
+                final = al.project(target, w[c], o.limits)
                 moved = float(np.abs(final - w[c]).sum())
-                out["decisions"].append((day, c, moved, moved >= o.limits.turnover - 1e-6, int((final <= o.limits.lower + 1e-6).sum()), int((final >= o.limits.upper - 1e-6).sum()), float(np.abs(al.risk_shares(target[c], base) - 1 / n).max()), float(np.abs(al.risk_shares(final, base) - 1 / n).max())))
+                out["decisions"].append((day, c, moved, moved >= o.limits.turnover - 1e-6, int((final <= o.limits.lower + 1e-6).sum()), int((final >= o.limits.upper - 1e-6).sum()), float(np.abs(al.risk_shares(target, base) - 1 / n).max()), float(np.abs(al.risk_shares(final, base) - 1 / n).max())))
                 if next_open:
-                    pending[c] = final
+                    self.pending[c] = final
                 else:
                     out["executions"].append((day, c, moved))
                     w[c] = final
-        for c in names:
-            out["weights"].append((day, c, w[c].tolist()))
-    columns = {"returns": ["date", "config", "ret"], "weights": ["date", "config", "weights"], "pi": ["date", "pi", "l0", "l1"], "executions": ["date", "config", "turnover"], "decisions": ["date", "config", "turnover", "turnover_binding", "n_lower", "n_upper", "dev_target", "dev_final"]}
-    return {k: pd.DataFrame(v, columns=columns[k]) for k, v in out.items()}
+        out["weights"] += [(day, c, w[c].tolist()) for c in self.names()]
+        return out
+
+    def _targets(self, day, pi: float) -> list[tuple[str, np.ndarray, np.ndarray]]:
+        """(config, target weights, baseline covariance) of a decision, after a refit if one is due."""
+        o = self.o
+        self.count += 1
+        if o.refit_at_rebalance and self.count % o.refit_every_n_rebalances == 0:
+            s = self.signals
+            ref = self.reference if o.refit_align_to_fixed_reference else s.regimes
+            x = np.stack([d.ret for d in self.history()])
+            self.signals, probs = _estimate(x, o, s.regimes if o.refit_warm_start else None, ref, o.refit_n_iter, o.seed if o.refit_warm_start else 1000 + self.refits, s.covs)
+            self.state = probs[-1]
+            self.refits += 1
+        s = self.signals
+        ahead = self.state @ s.regimes.step
+        base, regime = al.shrink(s.cov, o.shrinkage), al.shrink(np.tensordot(ahead, s.covs, 1), o.shrinkage)
+        even = np.full(len(base), 1 / len(base))
+        target = {"erc_baseline": al.risk_budget(base, even), "erc_regime": al.risk_budget(regime, even), "equal_weight": even}
+        if o.include_hrp:
+            target |= {"hrp_baseline": al.hierarchical(base), "hrp_regime": al.hierarchical(regime)}
+        if self.nets:
+            days = self.history()
+            if o.lstm_retrain_every_n_rebalances and self.count % o.lstm_retrain_every_n_rebalances == 0:
+                self.nets = _networks(days, o, self.nets)
+            window = np.stack([d.features for d in days[-o.lstm_seq_len :]])
+            if not np.isfinite(window).all():
+                raise ValueError(f"a feature is missing in the {o.lstm_seq_len} days up to {day}")
+            raw = al.shrink(np.tensordot(ahead, s.raw_covs, 1), o.shrinkage)
+            forecasts = np.stack([d.ahead for d in days[-o.lstm_seq_len :]])
+            for kind, data, cov in (("baseline", window, base), ("regime", np.hstack([window, forecasts]), raw)):
+                target[f"lstm_{kind}"] = al.risk_budget(cov, self.nets[kind].forward(data)[0])
+        for family in ("erc", "hrp", "lstm"):
+            if f"{family}_regime" in target:
+                target[f"{family}_blend"] = pi * target[f"{family}_regime"] + (1 - pi) * target[f"{family}_baseline"]
+        return [(c, target[c], base) for c in self.names()]
+
+
+def walk(dates: np.ndarray, x: np.ndarray, o: Options, co: np.ndarray | None = None, oc: np.ndarray | None = None, features: np.ndarray | None = None) -> dict[str, pd.DataFrame]:
+    """All tables of a walk over whole series. The networks read ``features`` (a row a day, not finite where there is none), or without
+    them the day's returns in per cent."""
+    months = pd.PeriodIndex(pd.to_datetime(dates), freq="M")
+    decides = np.append(months[1:] != months[:-1], True)
+    one, out = Walk(o), {k: [] for k in TABLES}
+    legs = (co, oc) if co is not None and oc is not None else None
+    for k, day in enumerate(dates):
+        rows = one.step(day, x[k], bool(decides[k]), *((legs[0][k], legs[1][k]) if legs else (None, None)), None if features is None else features[k])
+        for name, found in rows.items():
+            out[name] += found
+    return {k: pd.DataFrame(v, columns=[c.split()[0] for c in TABLES[k].split(", ")]) for k, v in out.items()}
 
 
 def training_windows(inputs: np.ndarray, decides: np.ndarray, days: int, length: int, cov_window: int) -> list[tuple[int, int]]:
@@ -167,17 +244,19 @@ def training_windows(inputs: np.ndarray, decides: np.ndarray, days: int, length:
     return [(a, b) for a, b in zip(at, at[1:]) if a + 1 >= max(length, cov_window) and np.isfinite(inputs[a + 1 - length : a + 1]).all()]
 
 
-def _networks(x: np.ndarray, inputs: np.ndarray, ahead: np.ndarray, decides: np.ndarray, o: Options, old: dict | None = None) -> dict[str, BudgetLstm]:
-    """Both allocators trained on the days in ``x``; the old ones go on from their weights."""
+def _networks(days: list[Day], o: Options, old: dict | None = None) -> dict[str, BudgetLstm]:
+    """Both allocators trained on ``days``; the old ones go on from their weights."""
+    x, inputs, ahead = (np.stack([getattr(d, f) for d in days]) for f in ("ret", "features", "ahead"))
     n = x.shape[1]
-    pairs = training_windows(inputs, decides, len(x), o.lstm_seq_len, o.lstm_cov_window)
+    # whether the last day decides is no matter: a pair needs a later decision
+    pairs = training_windows(inputs, np.array([d.decides for d in days]), len(x), o.lstm_seq_len, o.lstm_cov_window)
     if len(pairs) < 2:
         raise ValueError("too few decisions to train on")
     covs = np.stack([al.shrink(np.cov(x[a + 1 - o.lstm_cov_window : a + 1].T), o.shrinkage) for a, _ in pairs])
     forward = np.stack([np.exp(x[a + 1 : b + 1].sum(axis=0)) for a, b in pairs])
     nets = {}
     for kind in ("baseline", "regime"):
-        data = inputs[: len(x)] if kind == "baseline" else np.hstack([inputs[: len(x)], ahead[: len(x)]])
+        data = inputs if kind == "baseline" else np.hstack([inputs, ahead])
         windows = np.stack([data[a + 1 - o.lstm_seq_len : a + 1] for a, _ in pairs])
         nets[kind] = (old or {}).get(kind) or BudgetLstm(data.shape[1], n, floor=0.5 / n, seed=o.seed)
         train(nets[kind], windows, covs, forward, o.lstm_retrain_n_epochs if old else o.lstm_epochs, penalty=o.lstm_turnover_penalty)
@@ -187,12 +266,10 @@ def _networks(x: np.ndarray, inputs: np.ndarray, ahead: np.ndarray, decides: np.
 def run(returns: DataFrame, scenarios: dict[str, Options], table: str, next_open: bool = True) -> DataFrame:
     """One table of all scenarios' walks: ``returns`` (scenario, date, asset, ret, overnight, intraday) is grouped by scenario.
     A column ``features`` (the same array for all assets of a day, null before the first) is what the networks read."""
-    schemas = {"returns": "date date, config string, ret double", "weights": "date date, config string, weights array<double>", "pi": "date date, pi double, l0 double, l1 double", "executions": "date date, config string, turnover double", "decisions": "date date, config string, turnover double, turnover_binding boolean, n_lower int, n_upper int, dev_target double, dev_final double"}
     options = {k: asdict(v) for k, v in scenarios.items()}
 
     def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        o = options[key[0]]
-        o = Options(**{**o, "limits": Limits(**o["limits"])})
+        o = from_dict(options[key[0]])
         pdf = pdf.sort_values(["date", "asset"])
         wide = {v: pdf.pivot(index="date", columns="asset", values=v) for v in ("ret", "overnight", "intraday")}
         dates = wide["ret"].index.to_numpy()
@@ -206,4 +283,4 @@ def run(returns: DataFrame, scenarios: dict[str, Options], table: str, next_open
         out.insert(0, "scenario", key[0])
         return out
 
-    return returns.groupBy("scenario").applyInPandas(fold, f"scenario string, {schemas[table]}")
+    return returns.groupBy("scenario").applyInPandas(fold, f"scenario string, {TABLES[table]}")
