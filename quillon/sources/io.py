@@ -6,6 +6,8 @@ import hashlib
 import json
 import platform
 import subprocess
+import tempfile
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -66,6 +68,28 @@ def merge_shards(spark: SparkSession, folder: str, schema: str, to: str, pattern
     return merged
 
 
+_OWN_FOLDER: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where that is unset and Spark runs in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _OWN_FOLDER:
+        _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="quillon-"))
+    return _OWN_FOLDER[0]
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The rows written into the shared folder and read again: lineage ends there and lost executors cost nothing."""
+    path = f"{shared_folder(df.sparkSession)}/quillon-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def require(df: DataFrame, **conditions: F.Column) -> DataFrame:
     """Raises with the names of the aggregate conditions that don't hold; all are evaluated in one pass."""
     row = df.agg(*(c.alias(n) for n, c in conditions.items())).first()
