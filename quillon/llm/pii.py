@@ -2,12 +2,13 @@
 
 Seeds are the matches of four kinds (e-mail, IP address, card, phone), found leftmost and without overlap for each kind. The words beside an
 entity are its lexical patterns: the last one to three before it and the first two or three behind it. Besides the seeds there are
-candidates: tokens with an ``@`` or four digits that no seed covers. Patterns and the values beside them make a graph: a pattern
+candidates that no seed covers: tokens with an ``@``, four digits, or a
+digit among five letters and digits. Patterns and the values beside them make a graph: a pattern
 believes in a kind by the share of all its occurrences in the corpus that stand beside a reliable value of that kind, provided that
 ``SUPPORT`` different such values speak for it; a value is as reliable as its best pattern, a seed wholly. After ``ROUNDS`` rounds,
 candidates beside a pattern of at least ``CONFIDENCE`` are added, with its best kind.
 
-The words of the whole corpus are counted for patterns that enough different values share; a table of ``SLOTS`` bytes, whatever the
+The words of the whole corpus are counted for patterns that enough different values share; a table of ``SLOTS`` bits, whatever the
 number of patterns, keeps most other word runs from the shuffle, and an exact join drops the rest. Values and patterns that
 repeat are counted before they are joined, so copies make no hot key; copies add no support either, since that counts different values.
 
@@ -26,7 +27,7 @@ from .decontam import LOWER, UPPER, once
 
 KINDS = ["email", "ip", "card", "phone"]
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.5, 3
-WINDOW, SLOTS = 200, 1 << 21
+WINDOW, SLOTS = 200, 1 << 19
 
 #: The four kinds. Repeats are possessive and starts guarded where that finds the same, so that long runs are read once.
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -50,7 +51,7 @@ _VALID = {
     "ip": "forall(split(m, '[.]'), p -> length(ltrim('0', p)) < 3 OR (length(ltrim('0', p)) = 3 AND ltrim('0', p) <= '255'))",
     "card": once(_DIGITS.format(m="m"), "x", _LUHN),
     "phone": f"length({_DIGITS.format(m='m')}) BETWEEN 10 AND 15",
-    "": f"length({_DIGITS.format(m='m')}) >= 4 OR contains(m, '@')",
+    "": f"length({_DIGITS.format(m='m')}) >= 4 OR contains(m, '@') OR length(regexp_replace(m, '[^A-Za-z0-9]', '')) >= 5",
 }
 
 
@@ -114,12 +115,14 @@ def finds(stage: Stage, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def occurrences(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """h, total: how often the corpus has each wanted run of one to three words."""
-    slots = bytearray(SLOTS)
+    bits = [0] * -(-SLOTS // 64)
     for r in wanted.select(F.pmod("h", F.lit(SLOTS)).cast("int").alias("s")).distinct().toLocalIterator():  # SLOTS values at most
-        slots[r["s"]] = 1
+        bits[r["s"] >> 6] |= 1 << (r["s"] & 63)
+    table = ",".join(str(b - (b >> 63 << 64)) for b in bits)  # folded into one constant array
     runs = ", ".join(f"IF(size(ws) >= {n}, transform(sequence(0, greatest(size(ws) - {n}, 0)), i -> xxhash64({', '.join(f'ws[i + {k}]' for k in range(n))})), CAST(array() AS array<bigint>))" for n in (1, 2, 3))
-    marked = docs.select(F.col("text").alias("t"), F.lit(bytes(slots)).alias("slots"))
-    likely = f"filter(concat({runs}), h -> substring(slots, CAST(pmod(h, {SLOTS}) AS INT) + 1, 1) = X'01')"
+    slot = f"CAST(pmod(h, {SLOTS}) AS INT)"
+    likely = f"filter(concat({runs}), h -> getbit(element_at(CAST(split('{table}', ',') AS array<bigint>), shiftright({slot}, 6) + 1), {slot} & 63) = 1)"
+    marked = docs.select(F.col("text").alias("t"))
     hs = marked.where("t IS NOT NULL").select(F.explode(F.expr(once(_words("t"), "ws", likely))).alias("h"))
     return hs.groupBy("h").agg(F.count("*").alias("total")).join(wanted.select("h").distinct(), "h")
 

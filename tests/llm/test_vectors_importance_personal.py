@@ -177,7 +177,7 @@ def plain_patterns(rows, rounds=3):
         places = [[(a, b, n) for a, _, b, n in seeds if n == k] for k in pii.KINDS]
         found = [(m.start(), m.end(), None) for m in re.finditer(r"[A-Za-z0-9_%+@()./#-]*[0-9@][A-Za-z0-9_%+@()./#-]*(?: [0-9(+][0-9().+/-]*)*", t)]
         trimmed = [(a, b - (t[b - 1] == "."), n) for a, b, n in found]
-        near = [x for x in trimmed if (len(re.findall("[0-9]", t[x[0] : x[1]])) >= 4 or "@" in t[x[0] : x[1]]) and not any(a < x[1] and x[0] < b for a, _, b, _ in seeds)]
+        near = [x for x in trimmed if (len(re.findall("[0-9]", t[x[0] : x[1]])) >= 4 or "@" in t[x[0] : x[1]] or len(re.findall("[A-Za-z0-9]", t[x[0] : x[1]])) >= 5) and not any(a < x[1] and x[0] < b for a, _, b, _ in seeds)]
         for own, every in [(p, p) for p in places] + [(near, found)]:
             for a, b, kind in own:
                 before = words(t[max((e for _, e, _ in every if e <= a), default=0) : a])[-3:]
