@@ -13,65 +13,81 @@ EULER = 0.5772156649015329
 
 
 def block_length(x: np.ndarray) -> float:
-    """Automatic mean block length of the stationary bootstrap (flat-top spectral rule, published correction included)."""
+    """Automatic mean block length of the stationary bootstrap: flat-top spectral rule with its published correction.
+
+    The bandwidth is twice the first lag that begins a run of small autocorrelations, or the largest lag where there is none.
+    """
     x = np.asarray(x, float)
     n = len(x)
     if not np.isfinite(x).all():
         raise ValueError("values must be finite")
+    if n < 10:
+        raise ValueError("at least 10 values are required")
     d = x - x.mean()
     if not d.any():
         return 1.0
-    near, most = max(5, int(sqrt(log10(n)))), ceil(sqrt(n)) + max(5, int(sqrt(log10(n))))
-    most = min(most, n - 1)
+    run = max(5, int(sqrt(log10(n))))
+    most = min(ceil(sqrt(n) + run), n - 1)
     acov = np.array([d[k:] @ d[: n - k] / n for k in range(most + 1)])
-    band = 2 * sqrt(log10(n) / n)
-    small = np.abs(acov[1:] / acov[0]) < band
-    m = next((k for k in range(len(small) - near + 1) if small[k : k + near].all()), None)
-    if m is None:
-        large = np.flatnonzero(~small)
-        m = int(large[-1]) + 1 if len(large) else 1
-    m = min(2 * max(m, 1), most)
-    k = np.arange(-m, m + 1)
-    top = np.clip(2 * (1 - np.abs(k) / m), 0, 1)
-    c = acov[np.abs(k)]
-    g, s = (top * np.abs(k) * c).sum(), (top * c).sum()
-    if s == 0:
+    small = np.abs(acov / acov[0]) < 2 * sqrt(log10(n) / n)
+    first = next((k for k in range(1, most - run + 2) if small[k : k + run].all()), most)
+    m = min(2 * first, most)
+    lag = np.arange(1, m + 1)
+    top = np.minimum(1, 2 * (1 - lag / m))
+    g, spectrum = 2 * (top * lag * acov[1 : m + 1]).sum(), acov[0] + 2 * (top * acov[1 : m + 1]).sum()
+    if spectrum == 0:
         return 1.0
-    b = (2 * g * g / (2 * s * s)) ** (1 / 3) * n ** (1 / 3)
-    return float(min(max(b, 1.0), ceil(min(3 * sqrt(n), n / 3))))
+    return float(np.clip((g * g / spectrum**2 * n) ** (1 / 3), 1, ceil(min(3 * sqrt(n), n / 3))))
+
+
+_MASK, _FACTOR = np.uint64(0xFFFFFFFF), np.uint64(0x45D9F3B)
 
 
-def path(n: int, length: float, r: np.random.Generator) -> np.ndarray:
-    """One resampled index path: each step starts anew with probability 1 / length, else goes on in a circle.
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A mixer of 32-bit numbers (in 64-bit ones): two rounds of shift, exclusive or and product, and a last shift."""
+    x = np.asarray(x, np.uint64)
+    for _ in range(2):
+        x = ((x >> np.uint64(16)) ^ x) * _FACTOR & _MASK
+    return (x >> np.uint64(16)) ^ x
 
-    Restarts and their starts are drawn at once; between them indices count up.
+
+def paths(n: int, length: float, seed: int, stream: int, draws: np.ndarray) -> np.ndarray:
+    """Resampled index paths, a row a draw: each step starts anew with probability 1 / length, else goes on in a circle.
+
+    Every number is a function of (seed, stream, draw, step), so any part of the draws can be made anywhere.
     """
-    anew = r.random(n) < 1 / length
-    anew[0] = True
-    at = np.flatnonzero(anew)
-    starts = r.integers(0, n, len(at))
-    run = np.cumsum(anew) - 1
-    return (starts[run] + np.arange(n) - at[run]) % n
+    key = mixed(mixed(mixed(seed) ^ np.uint64(stream)) ^ np.asarray(draws, np.uint64))[:, None]
+    t = np.arange(n, dtype=np.uint64)
+    anew = mixed(key ^ (2 * t)) < 2**32 / length
+    anew[:, 0] = True
+    steps = np.arange(n)
+    at = np.maximum.accumulate(np.where(anew, steps, 0), axis=1)
+    starts = (mixed(key ^ (2 * t + np.uint64(1))) % np.uint64(n)).astype(np.int64)
+    return (np.take_along_axis(starts, at, axis=1) + steps - at) % n
+
+
+def sharpe(x: np.ndarray, periods: int = 252) -> np.ndarray:
+    """Of the last axis; 0 for a series that doesn't move."""
+    sd = x.std(axis=-1, ddof=1)
+    return np.where(sd > 0, x.mean(axis=-1) / np.where(sd > 0, sd, 1), 0) * sqrt(periods)
 
 
-def sharpe(x: np.ndarray, periods: int = 252) -> float:
-    sd = x.std(ddof=1)
-    return float(x.mean() / sd * sqrt(periods)) if sd else 0.0
+def drawn(series: np.ndarray, signs: np.ndarray, length: float, seed: int, stream: int, draws: np.ndarray, stat=sharpe) -> np.ndarray:
+    """The signed sum of a statistic over series (S, n) for each draw; all series share its path."""
+    at = paths(series.shape[1], length, seed, stream, draws)
+    return sum(s * stat(x[at]) for s, x in zip(signs, series))
 
 
-def difference_interval(series: list[np.ndarray], signs: list[int], stat=sharpe, draws: int = 2000, level: float = 0.95, seed=None, length: float | None = None) -> dict:
+def difference_interval(series: list[np.ndarray], signs: list[int], stat=sharpe, draws: int = 2000, level: float = 0.95, seed: int = 0, stream: int = 0, length: float | None = None) -> dict:
     """Point, interval and block length of a signed sum of a statistic over series that share every resampled path."""
-    x = np.stack(series)
+    x, signs = np.stack(series), np.array(signs)
     if draws < 1 or not 0 < level < 1 or (length is not None and not 1 <= length < np.inf):
         raise ValueError("draws must be at least 1, the level within (0, 1), the block length finite and at least 1")
     if not np.isfinite(x).all():
         raise ValueError("values must be finite")
-    combine = lambda v: sum(s * stat(row) for s, row in zip(signs, v))
-    length = length or max(block_length((np.array(signs)[:, None] * x).sum(axis=0)), 1.0)
-    r = np.random.default_rng(seed)
-    drawn = np.array([combine(x[:, path(x.shape[1], length, r)]) for _ in range(draws)])
-    low, high = np.quantile(drawn, [(1 - level) / 2, (1 + level) / 2])
-    return {"point": float(combine(x)), "low": float(low), "high": float(high), "block_length": float(length)}
+    length = length or block_length(signs @ x)
+    low, high = np.quantile(drawn(x, signs, length, seed, stream, np.arange(draws), stat), [(1 - level) / 2, (1 + level) / 2])
+    return {"point": float(signs @ stat(x)), "low": float(low), "high": float(high), "block_length": float(length)}
 
 
 @lru_cache

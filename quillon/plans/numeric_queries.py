@@ -5,13 +5,15 @@ Importing this module adds them to ``queries.QUERIES`` and ``queries.ORACLES``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import bootstrap as bs
 from ..operators import regimes as rg
 from ..operators import timeseries as ts
-from .queries import BASE, PAIRS, _returns, query
+from . import equal_weight as ew
+from . import studies as st
+from .queries import BASE, BOUNDS, NET, PAIRS, YIELDS, _returns, daily_rates, query
 
 #: Three regimes from which the fits of pairs start: returns in per cent, no correlation.
 _START, _STAY, _SPREADS = [1 / 3] * 3, 0.9, [0.2, 1.0, 4.0]
@@ -93,3 +95,78 @@ def regime_paths_by_pair(spark, d):
     p = rg.probabilities(x.select("pair", "t", "x"), _pair_models(x), ["pair"], block=64)
     at = lambda c, i: F.round(F.col(c)[i], 8)
     return p.join(x.select("pair", "t", "date"), ["pair", "t"]).select("pair", "date", at("filtered", 0).alias("calm"), at("filtered", 2).alias("wild"), at("smoothed", 0).alias("calm_in_hindsight"), at("smoothed", 2).alias("wild_in_hindsight"))
+
+
+#: Signed strategies of the bootstrap queries; the last is a difference of differences.
+_CONTRASTS = {
+    "even_less_africa": {"EVEN": 1, "AFRICA": -1},
+    "america_less_asia": {"AMERICA": 1, "ASIA": -1},
+    "west_less_east": {"AMERICA": 1, "EUROPE": -1, "ASIA": -1, "MIDDLE EAST": 1},
+}
+_DRAWS, _SEED = 2000, 11
+
+
+def _excess(spark, d) -> DataFrame:
+    """date, config, excess of the test stage: net returns of the equal-weight walk and returns of the assets, less the risk-free rate."""
+    r = _returns(spark, d)
+    gross, turns = ew.walk(r)
+    held = r.select("date", F.col("asset").alias("config"), (F.exp("ret") - 1).alias("ret"))
+    every = held.unionByName(gross.select("date", F.lit("EVEN").alias("config"), "ret"))
+    rates = daily_rates(spark, d, r)
+    out = st.net_excess(every, turns.withColumn("config", F.lit("EVEN")), rates, ["config"])
+    return out.where(ts.stage_label(BOUNDS) == "test").select("date", "config", "excess")
+
+
+_SERIES = f""", {YIELDS}, rates AS (SELECT d.date, coalesce(q.y, 0) / 100 / 252 AS rf FROM days d ASOF LEFT JOIN (SELECT * FROM yields WHERE y IS NOT NULL) q ON d.date > q.obs_date),
+every AS (SELECT date, asset AS config, exp(ret) - 1 AS net FROM rets UNION ALL SELECT date, 'EVEN', net FROM net),
+excess AS MATERIALIZED (SELECT date, config, net - rf AS x FROM every JOIN rates USING (date) JOIN stages USING (date) WHERE stage = 'test'),
+signs AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {k}, '{c}', {s})" for k, (n, d) in enumerate(_CONTRASTS.items()) for c, s in d.items())}) AS v(contrast, stream, config, sign)),
+series AS MATERIALIZED (SELECT contrast, stream, config, sign, row_number() OVER (PARTITION BY contrast, config ORDER BY date) - 1 AS t, x FROM excess JOIN signs USING (config)),
+sums AS (SELECT contrast, t, sum(sign * x) AS x FROM series GROUP BY ALL),
+centred AS MATERIALIZED (SELECT contrast, t, x - avg(x) OVER (PARTITION BY contrast) AS x FROM sums),
+sizes AS MATERIALIZED (SELECT contrast, count(*) AS n, greatest(5, floor(sqrt(log10(count(*)))))::INT AS run, least(ceil(sqrt(count(*)) + greatest(5, floor(sqrt(log10(count(*)))))), count(*) - 1)::INT AS most FROM centred GROUP BY contrast),
+acov AS MATERIALIZED (SELECT a.contrast, b.t - a.t AS lag, sum(a.x * b.x) / max(n) AS g FROM centred a JOIN sizes USING (contrast) JOIN centred b ON a.contrast = b.contrast AND b.t BETWEEN a.t AND a.t + most GROUP BY ALL),
+small AS (SELECT contrast, lag, abs(g / first(g) OVER (PARTITION BY contrast ORDER BY lag)) < 2 * sqrt(log10(n) / n) AS ok, run, most FROM acov JOIN sizes USING (contrast)),
+begins AS (SELECT contrast, min(lag) AS k FROM (SELECT *, bool_and(ok) OVER w AS good, count(*) OVER w AS c FROM small WINDOW w AS (PARTITION BY contrast ORDER BY lag ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE lag >= 1 AND good AND c = run GROUP BY contrast),
+widths AS (SELECT contrast, n, least(2 * coalesce(k, most), most) AS m FROM sizes LEFT JOIN begins USING (contrast)),
+lengths AS MATERIALIZED (SELECT contrast, max(n) AS n, greatest(1, least(pow(pow(2 * sum(least(1, 2 * (1 - lag / m)) * lag * g), 2) / pow(max(g) FILTER (lag = 0) + 2 * coalesce(sum(least(1, 2 * (1 - lag / m)) * g) FILTER (lag > 0), 0), 2) * max(n), 1.0 / 3), ceil(least(3 * sqrt(max(n)), max(n) / 3)))) AS block_length
+  FROM acov JOIN widths USING (contrast) WHERE lag <= m GROUP BY contrast)"""
+
+
+def _mix_sql(name: str, source: str, column: str) -> str:
+    """CTEs that replace a 32-bit number by its mixed one, step by step; the last is called ``name``."""
+    out, last = [], source
+    for k in range(2):
+        out.append(f"{name}_{k} AS (SELECT * REPLACE (((xor({column} >> 16, {column})) * 73244475) & 4294967295 AS {column}) FROM {last})")
+        last = f"{name}_{k}"
+    return ", ".join([*out, f"{name} AS MATERIALIZED (SELECT * REPLACE (xor({column} >> 16, {column}) AS {column}) FROM {last})"])
+
+
+_DRAWN = f""", k0 AS (SELECT contrast, stream, {_SEED}::BIGINT AS h FROM (SELECT DISTINCT contrast, stream FROM signs)), {_mix_sql("k1", "k0", "h")},
+k2 AS (SELECT contrast, xor(h, stream::BIGINT) AS h FROM k1), {_mix_sql("k3", "k2", "h")},
+k4 AS (SELECT contrast, draw, xor(h, draw) AS h FROM k3, range({_DRAWS}) AS r(draw)), {_mix_sql("k5", "k4", "h")},
+k6 AS (SELECT contrast, draw, n, block_length, t, xor(h, 2 * t) AS a, xor(h, 2 * t + 1) AS b FROM k5 JOIN lengths USING (contrast), LATERAL (SELECT unnest(range(n)) AS t)), {_mix_sql("k7", "k6", "a")}, {_mix_sql("k8", "k7", "b")},
+k9 AS (SELECT contrast, draw, n, t, b % n AS start, max(CASE WHEN t = 0 OR a < 4294967296 / block_length THEN t ELSE 0 END) OVER (PARTITION BY contrast, draw ORDER BY t) AS at FROM k8),
+path AS (SELECT p.contrast, p.draw, (s.start + p.t - p.at) % p.n AS t FROM k9 p JOIN k9 s ON s.contrast = p.contrast AND s.draw = p.draw AND s.t = p.at),
+stats AS (SELECT contrast, draw, sum(s) AS statistic FROM (SELECT contrast, draw, sign * avg(x) / stddev_samp(x) * sqrt(252) AS s FROM path JOIN series USING (contrast, t) GROUP BY contrast, draw, config, sign) GROUP BY contrast, draw)"""
+
+
+@query("block_lengths", f"{NET}{_SERIES} SELECT contrast, n, round(block_length, 7) AS block_length FROM lengths", walk=True)
+def block_lengths(spark, d):
+    """Automatic mean block lengths of the contrasts' signed sums of excess net returns."""
+    rows = bs.points(bs.signed_series(_excess(spark, d), [], "excess", _CONTRASTS), [])
+    return rows.select("contrast", F.size(F.col("series")[0]).cast("bigint").alias("n"), F.round("block_length", 7).alias("block_length"))
+
+
+@query("bootstrap_intervals", f"{NET}{_SERIES}{_DRAWN}, points AS (SELECT contrast, sum(s) AS point FROM (SELECT contrast, sign * avg(x) / stddev_samp(x) * sqrt(252) AS s FROM series GROUP BY contrast, config, sign) GROUP BY contrast) SELECT contrast, round(any_value(point), 7) AS point, round(quantile_cont(statistic, 0.025), 7) AS low, round(quantile_cont(statistic, 0.975), 7) AS high, round(any_value(block_length), 7) AS block_length FROM stats JOIN points USING (contrast) JOIN lengths USING (contrast) GROUP BY contrast", walk=True)
+def bootstrap_intervals(spark, d):
+    """Differences of Sharpe ratios of excess net returns in the test stage and their intervals, from the same numbered draws as the SQL's."""
+    out = bs.intervals(bs.signed_series(_excess(spark, d), [], "excess", _CONTRASTS), [], _DRAWS, _SEED)
+    return out.select("contrast", *(F.round(c, 7).alias(c) for c in ("point", "low", "high", "block_length")))
+
+
+@query("draw_statistics", f"{NET}{_SERIES}{_DRAWN} SELECT contrast, draw, round(statistic, 8) AS statistic FROM stats WHERE draw < 50", walk=True)
+def draw_statistics(spark, d):
+    """The first 50 draws of every contrast."""
+    rows = bs.points(bs.signed_series(_excess(spark, d), [], "excess", _CONTRASTS), [])
+    return bs.draw(rows, [], 50, _SEED, block=16).select("contrast", F.col("draw").cast("bigint").alias("draw"), F.round("statistic", 8).alias("statistic"))

@@ -21,6 +21,7 @@ from ..operators import evaluation as ev
 from ..operators import joins as jo
 from ..operators import reliability as re
 from ..operators import timeseries as ts
+from ..sources import io
 from ..sources import panel as pn
 from . import equal_weight as ew
 from . import studies as st
@@ -560,12 +561,32 @@ def lstm_walk(spark, d):
     return ev.performance(wf.run(rows, {"lstm": options}, "returns"), ["scenario", "config"])
 
 
+def daily_rates(spark, d, r: DataFrame) -> DataFrame:
+    """date, rf_daily: the last yield before each day, 0 before the first."""
+    y = jo.as_of_prior(r.select("date").distinct(), pn.risk_free(spark, d), "date", "obs_date", "yield_pct")
+    return y.select("date", (F.coalesce("yield_pct", F.lit(0.0)) / 100 / 252).alias("rf_daily"))
+
+
+def _walked(spark, d, scenarios: dict[str, wf.Options]) -> tuple[DataFrame, DataFrame]:
+    """(all tables of the trained walks; daily returns with net and excess ones and their stage)."""
+    r = _lstm_returns(spark, d)
+    tables = io.staged(wf.run_all(st.scenario_rows(r, dict.fromkeys(scenarios)), scenarios), "walks")
+    daily = st.net_excess(wf.table(tables, "returns"), wf.table(tables, "executions"), daily_rates(spark, d, r), ["scenario", "config"])
+    return tables, daily.withColumn("stage", ts.stage_label(BOUNDS))
+
+
 @query("study_contrasts")
 def study_contrasts(spark, d):
-    """The five contrasts of the trained walk, 2,000 draws each."""
-    options = wf.Options(n_states=2, initial_window=800, limits=_LIMITS, lstm_epochs=200)
-    rows = st.scenario_rows(_lstm_returns(spark, d), {"lstm": None})
-    return st.contrasts(wf.run(rows, {"lstm": options}, "returns"))
+    """The five contrasts of the trained walk on excess net returns of the test stage, 2,000 draws each."""
+    _, daily = _walked(spark, d, {"lstm": wf.Options(n_states=2, initial_window=800, limits=_LIMITS, lstm_epochs=200)})
+    return st.contrasts(daily.where("stage = 'test'"), value="excess")
+
+
+@query("primary_run")
+def primary_run(spark, d):
+    """The primary walk, three states and both networks: each stage's measures after fees, turnover, concentration and binding decisions."""
+    tables, daily = _walked(spark, d, {"primary": wf.Options(initial_window=800, limits=_LIMITS, lstm_epochs=200)})
+    return st.stage_tables(tables, daily, ts.stage_label(BOUNDS))
 
 
 @query("refit_cadence")
@@ -586,11 +607,11 @@ def robustness_specs(spark, d):
 
 @query("retraining_difference")
 def retraining_difference(spark, d):
-    """Quarterly less fixed training: Sharpe ratio's difference and interval, by stage and network."""
+    """Quarterly less fixed training: difference of Sharpe ratios of excess net returns and its interval, by stage and network."""
     arms = st.retraining_arms(wf.Options(n_states=2, initial_window=800, limits=_LIMITS, lstm_epochs=200))
-    rows = st.scenario_rows(_lstm_returns(spark, d), dict.fromkeys(arms))
-    out = wf.run(rows, arms, "returns").where(F.col("config").startswith("lstm")).withColumnsRenamed({"scenario": "arm", "config": "network"})
-    return st.arm_difference(out.withColumn("stage", ts.stage_label(BOUNDS)), ("quarterly", "fixed"), ["stage", "network"])
+    _, daily = _walked(spark, d, arms)
+    daily = daily.where(F.col("config").startswith("lstm")).withColumnsRenamed({"scenario": "arm", "config": "network"})
+    return st.arm_difference(daily, ("quarterly", "fixed"), ["stage", "network"])
 
 
 @query("feature_rows", """, v AS (SELECT date, count(*) AS n_assets, sum(ret) AS s FROM rets GROUP BY date) SELECT date, n_assets, round(s, 9) AS total, n_assets * 3 + 2 AS n_features FROM v
@@ -685,18 +706,10 @@ def projection(wide):
 
 @query("bootstrap_contrasts")
 def bootstrap_contrasts(spark, d):
-    """Five contrasts side by side, each with its own spawned stream and one path for all its series."""
-    pairs = [(0, "AFRICA", "AMERICA"), (1, "AMERICA", "ASIA"), (2, "ASIA", "EUROPE"), (3, "EUROPE", "MIDDLE EAST"), (4, "MIDDLE EAST", "AFRICA")]
-    seeds = np.random.SeedSequence(123).spawn(len(pairs))
-    r = _returns(spark, d).select("date", "asset", (F.exp("ret") - 1).alias("r"))
-    both = r.join(F.broadcast(spark.createDataFrame([(k, a, s) for k, x, y in pairs for a, s in ((x, 1), (y, -1))], "contrast int, asset string, sign int")), "asset")
-
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="date", columns="sign", values="r").sort_index()
-        out = inference.difference_interval([wide[1].to_numpy(), wide[-1].to_numpy()], [1, -1], seed=seeds[key[0]])
-        return pd.DataFrame([{"contrast": key[0], **out}])
-
-    return both.groupBy("contrast").applyInPandas(one, "contrast int, point double, low double, high double, block_length double")
+    """Five contrasts side by side, 2,000 draws each, each with its own stream and one path for all its series."""
+    names = [*ASSETS, ASSETS[0]]
+    r = _returns(spark, d).select("date", F.col("asset").alias("config"), (F.exp("ret") - 1).alias("ret"))
+    return st.contrasts(r, seed=123, definitions={f"{x} less {y}": {x: 1, y: -1} for x, y in zip(names, names[1:])})
 
 
 @query("scenario_grid")

@@ -5,14 +5,16 @@ from __future__ import annotations
 import math
 from dataclasses import replace
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import inference
+from ..operators import bootstrap as bs
 from ..operators import evaluation as ev
+from ..operators import joins as jo
 from ..sources import io
+from . import walkforward as wf
 from .walkforward import Options
 
 #: The arms of the refit study.
@@ -57,30 +59,15 @@ def scenario_rows(returns: DataFrame, dropped: dict[str, str | None], last_day:
 
 
 def contrasts(returns: DataFrame, keys: list[str] | None = None, value: str = "ret", draws: int = 2000, seed: int = 0, definitions: dict[str, dict[str, int]] = CONTRASTS, length: float | None = None) -> DataFrame:
-    """keys, contrast, point, low, high, block_length of daily returns (keys, date, config, value).
+    """keys, contrast, point, low, high, block_length of daily returns (keys, date, config, value); see ``operators.bootstrap``."""
+    return bs.intervals(bs.signed_series(returns, keys or [], value, definitions), keys or [], draws, seed, length=length)
 
-    Each contrast is a task with its own spawned stream; its series share every resampled path, and its block length is chosen from its own
-    signed sum. A strategy that is missing, days that differ between strategies, repeated days, fewer than 10 days or a value that isn't finite is an error.
-    """
-    keys = keys or []
-    streams = np.random.SeedSequence(seed).spawn(len(definitions))
-    names = list(definitions)
-    parts = returns.sparkSession.createDataFrame([(n, c, s) for n, d in definitions.items() for c, s in d.items()], "contrast string, config string, _sign int")
-    both = returns.select(*keys, "date", "config", F.col(value).alias("_r")).join(F.broadcast(parts), "config")
-    schema = ", ".join([*(f"`{k}` {returns.schema[k].dataType.simpleString()}" for k in keys), "contrast string, point double, low double, high double, block_length double"])
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        name = key[-1]
-        wide = pdf.pivot(index="date", columns="config", values="_r").sort_index()
-        if missing := sorted(set(definitions[name]) - set(wide.columns)):
-            raise ValueError(f"{name}: no returns of {', '.join(missing)}")
-        if len(wide) < 10:
-            raise ValueError(f"{name}: at least 10 days are required")
-        series = [wide[c].to_numpy(float) for c in definitions[name]]
-        out = inference.difference_interval(series, list(definitions[name].values()), draws=draws, seed=streams[names.index(name)], length=length)
-        return pd.DataFrame([dict(zip([*keys, "contrast"], key)) | out])
-
-    return both.groupBy(*keys, "contrast").applyInPandas(one, schema)
+
+def net_excess(daily: DataFrame, executions: DataFrame, risk_free: DataFrame, keys: list[str], bps: float = 5.0) -> DataFrame:
+    """``daily`` (keys, date, ret) with excess: returns after fees on executed turnover less the day's risk-free rate (date, rf_daily), which every day must have."""
+    net = ev.net_returns(daily, executions, keys, bps)
+    rated = net.join(risk_free.select("date", "rf_daily"), "date", "left")
+    return jo.require_matched(rated, "rf_daily").withColumn("excess", F.col("net") - F.col("rf_daily"))
 
 
 def arm_tables(daily: DataFrame, decisions: DataFrame, stages: F.Column, fees: list[float], keys: list[str]) -> DataFrame:
@@ -96,7 +83,24 @@ def arm_tables(daily: DataFrame, decisions: DataFrame, stages: F.Column, fees: l
     return left.join(right, [*keys, "stage"], "left")
 
 
-def arm_difference(daily: DataFrame, arms: tuple[str, str], keys: list[str], value: str = "ret", draws: int = 2000, seed: int = 0) -> DataFrame:
+def stage_tables(tables: DataFrame, daily: DataFrame, stages: F.Column) -> DataFrame:
+    """scenario, config, stage: measures of net returns (the Sharpe ratio of excess ones), mean turnover of executions, concentration, and decisions at the turnover limit.
+
+    ``tables`` are all tables of walks, ``daily`` their returns with net, excess and stage.
+    """
+    keys = ["scenario", "config", "stage"]
+    out = ev.performance(daily, keys, "net").withColumnRenamed("sharpe", "sharpe_zero_rate")
+    out = out.join(daily.groupBy(*keys).agg(ev.sharpe(F.col("excess")).alias("sharpe")), keys)
+    of = lambda name: wf.table(tables, name).withColumn("stage", stages)
+    hhi = of("weights").groupBy(*keys).agg(F.avg(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w * w)).alias("hhi"))
+    turnover = of("executions").groupBy(*keys).agg(F.avg("turnover").alias("mean_turnover"))
+    bound = of("decisions").groupBy(*keys).agg(F.count("*").alias("rebalances"), F.count_if("turnover_binding").alias("binding"))
+    for other in (hhi, turnover, bound):
+        out = out.join(other, keys, "left")
+    return out
+
+
+def arm_difference(daily: DataFrame, arms: tuple[str, str], keys: list[str], value: str = "excess", draws: int = 2000, seed: int = 0) -> DataFrame:
     """keys, point, low, high, block_length of the first arm's Sharpe ratio less the second's; ``daily`` (arm, keys, date, value)."""
     out = contrasts(daily.withColumnRenamed("arm", "config"), keys, value, draws, seed, {"difference": {arms[0]: 1, arms[1]: -1}})
     return out.drop("contrast")

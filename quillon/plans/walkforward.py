@@ -12,6 +12,7 @@ from dataclasses import asdict, dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import allocation as al
 from ..functions import densities as de
@@ -235,7 +236,7 @@ def walk(dates: np.ndarray, x: np.ndarray, o: Options, co: np.ndarray | None = N
         rows = one.step(day, x[k], bool(decides[k]), *((legs[0][k], legs[1][k]) if legs else (None, None)), None if features is None else features[k])
         for name, found in rows.items():
             out[name] += found
-    return {k: pd.DataFrame(v, columns=[c.split()[0] for c in TABLES[k].split(", ")]) for k, v in out.items()}
+    return {k: pd.DataFrame(v, columns=columns_of(TABLES[k])) for k, v in out.items()}
 
 
 def training_windows(inputs: np.ndarray, decides: np.ndarray, days: int, length: int, cov_window: int) -> list[tuple[int, int]]:
@@ -263,13 +264,20 @@ def _networks(days: list[Day], o: Options, old: dict | None = None) -> dict[str,
     return nets
 
 
-def run(returns: DataFrame, scenarios: dict[str, Options], table: str, next_open: bool = True) -> DataFrame:
-    """One table of all scenarios' walks: ``returns`` (scenario, date, asset, ret, overnight, intraday) is grouped by scenario.
+#: All tables in one: a row has the columns of its ``table``, others are null.
+ALL = "table string, " + ", ".join(dict.fromkeys(c for t in TABLES.values() for c in t.split(", ")))
+
+
+def columns_of(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def run_all(returns: DataFrame, scenarios: dict[str, Options], next_open: bool = True) -> DataFrame:
+    """scenario and ``ALL``: every table of all scenarios' walks; ``returns`` (scenario, date, asset, ret, overnight, intraday) is grouped by scenario.
     A column ``features`` (the same array for all assets of a day, null before the first) is what the networks read."""
     options = {k: asdict(v) for k, v in scenarios.items()}
 
     def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        o = from_dict(options[key[0]])
         pdf = pdf.sort_values(["date", "asset"])
         wide = {v: pdf.pivot(index="date", columns="asset", values=v) for v in ("ret", "overnight", "intraday")}
         dates = wide["ret"].index.to_numpy()
@@ -279,8 +287,17 @@ def run(returns: DataFrame, scenarios: dict[str, Options], table: str, next_open
             found = pdf.drop_duplicates("date").set_index("date")["features"].reindex(wide["ret"].index)
             length = next(len(v) for v in found if v is not None)
             features = np.stack([np.full(length, np.nan) if v is None else np.asarray(v, float) for v in found])
-        out = walk(dates, wide["ret"].to_numpy(), o, *legs, features)[table]
-        out.insert(0, "scenario", key[0])
-        return out
+        out = [{**dict.fromkeys(columns_of(ALL)), "table": t, **r} for t, f in walk(dates, wide["ret"].to_numpy(), from_dict(options[key[0]]), *legs, features).items() for r in f.to_dict("records")]
+        return pd.DataFrame(out, columns=columns_of(ALL), dtype=object).assign(scenario=key[0])
+
+    return returns.groupBy("scenario").applyInPandas(fold, f"{ALL}, scenario string").select("scenario", *columns_of(ALL))
+
+
+def table(rows: DataFrame, name: str) -> DataFrame:
+    """scenario and the columns of one table out of all."""
+    return rows.where(F.col("table") == name).select("scenario", *columns_of(TABLES[name]))
+
 
-    return returns.groupBy("scenario").applyInPandas(fold, f"scenario string, {TABLES[table]}")
+def run(returns: DataFrame, scenarios: dict[str, Options], name: str, next_open: bool = True) -> DataFrame:
+    """One table of all scenarios' walks."""
+    return table(run_all(returns, scenarios, next_open), name)

@@ -26,8 +26,8 @@ from ..plans import walkforward as wf
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY = "date date, decides boolean, ret array<double>, overnight array<double>, intraday array<double>, features array<double>"
-OUT = "scenario string, table string, date date, config string, ret double, weights array<double>, pi double, l0 double, l1 double, turnover double, turnover_binding boolean, n_lower int, n_upper int, dev_target double, dev_final double"
-_COLUMNS = [c.split()[0] for c in OUT.split(", ")]
+OUT = f"scenario string, {wf.ALL}"
+_COLUMNS = wf.columns_of(OUT)
 _EMPTY = dict.fromkeys(_COLUMNS)
 _REGIMES = "start array<double>, step array<double>, means array<double>, covs array<double>"
 _FIT = f"{_REGIMES}, nu double, mean array<double>, scale array<double>, nus array<double>, mix_means array<double>, mix_scales array<double>, cov array<double>, raw_covs array<double>, state_covs array<double>"
@@ -146,7 +146,7 @@ class WalkProcessor(StatefulProcessor):
             found = one.step(r.date, np.asarray(r.ret, float), bool(r.decides), *legs, features)
             one.last = str(r.date)
             for table, values in found.items():
-                names = [c.split()[0] for c in wf.TABLES[table].split(", ")]
+                names = wf.columns_of(wf.TABLES[table])
                 out += [{**_EMPTY, "scenario": key[0], "table": table, **dict(zip(names, v))} for v in values]
         self._save(one, fitted, trained)
         yield pd.DataFrame(out, columns=_COLUMNS, dtype=object)
@@ -165,7 +165,3 @@ def stream(days: DataFrame, scenarios: dict[str, wf.Options], next_open: bool =
     options = {k: asdict(o) for k, o in scenarios.items()}
     return days.groupBy("scenario").transformWithStateInPandas(WalkProcessor(options, next_open, features), OUT, "Append", "None")
 
-
-def table(rows: DataFrame, name: str) -> DataFrame:
-    """One table of the stream's output with its own columns."""
-    return rows.where(F.col("table") == name).select("scenario", *(c.split()[0] for c in wf.TABLES[name].split(", ")))

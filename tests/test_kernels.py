@@ -110,18 +110,33 @@ def test_order_statistics_pins():
     assert np.allclose(inference.order_moments(10), (1.538753, 0.586808), atol=1e-6)
 
 
+def test_block_length_pins():
+    """Published values of the rule for white noise and two autoregressions."""
+    r = np.random.default_rng(123)
+    got = [inference.block_length(r.normal(size=2500))]
+    for a in (0.5, 0.9):
+        e, x = r.normal(size=2500), np.zeros(2500)
+        for t in range(1, 2500):
+            x[t] = a * x[t - 1] + e[t]
+        got.append(inference.block_length(x))
+    assert np.allclose(got, [1.5316189209351796, 14.168003687099148, 47.09238475262077], rtol=1e-10)
+    assert inference.block_length(np.ones(20)) == 1
+    with pytest.raises(ValueError):
+        inference.block_length(np.arange(9.0))
+
+
 def test_bootstrap():
+    p = inference.paths(1000, 10, 3, 1, np.arange(200))
+    step = np.diff(p, axis=1)
+    assert p.min() >= 0 and p.max() < 1000 and abs(((step == 1) | (step == -999)).mean() - 0.9) < 0.005
+    assert np.abs(np.bincount(p.ravel(), minlength=1000) / 200 - 1).mean() < 0.3  # every day about as often
+    assert (inference.paths(1000, 10, 3, 1, np.array([17, 5])) == p[[17, 5]]).all() and (inference.paths(1000, 10, 3, 2, np.arange(1)) != p[:1]).any()
     r = np.random.default_rng(1)
-    p = inference.path(1000, 10, r)
-    assert p.min() >= 0 and p.max() < 1000 and ((np.diff(p) == 1) | (np.diff(p) == -999)).mean() > 0.8
-    e = r.standard_normal(2500)
-    ar = np.zeros(2500)
-    for t in range(1, 2500):
-        ar[t] = 0.9 * ar[t - 1] + e[t]
-    assert inference.block_length(ar) > 3 * inference.block_length(e)
     x = r.normal(0.001, 0.01, 500)
     out = inference.difference_interval([x, x], [1, -1], draws=50, seed=1)
     assert out["point"] == out["low"] == out["high"] == 0
+    one = inference.difference_interval([x], [1], seed=4)
+    assert one["low"] < one["point"] < one["high"] and abs((one["high"] - one["low"]) / 2 / (1.96 * np.sqrt(252 / 500)) - 1) < 0.15  # as wide as theory has it
 
 
 def test_deflation():

@@ -49,13 +49,21 @@ def test_contrasts_share_paths(spark):
         assert abs(x.point - of(n)) < 1e-9 and x.low <= x.high
     third = got["rq2_difference_in_differences"].point
     assert abs(third - (got["rq1_lstm_regime_effect"].point - got["rq1_erc_regime_effect"].point)) < 1e-9
-    stream = np.random.SeedSequence(7).spawn(5)[2]
-    d = st.CONTRASTS["rq2_difference_in_differences"]
-    assert abs(got["rq2_difference_in_differences"].low - inference.difference_interval([values[c] for c in d], list(d.values()), draws=50, seed=stream)["low"]) < 1e-12
+    for k, (n, d) in enumerate(st.CONTRASTS.items()):
+        here = inference.difference_interval([values[c] for c in d], list(d.values()), draws=50, seed=7, stream=k)
+        assert abs(got[n].low - here["low"]) < 1e-12 and abs(got[n].high - here["high"]) < 1e-12 and abs(got[n].block_length - here["block_length"]) < 1e-9
+    again = {x.contrast: x.low for x in st.contrasts(daily.repartition(7), draws=50, seed=7).collect()}
+    assert all(abs(again[n] - got[n].low) < 1e-12 for n in got)  # the same draws for any number of tasks
     with pytest.raises(Exception, match="lstm_blend"):
         st.contrasts(daily.where("config <> 'lstm_blend'"), draws=5).collect()
-    with pytest.raises(Exception, match="finite"):
+    with pytest.raises(Exception, match="days differ"):
         st.contrasts(daily.where("NOT (config = 'erc_blend' AND date = DATE '2024-01-05')"), draws=5).collect()
+    with pytest.raises(Exception, match="finite"):
+        st.contrasts(daily.withColumn("ret", F.when(F.col("date") == "2024-01-05", float("nan")).otherwise(F.col("ret"))), draws=5).collect()
+    with pytest.raises(Exception, match="repeated"):
+        st.contrasts(daily.unionByName(daily.where("date = DATE '2024-01-05'")), draws=5).collect()
+    with pytest.raises(Exception, match="at least 10"):
+        st.contrasts(daily.where("date < DATE '2024-01-05'"), draws=5).collect()
 
 
 def test_arm_tables(spark):

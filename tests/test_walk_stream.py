@@ -62,7 +62,7 @@ def test_restarts_change_nothing(rocks, tmp_path, days, next_open):
     for name, o in SCENARIOS.items():
         want = wf.walk(dates, x, o, *((co, oc) if next_open else (None, None)), features)
         for t, frame in want.items():
-            mine = sw.table(got, t).where(f"scenario = '{name}'").drop("scenario").toPandas()
+            mine = wf.table(got, t).where(f"scenario = '{name}'").drop("scenario").toPandas()
             keys = ["date"] + ["config"] * ("config" in frame)
             a, b = (f.sort_values(keys).reset_index(drop=True) for f in (mine, frame))
             assert len(a) == len(b) and len(a) > 0
