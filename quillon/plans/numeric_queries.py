@@ -8,12 +8,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import allocation as al
+from ..operators import allocation as oa
 from ..operators import bootstrap as bs
+from ..operators import portfolio as pf
 from ..operators import regimes as rg
 from ..operators import timeseries as ts
+from ..sources import io
 from . import equal_weight as ew
 from . import studies as st
-from .queries import BASE, BOUNDS, NET, PAIRS, YIELDS, _returns, daily_rates, query
+from .queries import ASSETS, BASE, BOUNDS, NET, PAIRS, WALK, YIELDS, _returns, daily_rates, query
 
 #: Three regimes from which the fits of pairs start: returns in per cent, no correlation.
 _START, _STAY, _SPREADS = [1 / 3] * 3, 0.9, [0.2, 1.0, 4.0]
@@ -170,3 +174,107 @@ def draw_statistics(spark, d):
     """The first 50 draws of every contrast."""
     rows = bs.points(bs.signed_series(_excess(spark, d), [], "excess", _CONTRASTS), [])
     return bs.draw(rows, [], 50, _SEED, block=16).select("contrast", F.col("draw").cast("bigint").alias("draw"), F.round("statistic", 8).alias("statistic"))
+
+
+def _trailing(spark, d) -> DataFrame:
+    r = _returns(spark, d)
+    return pf.trailing_covariance(r, ts.month_ends(r.select("date").distinct()))
+
+
+_TRAILING = """, seq AS (SELECT date, asset, ret, row_number() OVER (PARTITION BY asset ORDER BY date) AS k FROM rets), decided AS (SELECT date, k FROM seq WHERE date IN (SELECT date FROM ends) AND k >= 252 GROUP BY ALL),
+trails AS MATERIALIZED (SELECT d.date, x.asset AS i, y.asset AS j, covar_samp(x.ret, y.ret) AS cov FROM decided d JOIN seq x ON x.k BETWEEN d.k - 251 AND d.k JOIN seq y ON y.k = x.k GROUP BY ALL)"""
+_SHRUNK = """, shrunk AS MATERIALIZED (SELECT date, i, j, 0.9 * cov + CASE WHEN i = j THEN 0.1 * avg(CASE WHEN i = j THEN cov END) OVER (PARTITION BY date) ELSE 0 END AS cov FROM trails),
+mats AS MATERIALIZED (SELECT date, list(r ORDER BY i) AS m, list(i ORDER BY i) AS names FROM (SELECT date, i, list(cov ORDER BY j) AS r FROM shrunk GROUP BY date, i) GROUP BY date)"""
+
+
+def _shrunk(spark, d) -> DataFrame:
+    return oa.shrunk(_trailing(spark, d), ["date"])
+
+
+@query("trailing_covariances", f"{_TRAILING} SELECT date, i, j, round(1e6 * cov, 7) AS cov FROM trails")
+def trailing_covariances(spark, d):
+    """Covariances of the last 252 days at every decision, in millionths."""
+    return _trailing(spark, d).withColumn("cov", F.round(1e6 * F.col("cov"), 7))
+
+
+@query("erc_by_decision", f"WITH RECURSIVE {BASE}{_TRAILING}{_SHRUNK}, " + """steps AS (SELECT date, 0 AS k, list_transform(range(1, 6), lambda i: 1 / sqrt(m[i][i])) AS y FROM mats
+  UNION ALL SELECT date, k + 1, list_transform(range(1, 6), lambda i: sqrt(y[i] * 0.2 / list_dot_product(m[i], y))) FROM steps JOIN mats USING (date) WHERE k < 300),
+w AS (SELECT date, list_transform(y, lambda v: v / list_sum(y)) AS w FROM steps WHERE k = 300),
+p AS (SELECT date, names, w, list_transform(range(1, 6), lambda i: w[i] * list_dot_product(m[i], w)) AS part FROM w JOIN mats USING (date))
+SELECT date, unnest(names) AS asset, round(unnest(w), 8) AS weight, round(unnest(list_transform(part, lambda v: v / list_sum(part))), 8) AS share FROM p""")
+def erc_by_decision(spark, d):
+    """Equal risk contributions of the shrunk trailing covariance of every decision; the SQL finds them by a fixed point."""
+    out = pf.risk_budget_weights(pf.matrices(_shrunk(spark, d), ["date"]), ["date"])
+    return out.select("date", "asset", F.round("weight", 8).alias("weight"), F.round("share", 8).alias("share"))
+
+
+#: Single linkage as the SQL has it: of all pairs of clusters the nearest are joined, the one with the smaller number first.
+_LINKAGE = """dist AS MATERIALIZED (SELECT date, m, names, list_transform(range(1, len(names) + 1), lambda i: list_transform(range(1, len(names) + 1), lambda j: sqrt(0.5 * (1 - greatest(-1, least(1, m[i][j] / sqrt(m[i][i] * m[j][j]))))))) AS d FROM mats),
+links AS (SELECT date, list_transform(range(1, len(names) + 1), lambda i: {'id': i, 'leaves': [i]}) AS c, len(names) AS top FROM dist
+  UNION ALL SELECT date, list_append(list_filter(c, lambda x: x.id <> near.a AND x.id <> near.b), {'id': top + 1, 'leaves': list_concat(list_filter(c, lambda x: x.id = near.a)[1].leaves, list_filter(c, lambda x: x.id = near.b)[1].leaves)}), top + 1
+  FROM (SELECT date, c, top, list_min(flatten(list_transform(c, lambda x: list_transform(list_filter(c, lambda y: y.id > x.id), lambda y: {'d': list_min(flatten(list_transform(x.leaves, lambda i: list_transform(y.leaves, lambda j: d[i][j])))), 'a': x.id, 'b': y.id})))) AS near FROM links JOIN dist USING (date) WHERE len(c) > 1)),
+leaves AS MATERIALIZED (SELECT date, m, names, c[1].leaves AS o FROM links JOIN dist USING (date) WHERE len(c) = 1)"""
+_RISK = "list_sum(list_transform({s}, lambda i: list_sum(list_transform({s}, lambda j: m[i][j] / m[i][i] / m[j][j])))) / pow(list_sum(list_transform({s}, lambda i: 1 / m[i][i])), 2)"
+
+
+@query("leaf_orders", f"WITH RECURSIVE {BASE}{_TRAILING}{_SHRUNK}, {_LINKAGE} SELECT date, array_to_string(list_transform(o, lambda i: names[i]), ',') AS leaves FROM leaves")
+def leaf_orders(spark, d):
+    """Single-linkage leaf orders of every decision, by spanning trees of all matrices at once."""
+    cov = _shrunk(spark, d)
+    sd = cov.where("i = j").select("date", "i", F.sqrt("cov").alias("s"))
+    dist = cov.join(sd, ["date", "i"]).join(sd.withColumnsRenamed({"i": "j", "s": "t"}), ["date", "j"]).select("date", "i", "j", F.sqrt(0.5 * (1 - F.least(F.lit(1.0), F.col("cov") / (F.col("s") * F.col("t"))))).alias("distance"))
+    dist = io.staged(dist, "distances")
+    order = pf.leaf_order(pf.spanning_tree(dist, ["date"]), dist.select("date", F.col("i").alias("node")), ["date"])
+    return order.select("date", F.array_join("leaves", ",").alias("leaves"))
+
+
+@query("hierarchical_by_decision", f"WITH RECURSIVE {BASE}{_TRAILING}{_SHRUNK}, {_LINKAGE}, halves AS (SELECT date, m, names, o AS s, 1.0::DOUBLE AS w FROM leaves UNION ALL SELECT date, m, names, CASE WHEN side = 1 THEN l ELSE r END, w * CASE WHEN side = 1 THEN 1 - rl / (rl + rr) ELSE rl / (rl + rr) END FROM (SELECT *, {_RISK.format(s='l')} AS rl, {_RISK.format(s='r')} AS rr FROM (SELECT date, m, names, w, s[1:len(s) // 2] AS l, s[len(s) // 2 + 1:] AS r FROM halves WHERE len(s) > 1)), (VALUES (1), (2)) AS v(side)) SELECT date, names[s[1]] AS asset, round(w, 8) AS weight FROM halves WHERE len(s) = 1")
+def hierarchical_by_decision(spark, d):
+    """Hierarchical risk parity of every decision."""
+    return pf.hierarchical_weights(_shrunk(spark, d), ["date"]).withColumn("weight", F.round("weight", 8))
+
+
+_PROJECTED = """, trends AS (SELECT date, asset, sum(ret) OVER w AS trend, stddev_samp(ret) OVER w AS sd, count(*) OVER w AS n FROM rets WINDOW w AS (PARTITION BY asset ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)),
+wanted AS (SELECT date, asset, unnest(['tilt', 'inverse']) AS config, unnest([exp(40 * trend), 1 / sd ** 6]) AS v FROM trends WHERE n = 63 AND sd > 0 AND date IN (SELECT date FROM ends)),
+decided AS MATERIALIZED (SELECT config, date, list(raw ORDER BY asset) AS raw, list(weight ORDER BY asset) AS b, list(asset ORDER BY asset) AS names, len(list(asset)) AS n FROM (SELECT config, date, asset, v / sum(v) OVER (PARTITION BY config, date) AS raw, weight FROM wanted JOIN drifted USING (date, asset)) GROUP BY ALL)"""
+
+
+def _decisions(spark, d) -> DataFrame:
+    """config, date, asset, raw, before: two tilted targets beside the drifted equal weights of every month end."""
+    r = _returns(spark, d)
+    w = Window.partitionBy("asset").orderBy("date").rowsBetween(-62, 0)
+    t = r.select("date", "asset", F.sum("ret").over(w).alias("trend"), F.stddev_samp("ret").over(w).alias("sd"), F.count("*").over(w).alias("n")).where("n = 63 AND sd > 0")
+    t = t.join(ts.month_ends(r.select("date").distinct()), "date", "left_semi")
+    t = t.select("date", "asset", F.expr("stack(2, 'tilt', exp(40 * trend), 'inverse', 1 / power(sd, 6)) AS (config, v)"))
+    raw = t.withColumn("raw", F.col("v") / F.sum("v").over(Window.partitionBy("config", "date")))
+    return raw.join(ew.drifted(r).withColumnRenamed("weight", "before"), ["date", "asset"]).select("config", "date", "asset", "raw", "before")
+
+
+_LIMITS = al.Limits(0.0, 0.30, 0.30)
+_W = "list_transform(range(1, n + 1), lambda i: least(greatest(b[i] + sign(raw[i] - {l} - b[i]) * greatest(abs(raw[i] - {l} - b[i]) - {u}, 0), 0), 0.3))"
+
+
+@query("projected_decisions", f"WITH RECURSIVE {BASE}{WALK}{_PROJECTED}, " + f"""bis AS (SELECT config, date, 0 AS k, -8.0::DOUBLE AS l0, 8.0::DOUBLE AS l1, 0.0::DOUBLE AS u0, 4.0::DOUBLE AS u1, 0.0::DOUBLE AS u FROM decided
+  UNION ALL SELECT config, date, k + 1, CASE WHEN last THEN -8.0 WHEN list_sum(w) > 1 THEN mid ELSE l0 END, CASE WHEN last THEN 8.0 WHEN list_sum(w) > 1 THEN l1 ELSE mid END, CASE WHEN last AND over THEN u ELSE u0 END, CASE WHEN last AND NOT over THEN u ELSE u1 END,
+    CASE WHEN NOT last THEN u WHEN k // 50 >= 45 THEN CASE WHEN over THEN u1 ELSE u END ELSE ((CASE WHEN over THEN u ELSE u0 END) + (CASE WHEN over THEN u1 ELSE u END)) / 2 END
+  FROM (SELECT *, k % 50 = 49 AS last, list_sum(list_transform(range(1, n + 1), lambda i: abs(w[i] - b[i]))) > 0.3 + 1e-12 AS over FROM (SELECT *, {_W.format(l='mid', u='u')} AS w FROM (SELECT bis.*, raw, b, n, (l0 + l1) / 2 AS mid FROM bis JOIN decided USING (config, date) WHERE k < 2399)))),
+done AS (SELECT config, date, names, raw, b, u, {_W.format(l='(l0 + l1) / 2', u='u')} AS w FROM bis JOIN decided USING (config, date) WHERE k = 2399)
+SELECT config, date, unnest(names) AS asset, round(unnest(w), 7) AS weight, u > 1e-9 AS turnover_binds, round(list_sum(list_transform(range(1, len(w) + 1), lambda i: abs(w[i] - b[i]))), 7) AS turnover, 0.0 AS residual FROM done""")
+def projected_decisions(spark, d):
+    """Every decision's projected weights, whether the turnover limit binds, and the residual of the optimality conditions."""
+    solved = io.staged(pf.projected(_decisions(spark, d), ["config", "date"], _LIMITS), "projected")
+    proof = pf.certificates(solved, ["config", "date"], _LIMITS)
+    out = solved.join(proof, ["config", "date"])
+    return out.select("config", "date", "asset", F.round("weight", 7).alias("weight"), (F.col("turnover_price") > 1e-9).alias("turnover_binds"), F.round("turnover", 7).alias("turnover"), F.round("residual", 8).alias("residual"))
+
+
+@query("solver_audit")
+def solver_audit(spark, d):
+    """For every decision: errors of the squared solver's and the exact solver's weights, and the smallest error that starts reach within the limits."""
+    cov = io.staged(_shrunk(spark, d), "covariances")
+    whole = pf.matrices(cov, ["date"])
+    held = ew.drifted(_returns(spark, d)).groupBy("date").agg(F.transform(F.sort_array(F.collect_list(F.struct("asset", "weight"))), lambda p: p["weight"]).alias("before"))
+    best = pf.best_feasible(whole, held, ["date"], limits=al.Limits(0.0, 0.22, 0.10))
+    n = len(ASSETS)
+    error = lambda solver: pf.risk_budget_weights(whole, ["date"], solver).groupBy("date").agg(F.sum((F.col("share") - 1 / n) ** 2).alias(f"{solver}_error"), F.max("weight").alias(f"{solver}_largest"))
+    return error("squared").join(error("exact"), "date").join(best.select("date", "start", F.col("error").alias("feasible_error")), "date")

@@ -47,8 +47,8 @@ class Options:
     seed: int = 123
 
     def __post_init__(self):
-        if self.risk_budget_solver != "exact":
-            raise ValueError("only the exact risk budget solver exists here")
+        if self.risk_budget_solver not in al.SOLVERS:
+            raise ValueError(f"risk_budget_solver must be one of {', '.join(al.SOLVERS)}")
         if self.lstm_retrain_every_n_rebalances and not self.lstm_epochs:
             raise ValueError("retraining needs trained allocators")
 
@@ -178,8 +178,9 @@ class Walk:
         if o.lstm_epochs:
             today.ahead = self.state @ s.regimes.step
         if decides:
-            for c, target, base in self._targets(day, pi):
-                final = al.project(target, w[c], o.limits)
+            wanted = self._targets(day, pi)
+            finals = al.project(np.stack([t for _, t, _ in wanted]), np.stack([w[c] for c, _, _ in wanted]), o.limits)
+            for (c, target, base), final in zip(wanted, finals):
                 moved = float(np.abs(final - w[c]).sum())
                 out["decisions"].append((day, c, moved, moved >= o.limits.turnover - 1e-6, int((final <= o.limits.lower + 1e-6).sum()), int((final >= o.limits.upper - 1e-6).sum()), float(np.abs(al.risk_shares(target, base) - 1 / n).max()), float(np.abs(al.risk_shares(final, base) - 1 / n).max())))
                 if next_open:
@@ -205,7 +206,8 @@ class Walk:
         ahead = self.state @ s.regimes.step
         base, regime = al.shrink(s.cov, o.shrinkage), al.shrink(np.tensordot(ahead, s.covs, 1), o.shrinkage)
         even = np.full(len(base), 1 / len(base))
-        target = {"erc_baseline": al.risk_budget(base, even), "erc_regime": al.risk_budget(regime, even), "equal_weight": even}
+        solve = al.SOLVERS[o.risk_budget_solver]
+        target = {"erc_baseline": solve(base, even), "erc_regime": solve(regime, even), "equal_weight": even}
         if o.include_hrp:
             target |= {"hrp_baseline": al.hierarchical(base), "hrp_regime": al.hierarchical(regime)}
         if self.nets:
@@ -218,7 +220,7 @@ class Walk:
             raw = al.shrink(np.tensordot(ahead, s.raw_covs, 1), o.shrinkage)
             forecasts = np.stack([d.ahead for d in days[-o.lstm_seq_len :]])
             for kind, data, cov in (("baseline", window, base), ("regime", np.hstack([window, forecasts]), raw)):
-                target[f"lstm_{kind}"] = al.risk_budget(cov, self.nets[kind].forward(data)[0])
+                target[f"lstm_{kind}"] = solve(cov, self.nets[kind].forward(data)[0])
         for family in ("erc", "hrp", "lstm"):
             if f"{family}_regime" in target:
                 target[f"{family}_blend"] = pi * target[f"{family}_regime"] + (1 - pi) * target[f"{family}_baseline"]
