@@ -1,8 +1,9 @@
 """Line dedup by content-defined line chunks, in DataFrame operations only.
 
 The hash of a line decides whether it is a boundary (two lines of three are); the rolling window is one line wide, as wider ones lose
-short passages. A chunk reaches from one boundary to the next, both included, so neighbouring chunks share a line: what lies between a passage's
-first and last boundary is found wherever the passage stands, whatever surrounds it. The first and the last line of a text count as boundaries.
+short passages. Blank lines (nothing but spaces, tabs and carriage returns) are never boundaries, so a chunk has two lines of text at least
+and a paragraph between blank lines isn't a chunk by itself. A chunk reaches from one boundary to the next, both included, so neighbouring chunks share a line: what lies between a passage's
+first and last boundary is found wherever the passage stands, whatever surrounds it. The first and the last line with text count as boundaries.
 A line goes if a chunk that it is in occurs byte for byte earlier in the corpus (by doc_id, then place). As each removed line stands in an
 earlier occurrence of its chunk, every line stays at least once. Texts of one line stay.
 
@@ -29,10 +30,11 @@ BROADCAST_ROWS = 500_000
 
 def chunks_of(text: str = "text") -> str:
     """SQL for a text's chunks: structs (at, n, body) of first lines (from 1), line counts and texts."""
-    points = f"filter(sequence(1, size(ls)), i -> i = 1 OR i = size(ls) OR hs[i - 1] % {ODDS} <> 0)"
-    chunk = "transform(slice(ps, 1, size(ps) - 1), (p, k) -> named_struct('at', p, 'n', ps[k + 1] - p + 1, 'body', array_join(slice(ls, p, ps[k + 1] - p + 1), '\n')))"
+    filled = r"filter(sequence(1, size(ls)), i -> translate(ls[i - 1], ' \t\r', '') <> '')"
+    points = f"filter(ts, i -> i = ts[0] OR i = element_at(ts, -1) OR hs[i - 1] % {ODDS} <> 0)"
+    chunk = "transform(slice(ps, 1, greatest(size(ps) - 1, 0)), (p, k) -> named_struct('at', p, 'n', ps[k + 1] - p + 1, 'body', array_join(slice(ls, p, ps[k + 1] - p + 1), '\n')))"
     hashes = "transform(ls, l -> CAST(conv(left(md5(l), 7), 16, 10) AS BIGINT))"
-    return once(f"split({text}, '\n', -1)", "ls", once(hashes, "hs", once(points, "ps", chunk)))
+    return once(f"split({text}, '\n', -1)", "ls", once(hashes, "hs", once(filled, "ts", once(points, "ps", chunk))))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, name: str = "lines") -> DataFrame:
@@ -76,8 +78,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS r, doc_id, text FROM documents),
-l AS (SELECT r, doc_id, i, line, ('0x' || left(md5(line), 7))::BIGINT AS h FROM (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text IS NOT NULL)),
-p AS (SELECT r, doc_id, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS j FROM (SELECT *, count(*) OVER (PARTITION BY r) AS n FROM l) WHERE i = 1 OR i = n OR h % 3 <> 0),
+l AS (SELECT r, doc_id, i, line, ('0x' || left(md5(line), 7))::BIGINT AS h, translate(line, ' ' || chr(9) || chr(13), '') <> '' AS filled FROM (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text IS NOT NULL)),
+p AS (SELECT r, doc_id, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS j FROM (SELECT *, min(i) OVER (PARTITION BY r) AS a, max(i) OVER (PARTITION BY r) AS z FROM l WHERE filled) WHERE i = a OR i = z OR h % 3 <> 0),
 k AS (SELECT p.r, p.doc_id, p.i, p.j, string_agg(l.line, chr(10) ORDER BY l.i) AS body FROM p JOIN l ON l.r = p.r AND l.i BETWEEN p.i AND p.j WHERE p.j IS NOT NULL GROUP BY ALL),
 f AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, r, i) > 1 AS gone FROM k),
 g AS (SELECT DISTINCT l.r, l.i FROM l JOIN f ON l.r = f.r AND l.i BETWEEN f.i AND f.j WHERE f.gone),

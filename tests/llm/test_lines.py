@@ -11,7 +11,8 @@ def plain(rows):
     seen, out = set(), {}
     for i, text in sorted((i, t) for i, t in rows if t is not None):
         ls = text.split("\n")
-        at = [k for k, x in enumerate(ls) if k in (0, len(ls) - 1) or int(hashlib.md5(x.encode()).hexdigest()[:7], 16) % 3]
+        filled = [k for k, x in enumerate(ls) if x.strip(" \t\r")]
+        at = [k for k in filled if k in (filled[0], filled[-1]) or int(hashlib.md5(ls[k].encode()).hexdigest()[:7], 16) % 3]
         gone = set()
         for a, b in zip(at, at[1:]):
             body = tuple(ls[a : b + 1])
@@ -37,3 +38,31 @@ def test_passages_in_other_surroundings(spark):
     assert touched >= 54 and gone > 0.7
     kept = {x for t in got.values() if t is not None for x in t.split("\n")}
     assert all(x in kept for _, t in rows if t is not None for x in t.split("\n"))  # every line stays somewhere
+
+
+def test_blank_lines(spark):
+    """Paragraph breaks and single paragraphs between blank lines stay; repeated passages with blank lines inside go."""
+    r = random.Random(9)
+    line = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(8))
+    alone = [(1, "head\n\nSame paragraph\n\ntail"), (2, "kopf\n\nSame paragraph\n\nschwanz vier"), (3, "alpha one\n\n\nbeta two"), (4, "gamma three\n\n\ndelta four"), (5, "\n \n\t\r\n"), (6, "\n \n\t\r\n"), (7, "\n\nsame\n\n"), (8, "\n\nsame\n\n")]
+    passage = "\n\n".join(line() for _ in range(8))
+    rows = alone + [(20 + k, f"{line()}\n{line()}\n\n{passage}\n\n{line()}\r\n \n{line()}") for k in range(4)]
+    rows += [(100 + k, "\n".join(r.choice(["", " ", "p", "q", "r s", "t"]) for _ in range(r.randint(0, 12)))) for k in range(80)]
+    got = {x.doc_id: x.text for x in linededup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == plain(rows) and all(got[i] == t for i, t in alone)
+    assert all(len(got[k]) < len(rows[0][1]) + 8 * 40 for k in (21, 22, 23)) and passage in got[20]
+
+
+def test_sql_has_the_same_rule(spark, tmp_path):
+    import duckdb
+
+    r = random.Random(3)
+    rows = [(k, None if k % 9 == 0 else "\n".join(r.choice(["", "\t", "p", "q", "r s", "t", "u v w"]) for _ in range(r.randint(0, 12)))) for k in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["doc_id", "n_lines", "n_removed_chunks", "n_removed_lines", "kept_md5"]
+    want = duck.sql(linededup.OP5_SQL).df()[columns].astype(object)
+    got = linededup.op5_line_dedup(spark, str(tmp_path)).select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted((*r[:4], None if r[4] != r[4] else r[4]) for r in want.itertuples(index=False, name=None))
+    assert sum(r.n_removed_lines for r in got) > 50
