@@ -121,7 +121,7 @@ def _excess(spark, d) -> DataFrame:
     return out.where(ts.stage_label(BOUNDS) == "test").select("date", "config", "excess")
 
 
-_SERIES = f""", {YIELDS}, rates AS (SELECT d.date, coalesce(q.y, 0) / 100 / 252 AS rf FROM days d ASOF LEFT JOIN (SELECT * FROM yields WHERE y IS NOT NULL) q ON d.date > q.obs_date),
+_SERIES = f""", {YIELDS}, rates AS (SELECT d.date, pow(1 + coalesce(q.y, 0) / 100, 1.0 / 252) - 1 AS rf FROM days d ASOF LEFT JOIN (SELECT * FROM yields WHERE y IS NOT NULL) q ON d.date > q.obs_date),
 every AS (SELECT date, asset AS config, exp(ret) - 1 AS net FROM rets UNION ALL SELECT date, 'EVEN', net FROM net),
 excess AS MATERIALIZED (SELECT date, config, net - rf AS x FROM every JOIN rates USING (date) JOIN stages USING (date) WHERE stage = 'test'),
 signs AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {k}, '{c}', {s})" for k, (n, d) in enumerate(_CONTRASTS.items()) for c, s in d.items())}) AS v(contrast, stream, config, sign)),

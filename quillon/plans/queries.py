@@ -176,10 +176,10 @@ def stage_counts(spark, d):
 YIELDS = "yields AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS obs_date, CASE WHEN month(o_orderdate) <> 7 THEN avg(o_totalprice) / 50000 END AS y FROM orders GROUP BY 1, month(o_orderdate))"
 
 
-@query("asof_prior_yield", f", {YIELDS} SELECT d.date, round(q.y, 9) AS yield_pct, round(q.y / 100 / 252, 9) AS rf_daily FROM days d ASOF LEFT JOIN (SELECT * FROM yields WHERE y IS NOT NULL) q ON d.date > q.obs_date")
+@query("asof_prior_yield", f", {YIELDS} SELECT d.date, round(q.y, 9) AS yield_pct, round(pow(1 + q.y / 100, 1.0 / 252) - 1, 9) AS rf_daily FROM days d ASOF LEFT JOIN (SELECT * FROM yields WHERE y IS NOT NULL) q ON d.date > q.obs_date")
 def asof_prior_yield(spark, d):
     out = jo.as_of_prior(_returns(spark, d).select("date").distinct(), pn.risk_free(spark, d), "date", "obs_date", "yield_pct")
-    return out.withColumn("rf_daily", F.col("yield_pct") / 100 / 252)
+    return out.withColumn("rf_daily", pn.daily_rate(F.col("yield_pct")))
 
 
 @query("carry_forward", ", t AS (SELECT date, turnover FROM turns), c AS (SELECT d.date, last_value(turnover IGNORE NULLS) OVER (ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS turnover FROM days d LEFT JOIN t USING (date)) SELECT date, round(turnover, 9) AS turnover FROM c", walk=True)
@@ -373,10 +373,16 @@ def sharpe(spark, d):
     return _net(spark, d).groupBy("stage").agg(ev.sharpe(F.col("net")).alias("sharpe"))
 
 
-@query("excess_sharpe", NET + f", {YIELDS}, x AS (SELECT n.stage, n.net - coalesce(q.y, 0) / 100 / 252 AS e FROM net n ASOF LEFT JOIN (SELECT * FROM yields WHERE y IS NOT NULL) q ON n.date > q.obs_date) SELECT stage, round(avg(e) / stddev_samp(e) * sqrt(252), 9) AS sharpe FROM x GROUP BY stage", walk=True)
+def daily_rates(spark, d, days: DataFrame) -> DataFrame:
+    """date, rf_daily of the days; 0 before the first yield."""
+    return pn.risk_free_daily(days, pn.risk_free(spark, d), strict=False).select("date", "rf_daily")
+
+
+@query("excess_sharpe", NET + f", {YIELDS}, x AS (SELECT n.stage, n.net - pow(1 + coalesce(q.y, 0) / 100, 1.0 / 252) + 1 AS e FROM net n ASOF LEFT JOIN (SELECT * FROM yields WHERE y IS NOT NULL) q ON n.date > q.obs_date) SELECT stage, round(avg(e) / stddev_samp(e) * sqrt(252), 9) AS sharpe FROM x GROUP BY stage", walk=True)
 def excess_sharpe(spark, d):
-    x = jo.as_of_prior(_net(spark, d), pn.risk_free(spark, d), "date", "obs_date", "yield_pct")
-    return x.groupBy("stage").agg(ev.sharpe(F.col("net") - F.coalesce("yield_pct", F.lit(0.0)) / 100 / 252).alias("sharpe"))
+    net = _net(spark, d)
+    rated = net.join(daily_rates(spark, d, net), "date")
+    return rated.groupBy("stage").agg(ev.sharpe(F.col("net") - F.col("rf_daily")).alias("sharpe"))
 
 
 @query("cagr", NET + " SELECT stage, round(exp(sum(ln(1 + net)) * 252 / count(*)) - 1, 9) AS cagr FROM net GROUP BY stage", walk=True)
@@ -561,12 +567,6 @@ def lstm_walk(spark, d):
     return ev.performance(wf.run(rows, {"lstm": options}, "returns"), ["scenario", "config"])
 
 
-def daily_rates(spark, d, r: DataFrame) -> DataFrame:
-    """date, rf_daily: the last yield before each day, 0 before the first."""
-    y = jo.as_of_prior(r.select("date").distinct(), pn.risk_free(spark, d), "date", "obs_date", "yield_pct")
-    return y.select("date", (F.coalesce("yield_pct", F.lit(0.0)) / 100 / 252).alias("rf_daily"))
-
-
 def _walked(spark, d, scenarios: dict[str, wf.Options]) -> tuple[DataFrame, DataFrame]:
     """(all tables of the trained walks; daily returns with net and excess ones and their stage)."""
     r = _lstm_returns(spark, d)

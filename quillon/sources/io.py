@@ -12,7 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyspark
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 TRIALS = "trial_id int, category string, description string, values_evaluated string, selection_criterion string, selected_value string, counts_toward_dsr_trials string, notes string"
@@ -98,6 +98,28 @@ def require(df: DataFrame, **conditions: F.Column) -> DataFrame:
     return df
 
 
+def checked_write(df: DataFrame, path: str, form: str = "parquet", **conditions: F.Column) -> DataFrame:
+    """Writes and checks in the same job: aggregates are observed while the rows pass. The table, read again, if all conditions hold; else
+    an error with the names of those that don't, and nothing is left at ``path``, which must not exist yet.
+
+    The rows go to a folder beside it, which takes its name after the check.
+    """
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, aside = place.getFileSystem(spark._jsc.hadoopConfiguration()), f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    if files.exists(place):
+        raise FileExistsError(path)
+    seen = Observation()
+    df.observe(seen, *(c.alias(n) for n, c in conditions.items())).write.option("header", True).format(form).save(aside)
+    here = spark._jvm.org.apache.hadoop.fs.Path(aside)
+    if failed := [n for n, ok in seen.get.items() if not ok]:
+        files.delete(here, True)
+        raise ValueError(f"failed: {', '.join(sorted(failed))}")
+    if not files.rename(here, place):
+        raise FileExistsError(path)
+    return spark.read.schema(df.schema).option("header", True).format(form).load(path)
+
+
 def write_new(df: DataFrame, path: str, by: list[str] | None = None, form: str = "csv") -> None:
     """Writes to a folder that must not exist yet."""
     writer = df.write.mode("errorifexists").option("header", True)

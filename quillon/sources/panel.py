@@ -118,6 +118,18 @@ def read_risk_free(spark: SparkSession, path: str, dates: DataFrame) -> DataFram
     return jo.require_matched(jo.one_to_one_left(dates.select("date").distinct(), table.select("date", "rf_daily"), ["date"]), "rf_daily")
 
 
+def daily_rate(yield_pct: F.Column, periods: int = 252) -> F.Column:
+    """A year's yield in percent as the rate of one day, which compounds to it."""
+    return F.pow(1 + yield_pct / 100, F.lit(1.0 / periods)) - 1
+
+
+def risk_free_daily(dates: DataFrame, yields: DataFrame, strict: bool = True) -> DataFrame:
+    """date, yield_pct_prior, rf_daily: the last yield observed before each day. Days before the first one fail the job, or have a rate of 0 if not ``strict``."""
+    out = jo.as_of_prior(dates.select("date").distinct(), yields, "date", "obs_date", "yield_pct").withColumnRenamed("yield_pct", "yield_pct_prior")
+    rated = out.withColumn("rf_daily", daily_rate(F.col("yield_pct_prior")))
+    return jo.require_matched(rated, "rf_daily") if strict else rated.withColumn("rf_daily", F.coalesce("rf_daily", F.lit(0.0)))
+
+
 def risk_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly yields in percent from order values: (obs_date, yield_pct), some months without a value."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
