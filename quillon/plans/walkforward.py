@@ -7,7 +7,7 @@ few assets, so it fits a task by nature; seeds, universes and options multiply s
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -113,7 +113,7 @@ class Walk:
     caller that keeps them elsewhere takes new ones from ``fresh`` and, at the first fit, all from ``rewritten``.
     """
 
-    def __init__(self, o: Options, past: Callable[[], list[Day]] = list):
+    def __init__(self, o: Options, past: Callable[[], list[Day]] = list, nets: dict[str, BudgetLstm] | None = None):
         self.o, self._past, self.fresh, self.rewritten = o, past, [], False
         self.last, self.seen, self.count, self.refits, self.ell = "", 0, 0, 1, 0.0
         self.state: np.ndarray | None = None
@@ -121,7 +121,7 @@ class Walk:
         self.reference: hmm.Regimes | None = None
         self.held: dict[str, np.ndarray] = {}
         self.pending: dict[str, np.ndarray] = {}
-        self.nets: dict[str, BudgetLstm] = {}
+        self.nets: dict[str, BudgetLstm] = nets or {}
 
     def names(self) -> list[str]:
         names = ["erc_baseline", "erc_regime", "erc_blend", "equal_weight"]
@@ -141,7 +141,7 @@ class Walk:
         if o.lstm_epochs:
             for d, ahead in zip(days, probs @ self.signals.regimes.step):
                 d.ahead = ahead
-            self.nets = _networks(days, o)
+            self.nets = self.nets or _networks(days, o)
 
     def step(self, day, r: np.ndarray, decides: bool, co: np.ndarray | None = None, oc: np.ndarray | None = None, features: np.ndarray | None = None) -> dict[str, list[tuple]]:
         """The day's rows of all tables."""
@@ -227,12 +227,17 @@ class Walk:
         return [(c, target[c], base) for c in self.names()]
 
 
-def walk(dates: np.ndarray, x: np.ndarray, o: Options, co: np.ndarray | None = None, oc: np.ndarray | None = None, features: np.ndarray | None = None) -> dict[str, pd.DataFrame]:
-    """All tables of a walk over whole series. The networks read ``features`` (a row a day, not finite where there is none), or without
-    them the day's returns in per cent."""
+def month_ends(dates: np.ndarray) -> np.ndarray:
+    """Whether a day is the last of its month; the last day counts as one."""
     months = pd.PeriodIndex(pd.to_datetime(dates), freq="M")
-    decides = np.append(months[1:] != months[:-1], True)
-    one, out = Walk(o), {k: [] for k in TABLES}
+    return np.append(months[1:] != months[:-1], True)
+
+
+def walk(dates: np.ndarray, x: np.ndarray, o: Options, co: np.ndarray | None = None, oc: np.ndarray | None = None, features: np.ndarray | None = None, nets: dict[str, BudgetLstm] | None = None) -> dict[str, pd.DataFrame]:
+    """All tables of a walk over whole series. The networks read ``features`` (a row a day, not finite where there is none), or without
+    them the day's returns in per cent; ``nets`` are trained ones."""
+    decides = month_ends(dates)
+    one, out = Walk(o, nets=nets), {k: [] for k in TABLES}
     legs = (co, oc) if co is not None and oc is not None else None
     for k, day in enumerate(dates):
         rows = one.step(day, x[k], bool(decides[k]), *((legs[0][k], legs[1][k]) if legs else (None, None)), None if features is None else features[k])
@@ -247,9 +252,12 @@ def training_windows(inputs: np.ndarray, decides: np.ndarray, days: int, length:
     return [(a, b) for a, b in zip(at, at[1:]) if a + 1 >= max(length, cov_window) and np.isfinite(inputs[a + 1 - length : a + 1]).all()]
 
 
-def _networks(days: list[Day], o: Options, old: dict | None = None) -> dict[str, BudgetLstm]:
-    """Both allocators trained on ``days``; the old ones go on from their weights."""
-    x, inputs, ahead = (np.stack([getattr(d, f) for d in days]) for f in ("ret", "features", "ahead"))
+KINDS = ("baseline", "regime")
+
+
+def network(days: list[Day], o: Options, kind: str, old: BudgetLstm | None = None) -> BudgetLstm:
+    """One allocator trained on ``days``; an old one goes on from its weights."""
+    x, inputs = (np.stack([getattr(d, f) for d in days]) for f in ("ret", "features"))
     n = x.shape[1]
     # whether the last day decides is no matter: a pair needs a later decision
     pairs = training_windows(inputs, np.array([d.decides for d in days]), len(x), o.lstm_seq_len, o.lstm_cov_window)
@@ -257,13 +265,27 @@ def _networks(days: list[Day], o: Options, old: dict | None = None) -> dict[str,
         raise ValueError("too few decisions to train on")
     covs = np.stack([al.shrink(np.cov(x[a + 1 - o.lstm_cov_window : a + 1].T), o.shrinkage) for a, _ in pairs])
     forward = np.stack([np.exp(x[a + 1 : b + 1].sum(axis=0)) for a, b in pairs])
-    nets = {}
-    for kind in ("baseline", "regime"):
-        data = inputs if kind == "baseline" else np.hstack([inputs, ahead])
-        windows = np.stack([data[a + 1 - o.lstm_seq_len : a + 1] for a, _ in pairs])
-        nets[kind] = (old or {}).get(kind) or BudgetLstm(data.shape[1], n, floor=0.5 / n, seed=o.seed)
-        train(nets[kind], windows, covs, forward, o.lstm_retrain_n_epochs if old else o.lstm_epochs, penalty=o.lstm_turnover_penalty)
-    return nets
+    data = inputs if kind == "baseline" else np.hstack([inputs, np.stack([d.ahead for d in days])])
+    windows = np.stack([data[a + 1 - o.lstm_seq_len : a + 1] for a, _ in pairs])
+    net = old or BudgetLstm(data.shape[1], n, floor=0.5 / n, seed=o.seed)
+    train(net, windows, covs, forward, o.lstm_retrain_n_epochs if old else o.lstm_epochs, penalty=o.lstm_turnover_penalty)
+    return net
+
+
+def _networks(days: list[Day], o: Options, old: dict | None = None) -> dict[str, BudgetLstm]:
+    return {kind: network(days, o, kind, (old or {}).get(kind)) for kind in KINDS}
+
+
+def first_network(x: np.ndarray, decides: np.ndarray, features: np.ndarray | None, o: Options, kind: str) -> BudgetLstm:
+    """The allocator that a walk would train before its first day."""
+    one = Walk(replace(o, lstm_epochs=0))
+    for k in range(o.initial_window):
+        one.step(k, x[k], bool(decides[k]))
+    days = one.fresh
+    signals, probs = _estimate(x[: o.initial_window], o, None, None, o.first_n_iter, o.seed, None)
+    for k, (d, ahead) in enumerate(zip(days, probs @ signals.regimes.step)):
+        d.features, d.ahead = (100 * x[k] if features is None else features[k]), ahead
+    return network(days, o, kind)
 
 
 #: All tables in one: a row has the columns of its ``table``, others are null.
@@ -274,23 +296,32 @@ def columns_of(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
+def dense(pdf: pd.DataFrame, next_open: bool) -> tuple:
+    """(dates, returns, overnight, intraday, features) of one scenario's long rows; the last three are None where there are none."""
+    pdf = pdf.sort_values(["date", "asset"])
+    wide = {v: pdf.pivot(index="date", columns="asset", values=v) for v in ("ret", "overnight", "intraday")}
+    legs = (wide["overnight"].to_numpy(), wide["intraday"].to_numpy()) if next_open else (None, None)
+    features = None
+    if "features" in pdf.columns:
+        found = pdf.drop_duplicates("date").set_index("date")["features"].reindex(wide["ret"].index)
+        length = next(len(v) for v in found if v is not None)
+        features = np.stack([np.full(length, np.nan) if v is None else np.asarray(v, float) for v in found])
+    return wide["ret"].index.to_numpy(), wide["ret"].to_numpy(), *legs, features
+
+
+def all_rows(tables: dict[str, pd.DataFrame]) -> pd.DataFrame:
+    out = [{**dict.fromkeys(columns_of(ALL)), "table": t, **r} for t, f in tables.items() for r in f.to_dict("records")]
+    return pd.DataFrame(out, columns=columns_of(ALL), dtype=object)
+
+
 def run_all(returns: DataFrame, scenarios: dict[str, Options], next_open: bool = True) -> DataFrame:
     """scenario and ``ALL``: every table of all scenarios' walks; ``returns`` (scenario, date, asset, ret, overnight, intraday) is grouped by scenario.
     A column ``features`` (the same array for all assets of a day, null before the first) is what the networks read."""
     options = {k: asdict(v) for k, v in scenarios.items()}
 
     def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["date", "asset"])
-        wide = {v: pdf.pivot(index="date", columns="asset", values=v) for v in ("ret", "overnight", "intraday")}
-        dates = wide["ret"].index.to_numpy()
-        legs = (wide["overnight"].to_numpy(), wide["intraday"].to_numpy()) if next_open else (None, None)
-        features = None
-        if "features" in pdf.columns:
-            found = pdf.drop_duplicates("date").set_index("date")["features"].reindex(wide["ret"].index)
-            length = next(len(v) for v in found if v is not None)
-            features = np.stack([np.full(length, np.nan) if v is None else np.asarray(v, float) for v in found])
-        out = [{**dict.fromkeys(columns_of(ALL)), "table": t, **r} for t, f in walk(dates, wide["ret"].to_numpy(), from_dict(options[key[0]]), *legs, features).items() for r in f.to_dict("records")]
-        return pd.DataFrame(out, columns=columns_of(ALL), dtype=object).assign(scenario=key[0])
+        dates, x, *rest = dense(pdf, next_open)
+        return all_rows(walk(dates, x, from_dict(options[key[0]]), *rest)).assign(scenario=key[0])
 
     return returns.groupBy("scenario").applyInPandas(fold, f"{ALL}, scenario string").select("scenario", *columns_of(ALL))
 
