@@ -5,22 +5,30 @@ Importing this module adds them to ``queries.QUERIES`` and ``queries.ORACLES``.
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import allocation as al
 from ..operators import allocation as oa
 from ..operators import bootstrap as bs
+from ..operators import densities as dn
+from ..operators import evaluation as ev
 from ..operators import portfolio as pf
 from ..operators import regimes as rg
 from ..operators import timeseries as ts
 from ..sources import io
+from ..streaming import walk as sw
 from . import equal_weight as ew
+from . import seeds
 from . import studies as st
-from .queries import ASSETS, BASE, BOUNDS, NET, PAIRS, WALK, YIELDS, _returns, daily_rates, query
+from . import walkforward as wf
+from .queries import ASSETS, BASE, BOUNDS, NET, ORACLES, PAIRS, WALK, YIELDS, _lstm_returns, _returns, daily_rates, query
 
 #: Three regimes from which the fits of pairs start: returns in per cent, no correlation.
-_START, _STAY, _SPREADS = [1 / 3] * 3, 0.9, [0.2, 1.0, 4.0]
+_STAY, _SPREADS = 0.9, [0.2, 1.0, 4.0, 9.0]
 
 
 def _pair_series(spark, d) -> DataFrame:
@@ -29,21 +37,22 @@ def _pair_series(spark, d) -> DataFrame:
     return p.withColumn("t", F.row_number().over(Window.partitionBy("pair").orderBy("date")).cast("bigint"))
 
 
-def _pair_models(series: DataFrame) -> DataFrame:
-    step = [_STAY if i == j else (1 - _STAY) / 2 for i in range(3) for j in range(3)]
-    covs = [v if i == j else 0.0 for v in _SPREADS for i in range(2) for j in range(2)]
-    arrays = {"start": _START, "step": step, "means": [0.0] * 6, "covs": covs}
+def _pair_models(series: DataFrame, states: int = 3) -> DataFrame:
+    step = [_STAY if i == j else (1 - _STAY) / (states - 1) for i in range(states) for j in range(states)]
+    covs = [v if i == j else 0.0 for v in _SPREADS[:states] for i in range(2) for j in range(2)]
+    arrays = {"start": [1 / states] * states, "step": step, "means": [0.0] * (2 * states), "covs": covs}
     return series.select("pair").distinct().select("pair", *(F.array(*map(F.lit, v)).alias(k) for k, v in arrays.items()))
 
 
-def _em_sql(rounds: int) -> str:
+def _em_sql(rounds: int, states: int = 3) -> str:
     """CTEs xs, m0 ... m<rounds> (a row of parameters a pair) and, for each round, densities e, filter f, smoother y.
 
     Every step is a row of a recursive query; 2 x 2 inverses are written out.
     """
-    ks = range(3)
+    ks = range(states)
+    spreads = _SPREADS[:states]
     cols = [f"p{k}" for k in ks] + [f"a{i}{j}" for i in ks for j in ks] + [f"u{k}{f}" for k in ks for f in (0, 1)] + [f"v{k}{fg}" for k in ks for fg in ("00", "01", "11")]
-    first = [1 / 3] * 3 + [_STAY if i == j else (1 - _STAY) / 2 for i in ks for j in ks] + [0.0] * 6 + [x for v in _SPREADS for x in (v, 0.0, v)]
+    first = [1 / states] * states + [_STAY if i == j else (1 - _STAY) / (states - 1) for i in ks for j in ks] + [0.0] * (2 * states) + [x for v in spreads for x in (v, 0.0, v)]
     out = [
         "xs AS MATERIALIZED (SELECT a || '/' || b AS s, date, row_number() OVER (PARTITION BY a, b ORDER BY date) AS t, 100 * x AS x, 100 * y AS y FROM pairs WHERE a < b)",
         "lens AS MATERIALIZED (SELECT s, max(t) AS n FROM xs GROUP BY s)",
@@ -58,12 +67,12 @@ def _em_sql(rounds: int) -> str:
         steps = [f"a{i}{j}" for i in ks for j in ks]
         out.append(f"e{r} AS MATERIALIZED (SELECT s, t, x, y, {', '.join(dens + steps)} FROM xs JOIN m{r} USING (s))")
         into = [f"({' + '.join(f'f.g{i} * e.a{i}{k}' for i in ks)}) * e.b{k} AS n{k}" for k in ks]
-        total = "(n0 + n1 + n2)"
+        total = f"({' + '.join(f'n{k}' for k in ks)})"
         norm = ", ".join(f"n{k} / {total} AS g{k}" for k in ks)
         out.append(f"f{r} AS (SELECT s, t, {norm}, {total} AS c FROM (SELECT e.s, e.t, {', '.join(f'p{k} * b{k} AS n{k}' for k in ks)} FROM e{r} e JOIN m{r} USING (s) WHERE t = 1) UNION ALL SELECT s, t, {norm}, {total} FROM (SELECT e.s, e.t, {', '.join(into)} FROM f{r} f JOIN e{r} e ON e.s = f.s AND e.t = f.t + 1))")
         back = ", ".join(f"({' + '.join(f'h.a{i}{j} * h.b{j} * z.z{j}' for j in ks)}) / h.c AS z{i}" for i in ks)
         out.append(f"h{r} AS MATERIALIZED (SELECT * FROM e{r} JOIN f{r} USING (s, t))")
-        out.append(f"z{r} AS (SELECT s, n AS t, 1.0::DOUBLE AS z0, 1.0::DOUBLE AS z1, 1.0::DOUBLE AS z2 FROM lens UNION ALL SELECT h.s, h.t - 1, {back} FROM z{r} z JOIN h{r} h ON h.s = z.s AND h.t = z.t WHERE h.t > 1)")
+        out.append(f"z{r} AS (SELECT s, n AS t, {', '.join(f'1.0::DOUBLE AS z{k}' for k in ks)} FROM lens UNION ALL SELECT h.s, h.t - 1, {back} FROM z{r} z JOIN h{r} h ON h.s = z.s AND h.t = z.t WHERE h.t > 1)")
         weight = " + ".join(f"g{k} * z{k}" for k in ks)
         out.append(f"y{r} AS MATERIALIZED (SELECT *, {', '.join(f'g{k} * z{k} / ({weight}) AS w{k}' for k in ks)} FROM h{r} JOIN z{r} USING (s, t))")
         moves = ", ".join(f"sum(p.g{i} * n.a{i}{j} * n.b{j} * n.z{j} / n.c) AS q{i}{j}" for i in ks for j in ks)
@@ -74,8 +83,8 @@ def _em_sql(rounds: int) -> str:
         covs = ", ".join(f"sum(w{k} * ({xy[fg[0]]} - n{k}{fg[0]}) * ({xy[fg[1]]} - n{k}{fg[1]})) / sum(w{k}){' + 1e-6' if fg != '01' else ''} AS v{k}{fg}" for k in ks for fg in ("00", "01", "11"))
         starts = ", ".join(f"max(w{k}) FILTER (t = 1) AS p{k}" for k in ks)
         out.append(f"d{r} AS MATERIALIZED (SELECT s, {covs}, {starts}, sum(ln(c)) AS ll FROM y{r} JOIN c{r} USING (s) GROUP BY s)")
-        rows = ", ".join(f"q{i}{j} / (q{i}0 + q{i}1 + q{i}2) AS a{i}{j}" for i in ks for j in ks)
-        out.append(f"m{r + 1} AS MATERIALIZED (SELECT s, p0, p1, p2, {rows}, {', '.join(f'n{k}{f} AS u{k}{f}' for k in ks for f in (0, 1))}, {', '.join(f'v{k}{fg}' for k in ks for fg in ('00', '01', '11'))}, ll, n FROM k{r} JOIN c{r} USING (s) JOIN d{r} USING (s) JOIN lens USING (s))")
+        rows = ", ".join(f"q{i}{j} / ({' + '.join(f'q{i}{k}' for k in ks)}) AS a{i}{j}" for i in ks for j in ks)
+        out.append(f"m{r + 1} AS MATERIALIZED (SELECT s, {', '.join(f'p{k}' for k in ks)}, {rows}, {', '.join(f'n{k}{f} AS u{k}{f}' for k in ks for f in (0, 1))}, {', '.join(f'v{k}{fg}' for k in ks for fg in ('00', '01', '11'))}, ll, n FROM k{r} JOIN c{r} USING (s) JOIN d{r} USING (s) JOIN lens USING (s))")
     return f"WITH RECURSIVE {BASE}{PAIRS}, " + ", ".join(out)
 
 
@@ -85,19 +94,19 @@ _STATES = " UNION ALL ".join(f"SELECT s AS pair, {k} AS state, round(p{k}, 7) AS
 @query("regime_fits_by_pair", f"{_em_sql(2)} {_STATES}")
 def regime_fits_by_pair(spark, d):
     """Two rounds of EM with three states for every pair of assets, in blocks of 100 days."""
-    x = _pair_series(spark, d)
+    x = io.staged(_pair_series(spark, d), "pairs")
     fits = rg.fit(x, _pair_models(x), ["pair"], rounds=2, block=100)
     at = lambda c, i: F.round(F.expr(f"{c}[{i}]"), 7)
     rows = fits.withColumn("state", F.explode(F.array(*map(F.lit, range(3)))))
     return rows.select("pair", "state", at("start", "state").alias("start"), at("step", "4 * state").alias("stay"), at("means", "2 * state").alias("mean_a"), at("means", "2 * state + 1").alias("mean_b"), at("covs", "4 * state").alias("var_a"), at("covs", "4 * state + 1").alias("cov"), at("covs", "4 * state + 3").alias("var_b"), F.round("loglik", 5).alias("loglik"), F.round("bic", 5).alias("bic"))
 
 
-@query("regime_paths_by_pair", f"{_em_sql(1)} SELECT s AS pair, date, round(g0, 8) AS calm, round(g2, 8) AS wild, round(w0, 8) AS calm_in_hindsight, round(w2, 8) AS wild_in_hindsight FROM y0 JOIN xs USING (s, t)")
+@query("regime_paths_by_pair", f"{_em_sql(1)} SELECT s AS pair, date, round(g0, 7) AS calm, round(g2, 7) AS wild, round(w0, 7) AS calm_in_hindsight, round(w2, 7) AS wild_in_hindsight FROM y0 JOIN xs USING (s, t)")
 def regime_paths_by_pair(spark, d):
     """Filtered and smoothed probabilities of three given regimes for every pair and day, in blocks of 64 days."""
     x = _pair_series(spark, d)
     p = rg.probabilities(x.select("pair", "t", "x"), _pair_models(x), ["pair"], block=64)
-    at = lambda c, i: F.round(F.col(c)[i], 8)
+    at = lambda c, i: F.round(F.col(c)[i], 7)
     return p.join(x.select("pair", "t", "date"), ["pair", "t"]).select("pair", "date", at("filtered", 0).alias("calm"), at("filtered", 2).alias("wild"), at("smoothed", 0).alias("calm_in_hindsight"), at("smoothed", 2).alias("wild_in_hindsight"))
 
 
@@ -278,3 +287,118 @@ def solver_audit(spark, d):
     n = len(ASSETS)
     error = lambda solver: pf.risk_budget_weights(whole, ["date"], solver).groupBy("date").agg(F.sum((F.col("share") - 1 / n) ** 2).alias(f"{solver}_error"), F.max("weight").alias(f"{solver}_largest"))
     return error("squared").join(error("exact"), "date").join(best.select("date", "start", F.col("error").alias("feasible_error")), "date")
+
+
+def _counted(k: int) -> str:
+    return f"{_em_sql(2, k)} SELECT s AS pair, {k} AS states, round(ll, 5) AS loglik, round(-2 * ll + {2 * k + 3 * k + k * (k - 1) + k - 1} * ln(n), 5) AS bic FROM m2"
+
+
+@query("regime_state_counts", f"WITH two AS ({_counted(2)}), three AS ({_counted(3)}), four AS ({_counted(4)}) SELECT * FROM two UNION ALL SELECT * FROM three UNION ALL SELECT * FROM four")
+def regime_state_counts(spark, d):
+    """Information criteria of two, three and four regimes for every pair, two rounds each."""
+    x = io.staged(_pair_series(spark, d), "pairs")
+    fits = [rg.fit(x, _pair_models(x, k), ["pair"], rounds=2, block=300).withColumn("states", F.lit(k)) for k in (2, 3, 4)]
+    return io.union_all(fits).select("pair", "states", F.round("loglik", 5).alias("loglik"), F.round("bic", 5).alias("bic"))
+
+
+_T2 = "lgamma(({v} + 2) / 2) - lgamma({v} / 2) - ln({v} * pi()) - 0.5 * ln(({a} + 1e-6) * ({c} + 1e-6) - {b} ** 2) - ln(({v} - 2) / {v}) - ({v} + 2) / 2 * ln(1 + (({c} + 1e-6) * (x - {m}) ** 2 - 2 * {b} * (x - {m}) * (y - {n}) + ({a} + 1e-6) * (y - {n}) ** 2) / (({a} + 1e-6) * ({c} + 1e-6) - {b} ** 2) / ({v} - 2))"
+_T1 = "lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * ln(nu * pi()) - (nu + 1) / 2 * ln(1 + z * z / nu)"
+_DENSITIES = f"""{_em_sql(1)}, zs AS (SELECT s, t, unnest([(x - avg(x) OVER w) / stddev_pop(x) OVER w, (y - avg(y) OVER w) / stddev_pop(y) OVER w]) AS z FROM xs WINDOW w AS (PARTITION BY s)),
+nus AS (SELECT unnest(list_concat(list_transform(range(0, 15), lambda k: 2.5 + 0.5 * k), list_transform(range(0, 11), lambda k: 10.0 + 2 * k)))::DOUBLE AS nu),
+liks AS MATERIALIZED (SELECT s, nu, sum(l) AS l, {", ".join(f"sum(g{k} * l) AS l{k}" for k in range(3))} FROM (SELECT s, t, nu, {_T1} AS l FROM zs CROSS JOIN nus) JOIN f0 USING (s, t) GROUP BY s, nu),
+best AS MATERIALIZED (SELECT s, arg_max(nu, l) AS nu, {", ".join(f"arg_max(nu, l{k}) AS nu{k}" for k in range(3))} FROM liks GROUP BY s),
+days2 AS MATERIALIZED (SELECT s, t, date, x, y, {", ".join(f"g{k}" for k in range(3))}, {", ".join(f"{' + '.join(f'a{i}{k} * lag(g{i}) OVER w' for i in range(3))} AS q{k}" for k in range(3))} FROM xs JOIN f0 USING (s, t) JOIN m0 USING (s) WINDOW w AS (PARTITION BY s ORDER BY t)),
+firsts AS MATERIALIZED (SELECT s, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS vxy, {", ".join(f"sum(g{k} * x) / sum(g{k}) AS mx{k}, sum(g{k} * y) / sum(g{k}) AS my{k}" for k in range(3))} FROM days2 GROUP BY s),
+seconds AS MATERIALIZED (SELECT s, {", ".join(f"sum(g{k} * (x - mx{k}) ** 2) / sum(g{k}) AS vx{k}, sum(g{k} * (y - my{k}) ** 2) / sum(g{k}) AS vy{k}, sum(g{k} * (x - mx{k}) * (y - my{k})) / sum(g{k}) AS vxy{k}" for k in range(3))} FROM days2 JOIN firsts USING (s) GROUP BY s)"""
+
+
+def _densities(spark, d) -> tuple[DataFrame, ...]:
+    """(observations, filtered paths, pooled models, states' models) of every pair, filtered by the three regimes that fits start from."""
+    x = io.staged(_pair_series(spark, d), "pairs")
+    paths = io.staged(rg.probabilities(x.select("pair", "t", "x"), _pair_models(x), ["pair"], block=200).drop("smoothed"), "paths")
+    z = dn.residuals(x, ["pair"])
+    pooled = dn.models(dn.moments(x, ["pair"], 2), dn.degrees_of_freedom(z, ["pair"]), ["pair"])
+    nus = dn.degrees_of_freedom(dn.state_rows(z, paths, ["pair"]), ["pair", "state"], "p")
+    states = dn.models(dn.moments(dn.state_rows(x.select("pair", "t", "x"), paths, ["pair"]), ["pair", "state"], 2, "p"), nus, ["pair", "state"])
+    return x, paths, io.staged(pooled, "pooled"), io.staged(states, "states")
+
+
+@query("density_models_by_pair", f"{_DENSITIES} " + " UNION ALL ".join(f"SELECT s AS pair, {k} AS state, nu{k} AS nu, round(mx{k}, 8) AS mean_a, round(vx{k} + 1e-6, 8) AS var_a, round(vxy{k}, 8) AS cov, round(vy{k} + 1e-6, 8) AS var_b FROM best JOIN firsts USING (s) JOIN seconds USING (s)" for k in range(3)) + " UNION ALL SELECT s, -1, nu, round(mx, 8), round(vx + 1e-6, 8), round(vxy, 8), round(vy + 1e-6, 8) FROM best JOIN firsts USING (s)")
+def density_models_by_pair(spark, d):
+    """Degrees of freedom, means and implied covariances of every pair: pooled (state -1) and by regime."""
+    _, _, pooled, states = _densities(spark, d)
+    rows = pooled.withColumn("state", F.lit(-1)).unionByName(states)
+    return rows.select("pair", "state", "nu", F.round(F.col("mean")[0], 8).alias("mean_a"), *(F.round(F.col("implied")[i], 8).alias(n) for i, n in ((0, "var_a"), (1, "cov"), (3, "var_b"))))
+
+
+@query("density_scores_by_pair", f"{_DENSITIES}, l AS (SELECT s, date, {_T2.format(v='nu', m='mx', n='my', a='vx', b='vxy', c='vy')} AS pooled, {', '.join(f'coalesce(q{k}, 1.0 / 3) AS q{k}' for k in range(3))}, {', '.join(_T2.format(v=f'nu{k}', m=f'mx{k}', n=f'my{k}', a=f'vx{k}', b=f'vxy{k}', c=f'vy{k}') + f' AS l{k}' for k in range(3))} FROM days2 JOIN best USING (s) JOIN firsts USING (s) JOIN seconds USING (s)) SELECT s AS pair, date, round(pooled, 5) AS pooled, round(ln(greatest(q0 * exp(l0) + q1 * exp(l1) + q2 * exp(l2), 1e-300)), 5) AS mixed FROM l")
+def density_scores_by_pair(spark, d):
+    """Log scores of every pair and day: one Student t, and regimes' densities weighted by yesterday's forecast."""
+    x, paths, pooled, states = _densities(spark, d)
+    step = np.full((3, 3), (1 - _STAY) / 2) + (_STAY - (1 - _STAY) / 2) * np.eye(3)
+    before = F.lag("filtered").over(Window.partitionBy("pair").orderBy("t"))
+    ahead = F.array(*(sum((F.col("_b")[i] * float(step[i, k]) for i in range(3)), F.lit(0.0)) for k in range(3)))
+    first = F.array(*[F.lit(1 / 3)] * 3)
+    forecasts = paths.withColumn("_b", before).select("pair", "t", F.when(F.col("_b").isNull(), first).otherwise(ahead).alias("ahead"))
+    out = dn.scores(x.select("pair", "t", "x"), forecasts, pooled, states, ["pair"]).join(x.select("pair", "t", "date"), ["pair", "t"])
+    return out.select("pair", "date", F.round("pooled", 5).alias("pooled"), F.round("mixed", 5).alias("mixed"))
+
+
+def _phi(x: str) -> str:
+    """The normal distribution function as its power series; beyond 8 it is 0 or 1."""
+    series = f"list_sum(list_transform(range(0, 200), lambda i: exp((2 * i + 1) * ln(abs({x})) - (i + 1) * ln(2) - lgamma(i + 1.5) + 0.5 * ln(pi()))))"
+    return f"(CASE WHEN {x} > 8 THEN 1 WHEN {x} < -8 THEN 0 WHEN {x} = 0 THEN 0.5 ELSE 0.5 + sign({x}) * exp(-0.5 * {x} * {x}) / sqrt(2 * pi()) * {series} END)"
+
+
+#: Quantiles by bisection and the moments of the largest of k normals by Simpson's rule, for the numbers of trials in ``ks``.
+_LARGEST = f"""halvings AS (SELECT list_prepend(-8.0::DOUBLE, list_transform(range(1, 56), lambda k: 16.0 / 2 ** k)) AS h),
+quants AS MATERIALIZED (SELECT trials, p, list_reduce(h, lambda x, w: CASE WHEN {_phi('(x + w)')} < p THEN x + w ELSE x END) AS q FROM (SELECT trials, unnest([1 - 1.0 / trials, 1 - 1.0 / (trials * exp(1))]) AS p FROM ks WHERE trials > 1) CROSS JOIN halvings),
+tops AS (SELECT ks.trials, coalesce((1 - 0.5772156649015329) * min(q) + 0.5772156649015329 * max(q), 0) AS top FROM ks LEFT JOIN quants USING (trials) GROUP BY ks.trials),
+nodes AS MATERIALIZED (SELECT z, CASE WHEN i IN (0, 2400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * 0.01 / 3 AS w, {_phi('z')} AS c FROM (SELECT i, (i - 1200) / 100.0 AS z FROM range(2401) AS r(i))),
+largest AS MATERIALIZED (SELECT trials, sum(w * z * f) AS mean, sqrt(sum(w * z * z * f) - sum(w * z * f) ** 2) AS sd FROM (SELECT trials, z, w, trials * exp(-0.5 * z * z) / sqrt(2 * pi()) * c ** (trials - 1) AS f FROM ks CROSS JOIN nodes) GROUP BY trials),
+scored AS (SELECT *, (sr - sqrt(variance) * top) * sqrt(n - 1) / sqrt(spread) AS a, (sr - sqrt(variance) * mean) / sqrt(variance * sd * sd + spread / (n - 1)) AS b FROM (SELECT *, 1 - skew * sr + (kurt - 1) / 4 * sr * sr AS spread FROM asked) JOIN tops USING (trials) JOIN largest USING (trials)),
+probs AS (SELECT *, round({_phi('a')}, 9) AS dsr_l, round({_phi('b')}, 9) AS dsr_ls_gaussian, round(exp(-exp(-(b * pi() / sqrt(6) + 0.5772156649015329))), 9) AS dsr_ls_gumbel FROM scored)"""
+_MOMENTS = "count({v}) AS n, avg({v}) / stddev_samp({v}) AS sr, avg(power({v} - m, 3)) / power(avg(power({v} - m, 2)), 1.5) AS skew, avg(power({v} - m, 4)) / power(avg(power({v} - m, 2)), 2) AS kurt"
+
+ORACLES["scenario_grid"] = f"""WITH {BASE}{WALK}{NET}, base AS (SELECT stage, {_MOMENTS.format(v='net')} FROM (SELECT *, avg(net) OVER (PARTITION BY stage) AS m FROM net) GROUP BY stage),
+ks AS (SELECT unnest([3, 7, 9]) AS trials), asked AS (SELECT * FROM base CROSS JOIN ks CROSS JOIN (SELECT unnest([0.0001, 0.001, 0.01])::DOUBLE AS variance)), {_LARGEST}
+SELECT stage, round(sr, 9) AS sr, variance, trials, dsr_l, dsr_ls_gaussian, dsr_ls_gumbel FROM probs""".replace("base AS (SELECT stage,", "stats AS (SELECT stage,").replace("FROM base CROSS JOIN ks", "FROM stats CROSS JOIN ks")
+ORACLES["sensitivity_grid"] = f"""{ORACLES['search_scenarios'].replace('SELECT ' + "'variance' AS kind", ", scenarios AS MATERIALIZED (SELECT 'variance' AS kind", 1).replace('round(var_samp(budget)', '(var_samp(budget)').replace(', 9) AS value', ') AS value').replace(', 9) FROM budgets', ') FROM budgets')}),
+every AS (SELECT asset AS config, exp(ret) - 1 AS r FROM rets UNION ALL SELECT 'equal_weight', avg(exp(ret) - 1) FROM rets GROUP BY date),
+stats AS (SELECT config, {_MOMENTS.format(v='r')} FROM (SELECT *, avg(r) OVER (PARTITION BY config) AS m FROM every) GROUP BY config),
+ks AS (SELECT DISTINCT value::INT AS trials FROM scenarios WHERE kind = 'trials'),
+asked AS (SELECT stats.*, v.name AS variance_scenario, v.value AS variance, k.name AS k_scenario, k.value::INT AS trials FROM stats CROSS JOIN (SELECT * FROM scenarios WHERE kind = 'variance') v CROSS JOIN (SELECT * FROM scenarios WHERE kind = 'trials') k), {_LARGEST}
+SELECT config, round(sr * sqrt(252), 9) AS sharpe, variance_scenario, round(variance, 9) AS variance, k_scenario, trials, dsr_l, dsr_ls_gaussian, dsr_ls_gumbel FROM probs"""
+
+
+@query("seed_study")
+def seed_study(spark, d):
+    """Three seeds trained and walked by the resumable study: Sharpe ratios of excess net returns in the test stage, and the networks' regime effect."""
+    r = _lstm_returns(spark, d)
+    base = wf.Options(n_states=2, initial_window=800, limits=_LIMITS, lstm_epochs=200)
+    tables = seeds.study(r, [0, 1, 2], base, f"{io.shared_folder(spark)}/quillon-seeds-{uuid.uuid4().hex}")
+    rows = tables.withColumnRenamed("seed", "scenario")
+    daily = st.net_excess(wf.table(rows, "returns"), wf.table(rows, "executions"), daily_rates(spark, d, r), ["scenario", "config"])
+    each = daily.where(ts.stage_label(BOUNDS) == "test").groupBy(F.col("scenario").alias("seed"), "config").agg(ev.sharpe(F.col("excess")).alias("sharpe"))
+    return ev.effects(each, ["seed"], "config", "sharpe", {"lstm_regime_effect": ("lstm_regime", "lstm_baseline"), "erc_regime_effect": ("erc_regime", "erc_baseline")})
+
+
+@query("walk_forward_stream")
+def walk_forward_stream(spark, d):
+    """The walk as a stream over files of days, broken off and started again from its checkpoint: the batch walk's measures."""
+    options = {"two_states": wf.Options(n_states=2, initial_window=1000, limits=_LIMITS)}
+    folder = f"{io.shared_folder(spark)}/quillon-stream-{uuid.uuid4().hex}"
+    days = sw.day_rows(_returns(spark, d).withColumn("scenario", F.lit("two_states")))
+    half = F.col("date") < F.lit("1999-01-16").cast("date")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, sw.STORE)
+    try:
+        for part in (days.where(half), days.where(~half)):
+            part.coalesce(1).write.mode("append").parquet(f"{folder}/days")
+            source = spark.readStream.schema(days.schema).parquet(f"{folder}/days")
+            run = sw.stream(source, options).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+            run.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return ev.performance(wf.table(spark.read.parquet(f"{folder}/rows"), "returns"), ["scenario", "config"])

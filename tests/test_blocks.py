@@ -87,3 +87,33 @@ def test_draws_are_numbered(spark):
     got = bs.intervals(rows.withColumn("stage", F.lit("test")), ["stage"], 50, 1, length=5.0).first()
     here = inference.difference_interval(list(x), [1, -1], draws=50, seed=1, stream=3, length=5.0)
     assert (got.stage, got.contrast) == ("test", "p") and abs(got.low - here["low"]) < 1e-12 and abs(got.high - here["high"]) < 1e-12
+
+
+def test_densities_of_many_series(spark, observed):
+    """Degrees of freedom, moments and scores equal the kernels' for each series; a series that doesn't move has no residuals."""
+    from quillon.functions import densities as de
+    from quillon.operators import densities as dn
+
+    values, df = observed
+    df = df.where("s <> 'one'")
+    m = begin()
+    paths = rg.probabilities(df, models(spark, ["long", "short"]), ["s"], 40).drop("smoothed").cache()
+    z = dn.residuals(df, ["s"])
+    pooled = dn.models(dn.moments(df, ["s"], 4), dn.degrees_of_freedom(z, ["s"]), ["s"])
+    states = dn.models(dn.moments(dn.state_rows(df, paths, ["s"]), ["s", "state"], 4, "p"), dn.degrees_of_freedom(dn.state_rows(z, paths, ["s"]), ["s", "state"], "p"), ["s", "state"])
+    got = {(r.s, r.t): (r.pooled, r.mixed) for r in dn.scores(df, paths, pooled, states, ["s"]).collect()}
+    whole, each = {r.s: r for r in pooled.collect()}, {(r.s, r.state): r for r in states.collect()}
+    for k in ("long", "short"):
+        x = values[k]
+        p = hmm.filtered(m, hmm.emissions(m, x))[0]
+        u = (x - x.mean(axis=0)) / x.std(axis=0)
+        one = de.Pooled.fit(x, de.fit_nu(u.ravel()))
+        nus = np.array([de.fit_nu(u.ravel(), w=np.repeat(c, 4)) for c in p.T])
+        mix = de.Mixture.fit(x, p, nus)
+        assert whole[k].nu == one.nu and np.allclose(whole[k].scale, one.scale.ravel(), atol=1e-12)
+        assert [each[k, j].nu for j in range(3)] == nus.tolist()
+        assert all(np.allclose(each[k, j].implied, mix.covariances()[j].ravel(), atol=1e-10) and np.allclose(each[k, j].mean, mix.means[j], atol=1e-12) for j in range(3))
+        assert np.allclose([got[k, t + 1][0] for t in range(len(x))], one.log_density(x), atol=1e-9)
+        assert np.allclose([got[k, t + 1][1] for t in range(len(x))], mix.log_density(x, p), atol=1e-9)
+    still = spark.createDataFrame([("q", t, [1.0]) for t in range(5)], "s string, t bigint, x array<double>")
+    assert dn.degrees_of_freedom(dn.residuals(still, ["s"]), ["s"]).count() == 0

@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from quillon.plans import numeric_queries  # noqa: F401  adds its queries
 from quillon.plans import queries as q
 
 SLOW = {"walk_forward_full", "lstm_walk", "walk_forward_decisions"}
@@ -32,7 +33,7 @@ def duck(sf):
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in q.ORACLES if n in {"panel_ohlc", "rolling_volatility", "rolling_avg_correlation", "asof_prior_yield", "carry_forward", "pairwise_l1", "bounded_softmax", "performance_by_stage", "cost_sensitivity", "reliability_path", "opening_turnover", "autocovariance", "lstm_windows", "erc_shrunk_weights", "regime_probabilities", "regime_em_round", "predictive_densities", "feature_rows", "search_scenarios"}])
+@pytest.mark.parametrize("name", [n for n in q.ORACLES if n in {"panel_ohlc", "rolling_volatility", "rolling_avg_correlation", "asof_prior_yield", "carry_forward", "pairwise_l1", "bounded_softmax", "performance_by_stage", "cost_sensitivity", "reliability_path", "opening_turnover", "autocovariance", "lstm_windows", "erc_shrunk_weights", "regime_probabilities", "regime_em_round", "predictive_densities", "feature_rows", "search_scenarios", "asof_prior_yield", "excess_sharpe", "scenario_grid", "sensitivity_grid", "regime_fits_by_pair", "regime_paths_by_pair", "density_models_by_pair", "density_scores_by_pair", "block_lengths", "bootstrap_intervals", "trailing_covariances", "erc_by_decision", "leaf_orders", "hierarchical_by_decision", "projected_decisions"}])
 def test_against_sql(spark, sf, duck, name):
     got, want = q.QUERIES[name](spark, sf).toPandas(), duck.sql(q.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
