@@ -206,11 +206,13 @@ def trailing_covariances(spark, d):
     return _trailing(spark, d).withColumn("cov", F.round(1e6 * F.col("cov"), 7))
 
 
-@query("erc_by_decision", f"WITH RECURSIVE {BASE}{_TRAILING}{_SHRUNK}, " + """steps AS (SELECT date, 0 AS k, list_transform(range(1, 6), lambda i: 1 / sqrt(m[i][i])) AS y FROM mats
+_FIXED_POINT = """steps AS (SELECT date, 0 AS k, list_transform(range(1, 6), lambda i: 1 / sqrt(m[i][i])) AS y FROM mats
   UNION ALL SELECT date, k + 1, list_transform(range(1, 6), lambda i: sqrt(y[i] * 0.2 / list_dot_product(m[i], y))) FROM steps JOIN mats USING (date) WHERE k < 300),
 w AS (SELECT date, list_transform(y, lambda v: v / list_sum(y)) AS w FROM steps WHERE k = 300),
-p AS (SELECT date, names, w, list_transform(range(1, 6), lambda i: w[i] * list_dot_product(m[i], w)) AS part FROM w JOIN mats USING (date))
-SELECT date, unnest(names) AS asset, round(unnest(w), 8) AS weight, round(unnest(list_transform(part, lambda v: v / list_sum(part))), 8) AS share FROM p""")
+p AS (SELECT date, names, w, list_transform(range(1, 6), lambda i: w[i] * list_dot_product(m[i], w)) AS part FROM w JOIN mats USING (date))"""
+
+
+@query("erc_by_decision", f"WITH RECURSIVE {BASE}{_TRAILING}{_SHRUNK}, {_FIXED_POINT} " + """SELECT date, unnest(names) AS asset, round(unnest(w), 8) AS weight, round(unnest(list_transform(part, lambda v: v / list_sum(part))), 8) AS share FROM p""")
 def erc_by_decision(spark, d):
     """Equal risk contributions of the shrunk trailing covariance of every decision; the SQL finds them by a fixed point."""
     out = pf.risk_budget_weights(pf.matrices(_shrunk(spark, d), ["date"]), ["date"])
@@ -237,7 +239,10 @@ def leaf_orders(spark, d):
     return order.select("date", F.array_join("leaves", ",").alias("leaves"))
 
 
-@query("hierarchical_by_decision", f"WITH RECURSIVE {BASE}{_TRAILING}{_SHRUNK}, {_LINKAGE}, halves AS (SELECT date, m, names, o AS s, 1.0::DOUBLE AS w FROM leaves UNION ALL SELECT date, m, names, CASE WHEN side = 1 THEN l ELSE r END, w * CASE WHEN side = 1 THEN 1 - rl / (rl + rr) ELSE rl / (rl + rr) END FROM (SELECT *, {_RISK.format(s='l')} AS rl, {_RISK.format(s='r')} AS rr FROM (SELECT date, m, names, w, s[1:len(s) // 2] AS l, s[len(s) // 2 + 1:] AS r FROM halves WHERE len(s) > 1)), (VALUES (1), (2)) AS v(side)) SELECT date, names[s[1]] AS asset, round(w, 8) AS weight FROM halves WHERE len(s) = 1")
+_HALVES = f"halves AS (SELECT date, m, names, o AS s, 1.0::DOUBLE AS w FROM leaves UNION ALL SELECT date, m, names, CASE WHEN side = 1 THEN l ELSE r END, w * CASE WHEN side = 1 THEN 1 - rl / (rl + rr) ELSE rl / (rl + rr) END FROM (SELECT *, {_RISK.format(s='l')} AS rl, {_RISK.format(s='r')} AS rr FROM (SELECT date, m, names, w, s[1:len(s) // 2] AS l, s[len(s) // 2 + 1:] AS r FROM halves WHERE len(s) > 1)), (VALUES (1), (2)) AS v(side))"
+
+
+@query("hierarchical_by_decision", f"WITH RECURSIVE {BASE}{_TRAILING}{_SHRUNK}, {_LINKAGE}, {_HALVES} SELECT date, names[s[1]] AS asset, round(w, 8) AS weight FROM halves WHERE len(s) = 1")
 def hierarchical_by_decision(spark, d):
     """Hierarchical risk parity of every decision."""
     return pf.hierarchical_weights(_shrunk(spark, d), ["date"]).withColumn("weight", F.round("weight", 8))
@@ -263,12 +268,14 @@ _LIMITS = al.Limits(0.0, 0.30, 0.30)
 _W = "list_transform(range(1, n + 1), lambda i: least(greatest(b[i] + sign(raw[i] - {l} - b[i]) * greatest(abs(raw[i] - {l} - b[i]) - {u}, 0), 0), 0.3))"
 
 
-@query("projected_decisions", f"WITH RECURSIVE {BASE}{WALK}{_PROJECTED}, " + f"""bis AS (SELECT config, date, 0 AS k, -8.0::DOUBLE AS l0, 8.0::DOUBLE AS l1, 0.0::DOUBLE AS u0, 4.0::DOUBLE AS u1, 0.0::DOUBLE AS u FROM decided
+_BISECTED = f"""bis AS (SELECT config, date, 0 AS k, -8.0::DOUBLE AS l0, 8.0::DOUBLE AS l1, 0.0::DOUBLE AS u0, 4.0::DOUBLE AS u1, 0.0::DOUBLE AS u FROM decided
   UNION ALL SELECT config, date, k + 1, CASE WHEN last THEN -8.0 WHEN list_sum(w) > 1 THEN mid ELSE l0 END, CASE WHEN last THEN 8.0 WHEN list_sum(w) > 1 THEN l1 ELSE mid END, CASE WHEN last AND over THEN u ELSE u0 END, CASE WHEN last AND NOT over THEN u ELSE u1 END,
     CASE WHEN NOT last THEN u WHEN k // 50 >= 45 THEN CASE WHEN over THEN u1 ELSE u END ELSE ((CASE WHEN over THEN u ELSE u0 END) + (CASE WHEN over THEN u1 ELSE u END)) / 2 END
   FROM (SELECT *, k % 50 = 49 AS last, list_sum(list_transform(range(1, n + 1), lambda i: abs(w[i] - b[i]))) > 0.3 + 1e-12 AS over FROM (SELECT *, {_W.format(l='mid', u='u')} AS w FROM (SELECT bis.*, raw, b, n, (l0 + l1) / 2 AS mid FROM bis JOIN decided USING (config, date) WHERE k < 2399)))),
-done AS (SELECT config, date, names, raw, b, u, {_W.format(l='(l0 + l1) / 2', u='u')} AS w FROM bis JOIN decided USING (config, date) WHERE k = 2399)
-SELECT config, date, unnest(names) AS asset, round(unnest(w), 7) AS weight, u > 1e-9 AS turnover_binds, round(list_sum(list_transform(range(1, len(w) + 1), lambda i: abs(w[i] - b[i]))), 7) AS turnover, 0.0 AS residual FROM done""")
+done AS (SELECT config, date, names, raw, b, u, {_W.format(l='(l0 + l1) / 2', u='u')} AS w FROM bis JOIN decided USING (config, date) WHERE k = 2399)"""
+
+
+@query("projected_decisions", f"WITH RECURSIVE {BASE}{WALK}{_PROJECTED}, {_BISECTED} " + """SELECT config, date, unnest(names) AS asset, round(unnest(w), 7) AS weight, u > 1e-9 AS turnover_binds, round(list_sum(list_transform(range(1, len(w) + 1), lambda i: abs(w[i] - b[i]))), 7) AS turnover, 0.0 AS residual FROM done""")
 def projected_decisions(spark, d):
     """Every decision's projected weights, whether the turnover limit binds, and the residual of the optimality conditions."""
     solved = io.staged(pf.projected(_decisions(spark, d), ["config", "date"], _LIMITS), "projected")
@@ -402,3 +409,11 @@ def walk_forward_stream(spark, d):
     finally:
         spark.conf.set(name, before)
     return ev.performance(wf.table(spark.read.parquet(f"{folder}/rows"), "returns"), ["scenario", "config"])
+
+
+ORACLES["projection"] = f"""WITH RECURSIVE {BASE}, decided AS MATERIALIZED (SELECT 'one' AS config, DATE '2000-01-01' AS date, list(asset ORDER BY asset) AS names, [1 / 15, 2 / 15, 3 / 15, 4 / 15, 5 / 15]::DOUBLE[] AS raw, [0.2, 0.2, 0.2, 0.2, 0.2]::DOUBLE[] AS b, 5 AS n FROM (SELECT DISTINCT asset FROM rets)), {_BISECTED}
+SELECT unnest(names) AS asset, round(unnest(raw), 9) AS raw, round(unnest(w), 9) AS weight FROM done"""
+_WHOLE = _SHRUNK.replace("FROM trails)", "FROM whole)")
+ORACLES["erc_weights"] = f"""WITH RECURSIVE {BASE}, whole AS MATERIALIZED (SELECT DATE '2000-01-01' AS date, x.asset AS i, y.asset AS j, covar_samp(x.ret, y.ret) AS cov FROM rets x JOIN rets y USING (date) GROUP BY x.asset, y.asset){_WHOLE}, {_FIXED_POINT}, {_LINKAGE}, {_HALVES},
+risk AS (SELECT unnest(names) AS asset, unnest(w) AS erc, unnest(list_transform(part, lambda v: v / list_sum(part))) AS share FROM p), hrp AS (SELECT names[s[1]] AS asset, w AS hrp FROM halves WHERE len(s) = 1)
+SELECT asset, round(erc, 9) AS erc, round(hrp, 9) AS hrp, round(share, 9) AS share FROM risk JOIN hrp USING (asset)"""
