@@ -117,6 +117,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ``benchmark`` in every row of ``documents``; null texts have no words, repeated rows get the same result each."""
     out = contamination(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.drop("_text_hash")
 

@@ -196,6 +196,7 @@ HELD_OUT = (4, 2)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every row of ``documents`` with trees that learn from labels outside the held-out fold; null texts count as empty, repeated rows score alike."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = crc32_mod("doc_id", HELD_OUT[0]) == HELD_OUT[1]
     model = train(docs, labels.where(~held_out))

@@ -72,6 +72,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, name: str = "lines") -> Da
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed chunks and lines of every row of ``documents``; null texts have no line and a null digest, rows that repeat id and text get the same result each."""
     out = dedup_lines(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed_chunks").alias("n_removed_chunks"), F.col("_n_removed_lines").alias("n_removed_lines"), F.md5("text").alias("kept_md5"))
 

@@ -282,4 +282,5 @@ def pack_documents(spark: SparkSession, docs: DataFrame, vocabulary: str, size:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all pieces of ``documents``; null texts count as empty, repeated rows are packed as often as they occur."""
     return pack_documents(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), default_vocabulary())

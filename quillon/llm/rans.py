@@ -242,5 +242,6 @@ def digests(decoded: DataFrame) -> DataFrame:
 
 
 def op2_rans_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of all rows of ``documents`` and reads them back; null texts count as empty, null doc_ids come first, repeated rows are documents of their own."""
     blocks, table = write(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), default_vocabulary(), Stage(spark, "rans"))
     return digests(read(spark, blocks, table))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import has_columns, small_batches, texts
+from .common import Stage, has_columns, small_batches, texts
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -135,7 +135,8 @@ def ablation(entries: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = apply_policy(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """Stores the ledger of every row of ``documents`` and applies the default policy to it; null texts count as empty, repeated rows get an entry each."""
+    entries = apply_policy(Stage(spark, "rules").table(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "ledger"))
     return entries.select("doc_id", *MEASURES[:5], F.expr(f"(fail_bits & {BASE}L) <> 0").alias("base_failed"), "kept", "fail_bits")
 
 

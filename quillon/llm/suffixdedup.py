@@ -228,5 +228,6 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, width: int = WIDTH, gra
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every row of ``documents``; null texts count as empty, repeated rows count as different places of the same bytes."""
     out = remove_repeats(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
