@@ -40,18 +40,17 @@ def strict_gaps(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return missing.unionByName(twice)
 
 
-def strict_left(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """A left join that fails on missing or repeated keys."""
-    if bad := strict_gaps(left, right, on).limit(3).collect():
-        raise ValueError(f"not one match for each row: {bad}")
-    return left.join(right, on, "left")
-
-
 def _unique(on: list[str]) -> F.Column:
     """1 in each row; fails the job on a repeated key."""
     return F.when(F.count(F.lit(1)).over(Window.partitionBy(*on)) > 1, F.raise_error(F.lit(f"a key of {on} is repeated")).cast("int")).otherwise(F.lit(1))
 
 
+def strict_left(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """A left join that fails the job on a left row without match or a key that the right side repeats."""
+    found = F.when(F.col("_r").isNull(), F.raise_error(F.lit(f"a key of {on} has no match")).cast("int")).otherwise(1)
+    return left.join(right.withColumn("_r", _unique(on)), on, "left").where(found == 1).drop("_r")
+
+
 def one_to_one_left(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Left join of two tables with unique keys; a repeated key on either side or a left row without match fails the job."""
     l, r = left.withColumn("_l", _unique(on)), right.withColumn("_r", _unique(on))

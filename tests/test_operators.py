@@ -47,8 +47,13 @@ def test_as_of_is_strict(spark):
 def test_strict_left(spark):
     a = spark.createDataFrame([(1,), (2,)], "k int")
     b = spark.createDataFrame([(1, 5), (1, 6)], "k int, v int")
-    with pytest.raises(ValueError):
-        jo.strict_left(a, b, ["k"])
+    with pytest.raises(Exception, match="no match|repeated"):
+        jo.strict_left(a, b, ["k"]).collect()
+    with pytest.raises(Exception, match="repeated"):
+        jo.strict_left(a.where("k = 1"), b, ["k"]).collect()
+    with pytest.raises(Exception, match="no match"):
+        jo.strict_left(a, b.limit(1), ["k"]).collect()
+    assert [tuple(r) for r in jo.strict_left(a.where("k = 1").unionByName(a.where("k = 1")), b.limit(1), ["k"]).collect()] == [(1, 5)] * 2
     assert {(r.k, r.side) for r in jo.one_to_one_outer(a, b.limit(1), ["k"]).collect()} == {(1, "both"), (2, "left_only")}
 
 
