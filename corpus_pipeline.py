@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is writte
 docs. All but the last return the columns of ``documents``. Null texts count as empty; empty tables pass through; columns beyond
 those of ``documents`` are dropped by the first stage.
 
-SQL can't express the classifier, the forest or the packing, so ``ORACLE_SQL`` is None; tests hold the stages against a small table with known outcomes, and the operators against brute force.
+SQL can't express the classifier, the forest or the packing, so ``ORACLE_SQL`` is None; a test holds run() against a plain version of every stage.
 """
 
 from __future__ import annotations
